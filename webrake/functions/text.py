@@ -158,7 +158,7 @@ def screen(text: ColumnOrName, allow: Sequence[str], deny: Sequence[str]) -> Col
         if not words:
             return F.lit(None).cast("string")
         arr = F.array(*[F.lit(w) for w in words])
-        return F.get(F.filter(arr, lambda w: F.locate(w, F.coalesce(t, F.lit(""))) > 0), 0)
+        return F.get(F.filter(arr, lambda w: F.coalesce(t, F.lit("")).contains(w)), 0)
 
     a, d = first_hit(allow), first_hit(deny)
     accept = F.when(a.isNotNull(), F.lit(True)).when(d.isNotNull(), F.lit(False)).otherwise(F.lit(True))
