@@ -1,3 +1,60 @@
-"""Registered queries: q_html."""
+"""Registered queries: HTML cleaning, text and field extraction (T25-T27)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from webrake.catalog import query, table
+from webrake.catalog import sqlfrag as S
+from webrake.functions import html as H
+
+
+@query("html_drop_blocks", f"""
+SELECT page_id, {S.drop_blocks('html')} AS html FROM pages""")
+def q_html_drop_blocks(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", H.drop_blocks("html").alias("html"))
+
+
+@query("html_drop_attrs", f"""
+SELECT page_id, {S.drop_attrs(S.drop_blocks('html'))} AS html FROM pages""")
+def q_html_drop_attrs(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", H.clean_html_native("html").alias("html"))
+
+
+@query("html_to_text", f"""
+SELECT page_id, {S.strip_tags(S.drop_blocks('html'))} AS text FROM pages""")
+def q_html_to_text(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", H.html_text_native("html").alias("text"))
+
+
+@query("html_title", f"""
+SELECT page_id, {S.html_title('html')} AS title, {S.first_paragraph('html')} AS snippet FROM pages""")
+def q_html_title(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", H.html_title("html").alias("title"),
+                    H.first_paragraph("html").alias("snippet"))
+
+
+@query("html_links", f"""
+WITH l AS (SELECT page_id, {S.html_links('html')} AS links FROM pages)
+SELECT page_id, CAST(len(links) AS INTEGER) AS n_links, array_to_string(links, '|') AS links FROM l""")
+def q_html_links(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    links = H.html_links("html")
+    return p.select("page_id", F.size(links).alias("n_links"), F.array_join(links, "|").alias("links"))
+
+
+_AD_RE = r'(?is)<div\s[^>]*class="(?:[^"]*\s)?ad(?:\s[^"]*)?"[^>]*>(.*?)</div\s*>'
+
+
+@query("html_fields", f"""
+WITH x AS (SELECT page_id, regexp_extract_all(html, {S.q(_AD_RE)}, 1) AS ads FROM pages)
+SELECT page_id, coalesce({S.strip_tags('ads[1]')}, '') AS ad,
+       CAST(len(ads) AS INTEGER) AS n_ads FROM x""")
+def q_html_fields(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    f = H.extract_fields("html", {"ad": ("div", "ad", False), "ads": ("div", "ad", True)})
+    return p.select("page_id", f["ad"].alias("ad"), F.size(f["ads"]).alias("n_ads"))

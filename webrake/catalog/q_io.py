@@ -1,3 +1,134 @@
-"""Registered queries: q_io."""
+"""Registered queries: sources and sinks (S1-S10), as round trips through a
+fresh folder under the session's checkpoint directory (a shared folder on a
+cluster).  Each query writes the whole table and returns what reads back."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from webrake.catalog import query, table
+from webrake.functions.common import strip_ws
+from webrake.session import scratch_path
+from webrake.sources import readers as RD
+from webrake.sources import sinks as SK
+
+
+@query("src_jsonl", "SELECT event_id, user_id, event_type, value, props FROM events")
+def q_src_jsonl(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    path = scratch_path(spark, "jsonl")
+    SK.write_jsonl(e, path)
+    return RD.read_jsonl(spark, path, "event_id BIGINT, user_id BIGINT, event_type STRING, "
+                                      "value DOUBLE, props STRING")
+
+
+@query("src_jsonl_permissive", """
+SELECT 'ok' AS status, count(*) AS n FROM events
+UNION ALL SELECT 'bad', count(*) FILTER (WHERE event_id % 13 = 0) FROM events""")
+def q_src_jsonl_permissive(spark, sf_dir):
+    """Every 13th line is cut short: PERMISSIVE read keeps it aside."""
+    e = table(spark, sf_dir, "events").select("event_id", "props")
+    line = F.to_json(F.struct("event_id", "props"))
+    line = F.when(F.col("event_id") % 13 == 0, F.substring(line, F.lit(1), F.length(line) - 2)).otherwise(line)
+    path = scratch_path(spark, "jsonl-bad")
+    e.select(line.alias("value")).write.text(path)
+    df = RD.read_jsonl(spark, path, "event_id BIGINT, props STRING", mode="PERMISSIVE")
+    good, bad = RD.split_corrupt(df)
+    ok = good.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("ok").alias("status"), "n")
+    nb = bad.groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit("bad").alias("status"), "n")
+    return ok.unionByName(nb)
+
+
+@query("src_json_docs", "SELECT n_nationkey, n_name, n_regionkey, true AS has_file FROM nation")
+def q_src_json_docs(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    path = scratch_path(spark, "docs")
+    n.write.partitionBy("n_nationkey").json(path)
+    df = RD.read_json_docs(spark, path, "n_name STRING, n_regionkey INT, n_nationkey INT")
+    return df.select("n_nationkey", "n_name", "n_regionkey",
+                     ((F.col("file_size") > 0) & F.col("file_name").endswith(".json")).alias("has_file"))
+
+
+@query("src_glob_dedupe", "SELECT r_regionkey, r_name FROM region")
+def q_src_glob_dedupe(spark, sf_dir):
+    r = table(spark, sf_dir, "region")
+    path = scratch_path(spark, "glob")
+    r.write.parquet(path)
+    paths = RD.expand_globs(spark, [f"{path}/*.parquet", f"{path}/*.parquet"], raise_invalid=True)
+    return spark.read.parquet(*paths).select("r_regionkey", "r_name")
+
+
+@query("src_csv_targets", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def q_src_csv_targets(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    path = scratch_path(spark, "csv")
+    SK.write_tables({"targets": s}, path, fmt="csv")
+    return RD.read_targets(spark, f"{path}/targets",
+                           "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE")
+
+
+@query("src_text_lines", "SELECT n_name AS value FROM nation")
+def q_src_text_lines(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    path = scratch_path(spark, "lines")
+    n.select(F.concat(F.lit("  "), "n_name", F.lit(" \t")).alias("value")).write.text(path)
+    return RD.read_lines(spark, path)
+
+
+@query("sink_jsonl", "SELECT doc_id, text FROM documents")
+def q_sink_jsonl(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    path = scratch_path(spark, "sink-jsonl")
+    SK.write_jsonl(d.where(F.col("lang") == "en").select("doc_id", "text"), path)
+    SK.write_jsonl(d.where(~(F.col("lang") == "en") | F.col("lang").isNull()).select("doc_id", "text"),
+                   path, append=True)
+    return RD.read_jsonl(spark, path, "doc_id BIGINT, text STRING")
+
+
+@query("sink_records", "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier")
+def q_sink_records(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    path = scratch_path(spark, "records")
+    SK.write_records(s, path)
+    return RD.read_jsonl(spark, path, "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE")
+
+
+@query("sink_tables", """
+SELECT 'region' AS tbl, r_regionkey AS k, r_name AS name FROM region
+UNION ALL SELECT 'nation', n_nationkey, n_name FROM nation""")
+def q_sink_tables(spark, sf_dir):
+    path = scratch_path(spark, "tables")
+    out = SK.write_tables({"region": table(spark, sf_dir, "region"),
+                           "nation": table(spark, sf_dir, "nation")}, path)
+    r = spark.read.parquet(out["region"]).select(F.lit("region").alias("tbl"),
+                                                 F.col("r_regionkey").alias("k"), F.col("r_name").alias("name"))
+    n = spark.read.parquet(out["nation"]).select(F.lit("nation").alias("tbl"),
+                                                 F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"))
+    return r.unionByName(n)
+
+
+@query("src_pages_wholetext", "SELECT page_id, html FROM pages")
+def q_src_pages_wholetext(spark, sf_dir):
+    """Pages stored one file per page (as an external fetcher leaves them)
+    read back whole; the text writer's line end is removed."""
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    path = scratch_path(spark, "blobs")
+    p.write.partitionBy("page_id").text(path)
+    df = RD.read_page_blobs(spark, path)
+    pid = F.regexp_extract("file_path", r"page_id=(\d+)", 1).cast("bigint")
+    return df.select(pid.alias("page_id"), F.regexp_replace("html", r"\n$", "").alias("html"))
+
+
+@query("sink_versioned", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def q_sink_versioned(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    base = scratch_path(spark, "profiles")
+    path = SK.write_versioned(n, base, suffix="v1")
+    try:
+        SK.write_versioned(n, base, suffix="v1")
+        raise AssertionError("an existing version was overwritten")
+    except AssertionError:
+        raise
+    except Exception:  # noqa: BLE001 - the second write must be refused
+        pass
+    return spark.read.schema("n_nationkey INT, n_name STRING, n_regionkey INT").json(path)
