@@ -116,7 +116,7 @@ def q_src_pages_wholetext(spark, sf_dir):
     p.write.partitionBy("page_id").text(path)
     df = RD.read_page_blobs(spark, path)
     pid = F.regexp_extract("file_path", r"page_id=(\d+)", 1).cast("bigint")
-    return df.select(pid.alias("page_id"), F.regexp_replace("html", r"\n$", "").alias("html"))
+    return df.select(pid.alias("page_id"), F.regexp_replace("html", r"\n\z", "").alias("html"))
 
 
 @query("sink_versioned", "SELECT n_nationkey, n_name, n_regionkey FROM nation")

@@ -36,3 +36,198 @@ def p_fetch_plan(spark, sf_dir):
     hits = fetch.hits_from_pages(table(spark, sf_dir, "pages"))
     return fetch.fetch_plan(hits, kind="group", k=3, rules=HIT_RULES,
                             deny_any=DENY_ANY, deny_pairs=DENY_PAIRS)
+
+
+# ---------------------------------------------------------------- shared stand-ins
+from pyspark.sql import functions as F  # noqa: E402
+
+from webrake.functions import html as H  # noqa: E402
+from webrake.functions import text as T  # noqa: E402
+from webrake.functions import urls as U  # noqa: E402
+from webrake.functions.common import lines, tokens  # noqa: E402
+from webrake.plans import extract as X  # noqa: E402
+from webrake.plans import profiles as PF  # noqa: E402
+from webrake.plans import records as PR  # noqa: E402
+from webrake.session import scratch_path  # noqa: E402
+
+A_RE = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a\s*>'
+LANG_RE = r'<html[^>]*lang="([^"]*)"'
+ROSTER_LEX = ["the", "and", "to", "de", "la", "der", "para"]
+
+
+def _roster_inputs(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    index = p.select(F.col("page_id").alias("entity_key"), F.col("url").alias("page_url"),
+                     U.url_netloc("url").alias("institute"),
+                     F.regexp_extract("html", LANG_RE, 1).alias("department"))
+    h = H.drop_blocks("html", ["script"])
+    pairs = F.arrays_zip(F.regexp_extract_all(h, F.lit(A_RE), 1).alias("href"),
+                         F.regexp_extract_all(h, F.lit(A_RE), 2).alias("name"))
+    fac = p.select(F.col("page_id").alias("entity_key"), F.explode(pairs).alias("a")).select(
+        "entity_key", F.col("a.name").alias("name"),
+        F.when(F.length("a.name") > 5, F.lit("Professor")).otherwise(F.lit("")).alias("title"),
+        F.col("a.href").alias("profile_url"))
+    return index, fac
+
+
+_ROSTER_SQL = f"""
+WITH p AS (SELECT page_id AS entity_key, url AS page_url, {S.url_part('url', 2)} AS institute,
+                  regexp_extract(html, {S.q(LANG_RE)}, 1) AS department,
+                  {S.drop_blocks('html', ['script'])} AS h FROM pages),
+f AS (SELECT entity_key, page_url, institute, department,
+             unnest(regexp_extract_all(h, {S.q(A_RE)}, 1)) AS href,
+             unnest(regexp_extract_all(h, {S.q(A_RE)}, 2)) AS name FROM p),
+c AS (SELECT entity_key, name, CASE WHEN length(name) > 5 THEN 'Professor' ELSE '' END AS title,
+  CASE WHEN href = '' OR starts_with(href, 'http') THEN href
+       WHEN starts_with(href, '/') THEN substr(split_part(page_url, '?', 1), 1, 8)
+            || split_part(substr(split_part(page_url, '?', 1), 9), '/', 1) || href
+       ELSE split_part(page_url, '?', 1) || href END AS profile_url,
+  page_url AS src, coalesce(institute, '') AS institute, coalesce(department, '') AS department FROM f)"""
+
+
+@query("p_roster", _ROSTER_SQL + f"""
+SELECT * FROM c WHERE coalesce(len(list_intersect({S.tokens('lower(name)')},
+   [{', '.join(S.q(w) for w in ROSTER_LEX)}])) > 0, false)""")
+def p_roster(spark, sf_dir):
+    index, fac = _roster_inputs(spark, sf_dir)
+    cands, _report = PR.roster_candidates(index, fac, keep=T.any_token_in("name", ROSTER_LEX))
+    return cands
+
+
+@query("p_roster_missing", _ROSTER_SQL + """
+SELECT src, count(*) AS n_rows, count(*) FILTER (WHERE title IS NULL OR title = '') AS n_missing
+FROM c GROUP BY src""")
+def p_roster_missing(spark, sf_dir):
+    index, fac = _roster_inputs(spark, sf_dir)
+    _cands, report = PR.roster_candidates(index, fac)
+    return report
+
+
+@query("p_advisors", """
+WITH cv AS (SELECT o.o_orderkey AS cv_id, c.c_name AS member,
+                   CASE WHEN c.c_acctbal > 5000 THEN lower(c.c_mktsegment) || '@example.org' ELSE '' END AS email
+            FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+            WHERE c.c_name IS NOT NULL AND c.c_name <> ''),
+ex AS (SELECT l.l_orderkey AS cv_id, l.l_linestatus AS title, n.n_name AS institute,
+              'part-' || CAST(l.l_partkey AS VARCHAR) AS "group",
+              CASE WHEN l.l_returnflag = 'R' THEN s.s_name ELSE '' END AS advisor
+       FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey)
+SELECT cv.member, cv.email, coalesce(ex.title, '') AS title, coalesce(ex.institute, '') AS institute,
+       coalesce(ex."group", '') AS "group", ex.advisor
+FROM cv JOIN ex ON cv.cv_id = ex.cv_id WHERE ex.advisor IS NOT NULL AND ex.advisor <> ''""")
+def p_advisors(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    cvs = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.col("o_orderkey").alias("cv_id"), F.col("c_name").alias("name"),
+        F.when(F.col("c_acctbal") > 5000, F.concat(F.lower("c_mktsegment"), F.lit("@example.org")))
+        .otherwise(F.lit("")).alias("email"))
+    li = table(spark, sf_dir, "lineitem")
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation")
+    ex = (li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
+          .select(F.col("l_orderkey").alias("cv_id"), F.col("l_linestatus").alias("title"),
+                  F.col("n_name").alias("institute"),
+                  F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("group"),
+                  F.when(F.col("l_returnflag") == "R", F.col("s_name")).otherwise(F.lit("")).alias("advisor")))
+    return PR.advisor_edges(cvs, ex)
+
+
+@query("p_groups", f"""
+WITH h AS (SELECT {S.url_part('url', 2)} AS entity_key, page_id AS pos, url FROM pages),
+ix AS (SELECT DISTINCT entity_key, regexp_extract(entity_key, '[^.]*$', 0) AS institute,
+          split_part(entity_key, '.', 1) AS "group", entity_key AS advisor FROM h),
+t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY pos) AS rn
+      FROM h WHERE NOT {S.deny_url('url', T.GROUP_DENY)}) WHERE rn <= 3),
+u AS (SELECT entity_key, string_agg(url, E'\\r\\n' ORDER BY pos) AS urls FROM t GROUP BY entity_key)
+SELECT ix.institute, ix."group", ix.advisor, coalesce(u.urls, '') AS urls
+FROM ix LEFT JOIN u ON ix.entity_key = u.entity_key""")
+def p_groups(spark, sf_dir):
+    h = table(spark, sf_dir, "pages").select(
+        U.url_netloc("url").alias("entity_key"), F.col("page_id").alias("pos"), "url")
+    ix = h.select("entity_key").distinct().select(
+        "entity_key", F.regexp_extract("entity_key", r"[^.]*$", 0).alias("institute"),
+        F.split_part("entity_key", F.lit("."), F.lit(1)).alias("group"),
+        F.col("entity_key").alias("advisor"))
+    return PR.group_rollup(ix, h)
+
+
+_CAND_LEX = ["red", "gear"]
+
+
+@query("p_candidates", f"""
+WITH m AS (SELECT DISTINCT l_suppkey AS entity_key, l_partkey AS p_partkey FROM lineitem),
+mem AS (SELECT m.entity_key, m.entity_key AS group_ord, 0 AS file_ord, m.p_partkey AS line_no,
+               coalesce(p.p_name, '') AS name, p.p_type AS title, p.p_brand AS description
+        FROM m JOIN part p ON m.p_partkey = p.p_partkey),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY group_ord, file_ord, line_no) AS rn
+      FROM mem) WHERE rn = 1),
+k AS (SELECT * FROM f WHERE coalesce(len(list_intersect({S.tokens('lower(name)')}, ['red', 'gear'])) > 0, false)
+      AND (coalesce(title, '') = '' OR contains(lower(coalesce(title, '')), 'small') OR contains(lower(coalesce(title, '')), 'promo')))
+SELECT k.name, coalesce(k.title, '') AS title, '' AS email, s.s_name AS advisor,
+       'group-' || CAST(s.s_suppkey AS VARCHAR) AS "group", n.n_name AS institute, coalesce(k.description, '') AS description
+FROM k JOIN supplier s ON k.entity_key = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey""")
+def p_candidates(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    p = table(spark, sf_dir, "part")
+    mem = li.join(p, li.l_partkey == p.p_partkey).select(
+        F.col("l_suppkey").alias("entity_key"), F.col("l_suppkey").alias("group_ord"),
+        F.lit(0).alias("file_ord"), F.col("p_partkey").alias("line_no"),
+        F.col("p_name").alias("name"), F.col("p_type").alias("title"),
+        F.lit(None).cast("string").alias("email"), F.col("p_brand").alias("description"))
+    s = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation")
+    ix = s.join(n, s.s_nationkey == n.n_nationkey).select(
+        F.col("s_suppkey").alias("entity_key"), F.col("s_name").alias("advisor"),
+        F.concat(F.lit("group-"), F.col("s_suppkey").cast("string")).alias("group"),
+        F.col("n_name").alias("institute"))
+    return PR.group_candidates(ix, mem, keep_flag=T.any_token_in("name", _CAND_LEX),
+                               title_ok=T.keyword_class("title", ["small", "promo"], None, None))
+
+
+def _title_ok(c):
+    return T.keyword_class(c, ["urgent", "high"], "specified", "not")
+
+
+@query("p_scores", """
+WITH st AS (SELECT l_orderkey, count(*) AS n_exp, sum(CASE WHEN l_returnflag = 'R' THEN 10 ELSE 1 END) AS exp_score,
+                   count(*) FILTER (WHERE l_linestatus = 'O') AS n_pub,
+                   coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 10 ELSE 1 END) FILTER (WHERE l_linestatus = 'O'), 0) AS pub_score
+            FROM lineitem GROUP BY l_orderkey),
+d AS (SELECT o.o_custkey AS entity_key, o.o_orderkey AS doc_id, o.o_totalprice AS size, o.o_orderpriority AS title,
+             CASE WHEN o.o_orderstatus = 'F' THEN 'f' || CAST(o.o_orderkey AS VARCHAR) || '@example.org' ELSE '' END AS email,
+             coalesce(st.n_exp, 0) AS n_exp, coalesce(st.exp_score, 0) AS exp_score,
+             coalesce(st.n_pub, 0) AS n_pub, coalesce(st.pub_score, 0) AS pub_score
+      FROM orders o LEFT JOIN st ON st.l_orderkey = o.o_orderkey),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY size DESC, doc_id) AS rn FROM d) WHERE rn = 1
+      AND (contains(lower(title), 'urgent') OR contains(lower(title), 'high')
+           OR (contains(lower(title), 'specified') AND NOT contains(lower(title), 'not')))),
+e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY n_exp DESC, size DESC, doc_id) AS rn FROM d) WHERE rn = 1),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY n_pub DESC, size DESC, doc_id) AS rn FROM d) WHERE rn = 1),
+ix AS (SELECT c.c_custkey AS entity_key, n.n_name AS institute, lower(c.c_mktsegment) || '@example.org' AS email
+       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey)
+SELECT b.entity_key, b.doc_id AS base_doc, b.title,
+       CASE WHEN e.n_exp > 0 THEN e.doc_id END AS exp_doc, CAST(e.n_exp AS BIGINT) AS n_exp,
+       CASE WHEN p.n_pub > 0 THEN p.doc_id END AS pub_doc, CAST(p.n_pub AS BIGINT) AS n_pub,
+       CAST((CASE WHEN e.n_exp > 0 THEN e.exp_score ELSE 0 END) + (CASE WHEN p.n_pub > 0 THEN p.pub_score ELSE 0 END) AS BIGINT) AS score,
+       sha256(CAST(b.entity_key AS VARCHAR)) AS id, coalesce(ix.institute, '') AS institute,
+       coalesce(nullif(b.email, ''), nullif(ix.email, '')) AS email
+FROM b JOIN e ON b.entity_key = e.entity_key JOIN p ON b.entity_key = p.entity_key
+LEFT JOIN ix ON b.entity_key = ix.entity_key""")
+def p_scores(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    st = PR.list_stats(li, "l_orderkey", F.col("l_returnflag") == "R", F.col("l_linestatus") == "O")
+    o = table(spark, sf_dir, "orders")
+    docs = o.join(st, o.o_orderkey == st.l_orderkey, "left").select(
+        F.col("o_custkey").alias("entity_key"), F.col("o_orderkey").alias("doc_id"),
+        F.col("o_totalprice").alias("size"), F.col("o_orderpriority").alias("title"),
+        F.when(F.col("o_orderstatus") == "F",
+               F.concat(F.lit("f"), F.col("o_orderkey").cast("string"), F.lit("@example.org")))
+        .otherwise(F.lit("")).alias("email"),
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_exp", "exp_score", "n_pub", "pub_score")])
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    ix = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("c_custkey").alias("entity_key"), F.col("n_name").alias("institute"),
+        F.concat(F.lower("c_mktsegment"), F.lit("@example.org")).alias("email"))
+    return PR.student_scores(ix, docs, title_ok=_title_ok)
