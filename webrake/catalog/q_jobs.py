@@ -231,3 +231,255 @@ def p_scores(spark, sf_dir):
         F.col("c_custkey").alias("entity_key"), F.col("n_name").alias("institute"),
         F.concat(F.lower("c_mktsegment"), F.lit("@example.org")).alias("email"))
     return PR.student_scores(ix, docs, title_ok=_title_ok)
+
+
+# ---------------------------------------------------------------- P5
+ALLOW = ["mail", "licen"]
+DENY = ["que"]
+
+
+def _profiles_from_documents(spark, sf_dir):
+    """Profiles stand-in: a document is a profile; its lines are the
+    articles, (lang, source) the tags; brief and stats are built from the
+    document and its label (no label: stats do not parse)."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    j = d.join(lab, "doc_id", "left")
+    return j.select(
+        "doc_id",
+        F.concat(F.lit("Author "), F.col("doc_id").cast("string"), F.lit(" "), F.col("source")).alias("name"),
+        F.when(F.col("quality") == 1, F.concat(F.lit("https://"), F.col("source"), F.lit(".example.org/")))
+        .alias("homepage"),
+        F.concat(F.when(F.col("quality") == 1, F.concat(F.lit("Verified email at "), F.col("source"),
+                                                          F.lit(".example.org")))
+                 .otherwise(F.lit("No verified email")), F.lit("\n"), F.col("lang")).alias("brief"),
+        F.when(F.col("quality").isNull(), F.lit("Cited by\nCitations n/a")).otherwise(
+            F.concat(F.lit("Cited by\nCitations "), F.col("n_chars").cast("string"), F.lit(" "),
+                     F.floor(F.col("n_chars") / 3).cast("string"))).alias("cited_stats"),
+        lines("text").alias("articles"), F.array("lang", "source").alias("tags"),
+        F.coalesce(F.col("toxic"), F.lit(0)).alias("toxic"))
+
+
+_PROFILES_SQL = f"""
+WITH pr AS (
+  SELECT d.doc_id, 'Author ' || CAST(d.doc_id AS VARCHAR) || ' ' || d.source AS name,
+    CASE WHEN l.quality = 1 THEN 'https://' || d.source || '.example.org/' END AS homepage,
+    (CASE WHEN l.quality = 1 THEN 'Verified email at ' || d.source || '.example.org' ELSE 'No verified email' END)
+      || chr(10) || d.lang AS brief,
+    CASE WHEN l.quality IS NULL THEN 'Cited by' || chr(10) || 'Citations n/a'
+         ELSE 'Cited by' || chr(10) || 'Citations ' || CAST(d.n_chars AS VARCHAR) || ' ' || CAST(floor(d.n_chars / 3) AS BIGINT) END AS cited_stats,
+    {S.lines('d.text')} AS articles, [d.lang, d.source] AS tags, coalesce(l.toxic, 0) AS toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+sc AS (
+  SELECT *, lower(array_to_string(list_concat(articles, tags), chr(10))) AS ft FROM pr WHERE toxic = 0),
+sc2 AS (
+  SELECT *, list_filter([{', '.join(S.q(w) for w in ALLOW)}], lambda w: contains(ft, w))[1] AS a,
+            list_filter([{', '.join(S.q(w) for w in DENY)}], lambda w: contains(ft, w))[1] AS dn FROM sc),
+acc AS (SELECT *, coalesce(a, dn) AS rule,
+          {S.tokens(S.lines('cited_stats') + '[2]')} AS toks FROM sc2 WHERE a IS NOT NULL OR dn IS NULL),
+st AS (SELECT *, CASE WHEN len(toks) = 3 THEN TRY_CAST(toks[2] AS BIGINT) END AS c_all,
+                 CASE WHEN len(toks) = 3 THEN TRY_CAST(toks[3] AS BIGINT) END AS c_5,
+                 CASE WHEN regexp_matches(brief, 'Verified email at (\\S+)') THEN regexp_extract(brief, 'Verified email at (\\S+)', 1) END AS email
+       FROM acc)"""
+
+
+@query("p_report", _PROFILES_SQL + """
+SELECT name, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS DOUBLE) AS score, coalesce(homepage, '') AS homepage,
+       rule AS keyword, array_to_string(tags, chr(10)) AS tags, c_all AS cited_all, c_5 AS cited_5yr,
+       round(CASE WHEN c_all > 0 THEN c_5 / c_all ELSE 0.0 END, 6) AS cited_5yr_ratio,
+       string_split(brief, chr(10))[-1] AS brief, array_to_string(articles, chr(10)) AS articles,
+       'https://www.google.com/search?q=' || replace(url_encode(CASE WHEN email IS NOT NULL AND email <> '' THEN name || ' at ' || email ELSE name END), '%2F', '/') AS search_link
+FROM st WHERE c_all IS NOT NULL AND c_5 IS NOT NULL""")
+def p_report(spark, sf_dir):
+    prof = _profiles_from_documents(spark, sf_dir)
+    report, _bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0)
+    return report
+
+
+@query("p_report_quarantine", _PROFILES_SQL + """
+SELECT name, cited_stats FROM st WHERE c_all IS NULL OR c_5 IS NULL""")
+def p_report_quarantine(spark, sf_dir):
+    prof = _profiles_from_documents(spark, sf_dir)
+    _report, bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0)
+    return bad
+
+
+# ---------------------------------------------------------------- P6
+_AD_SPEC = {"ads": ("div", "ad", True)}
+_AD_RE = r'(?is)<div\s[^>]*class="(?:[^"]*\s)?ad(?:\s[^"]*)?"[^>]*>(.*?)</div\s*>'
+
+
+@query("p_refresh", f"""
+WITH p AS (SELECT page_id AS uid, {S.url_part('url', 2)} AS host,
+                  list_transform(regexp_extract_all(html, {S.q(_AD_RE)}, 1), lambda x: {S.strip_tags('x')}) AS ads
+           FROM pages)
+SELECT uid, array_to_string(ads, '|') AS ads, CAST(len(ads) AS INTEGER) AS n_ads, host AS co_author FROM p""")
+def p_refresh(spark, sf_dir):
+    """Stored profiles (uid, co-author names saved as a list or a scalar)
+    refreshed from stored HTML, written as a new version and read back."""
+    pages = table(spark, sf_dir, "pages")
+    host = U.url_netloc("url")
+    co = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('{"name": ["'), host, F.lit('", "x"]}'))) \
+        .otherwise(F.concat(F.lit('{"name": "'), host, F.lit('"}')))
+    profiles = pages.select(F.col("page_id").alias("uid"), co.alias("co_authors_json"))
+    fresh = PF.refresh_profiles(profiles, pages.select(F.col("page_id").alias("uid"), "html"), _AD_SPEC)
+    from webrake.sources.sinks import write_versioned
+    path = write_versioned(fresh.select("uid", "ads", "co_author"), scratch_path(spark, "gs_profiles"),
+                           suffix="refresh", fmt="parquet")
+    back = spark.read.parquet(path)
+    return back.select("uid", F.array_join("ads", "|").alias("ads"), F.size("ads").alias("n_ads"), "co_author")
+
+
+# ---------------------------------------------------------------- P8
+REQ_TEMPLATE = "Extract the people listed on this page of $HOST. Answer in JSON lines."
+
+
+_TQ = '"' * 3
+_REQ_SQL = (
+    "SELECT page_id, CAST(2 AS INTEGER) AS n_messages, "
+    f"replace({S.q(REQ_TEMPLATE)}, '$HOST', coalesce({S.url_part('url', 2)}, '')) AS system, "
+    f"{S.q('Markdown: ' + _TQ)} || chr(10) || {S.strip_tags(S.drop_blocks('html'))} || chr(10) || {S.q(_TQ)} AS user_text "
+    "FROM pages")
+
+
+@query("p_requests", _REQ_SQL)
+def p_requests(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    req = X.extract_requests(pages, ["page_id"], REQ_TEMPLATE, native=True, HOST=U.url_netloc("url"))
+    return req.select("page_id", F.size("messages").alias("n_messages"),
+                      F.col("messages")[0]["content"].alias("system"),
+                      F.col("messages")[1]["content"].alias("user_text"))
+
+
+@query("p_requests_markdown")
+def p_requests_markdown(spark, sf_dir):
+    """Parser-based variant (mapInPandas markdown); checked in tests."""
+    pages = table(spark, sf_dir, "pages")
+    req = X.extract_requests(pages, ["page_id"], REQ_TEMPLATE, native=False, HOST=U.url_netloc("url"))
+    return req.select("page_id", F.size("messages").alias("n_messages"),
+                      F.length(F.col("messages")[1]["content"]).alias("user_len"))
+
+
+def _answers(spark, sf_dir):
+    from webrake.catalog.q_records import _block
+    e = table(spark, sf_dir, "events").select("event_id", "props", "user_id")
+    return e.select("event_id", F.concat(F.lit("Sure.\n```json\n"), _block(), F.lit("\n```")).alias("answer"))
+
+
+def _answers_sql():
+    from webrake.catalog.q_records import JSONL_BLOCK_SQL
+    # the fence is added and removed again: the records equal the block's
+    return JSONL_BLOCK_SQL
+
+
+@query("p_answers", _answers_sql())
+def p_answers(spark, sf_dir):
+    return X.parse_answers(_answers(spark, sf_dir), ["event_id"], "k BIGINT, u BIGINT")
+
+
+# ---------------------------------------------------------------- P9
+@query("p_clean")
+def p_clean(spark, sf_dir):
+    """Bulk clean + convert of every page (parser pass), written to a new
+    location and read back.  Checked by idempotence and edge tables."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    out = X.clean_corpus(pages, scratch_path(spark, "clean"))
+    return out.select("page_id", U.url_key("url").alias("url_key"),
+                      F.length("clean_html").alias("clean_len"), F.length("markdown").alias("md_len"))
+
+
+# ---------------------------------------------------------------- P10
+def _results(spark, sf_dir):
+    from webrake.catalog.q_records import _endnote_text
+    p = table(spark, sf_dir, "part")
+    res = p.select(F.concat(F.lit("https://example.org/article/"), F.col("p_partkey").cast("string")).alias("url"),
+                   _endnote_text().alias("endnote"),
+                   F.transform(tokens("p_name"), lambda t: F.concat(
+                       F.lit("https://scholar.example.org/citations?hl=en&user="), t)).alias("profile_urls"))
+    done = p.where(F.col("p_size") < 5).select(
+        F.concat(F.lit("https://example.org/article/"), F.col("p_partkey").cast("string")).alias("url"))
+    return PF.citation_index(res, done)
+
+
+_CIT_BASE = """
+WITH r AS (SELECT p_partkey, 'https://example.org/article/' || CAST(p_partkey AS VARCHAR) AS url, p_name, p_type, p_size
+           FROM part WHERE NOT p_size < 5)"""
+
+
+@query("p_citations", _CIT_BASE + f"""
+SELECT url, CASE WHEN p_size > 45 THEN NULL ELSE p_type END AS type,
+       CASE WHEN p_size > 45 THEN NULL ELSE {S.strip_ws('p_name')} END AS title,
+       CASE WHEN p_size > 45 THEN NULL ELSE array_to_string({S.tokens('p_name')}, '|') END AS authors,
+       CASE WHEN p_size > 45 THEN NULL ELSE CAST(p_size + 1 AS VARCHAR) END AS volume,
+       CAST(len({S.tokens('p_name')}) AS INTEGER) AS n_profiles
+FROM r""")
+def p_citations(spark, sf_dir):
+    a = _results(spark, sf_dir)
+    return a.select("url", F.col("citation.type").alias("type"), F.col("citation.title").alias("title"),
+                    F.array_join("citation.authors", "|").alias("authors"),
+                    F.col("citation.volume").alias("volume"), F.size("profiles").alias("n_profiles"))
+
+
+@query("p_citation_profiles", _CIT_BASE + f"""
+SELECT DISTINCT 'https://scholar.example.org/citations?hl=en&user=' || t AS url, t AS uid
+FROM (SELECT unnest({S.tokens('p_name')}) AS t FROM r)""")
+def p_citation_profiles(spark, sf_dir):
+    return PF.distinct_profiles(_results(spark, sf_dir))
+
+
+@query("p_citation_authors", _CIT_BASE + f"""
+SELECT DISTINCT unnest({S.tokens('p_name')}) AS author FROM r WHERE NOT p_size > 45""")
+def p_citation_authors(spark, sf_dir):
+    return PF.distinct_authors(_results(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- P7 (cv kind, resume + seed)
+@query("p_fetch_plan_cv", f"""
+WITH h AS ({S.HITS}),
+ranked AS (SELECT entity_key, pos, url, row_number() OVER (PARTITION BY entity_key ORDER BY pos) AS rank
+           FROM h WHERE NOT {S.deny_url('url', T.CV_DENY + ['spam'])}),
+top AS (SELECT entity_key, CAST(rank AS BIGINT) AS rank, pos, url FROM ranked WHERE rank <= 3
+        UNION ALL
+        SELECT DISTINCT entity_key, CAST(4 AS BIGINT), CAST(NULL AS BIGINT), 'http://' || entity_key || '/people' FROM h),
+keyed AS (SELECT *, CAST(0 AS BIGINT) AS score, {S.url_key('url')} AS url_key FROM top),
+dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_key, url_key ORDER BY rank) AS rn FROM keyed) WHERE rn = 1)
+SELECT entity_key, rank, pos, url, score, url_key FROM dd
+WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.entity_key = dd.entity_key AND contains(h.url, '/en/') AND
+                  {S.url_key('h.url')} = dd.url_key)""")
+def p_fetch_plan_cv(spark, sf_dir):
+    """cv kind: deny-list, first 3 hits, a seed page per entity, resume
+    against pages already stored (here: the English pages)."""
+    hits = fetch.hits_from_pages(table(spark, sf_dir, "pages"))
+    seeds = hits.select("entity_key").distinct().select(
+        "entity_key", F.concat(F.lit("http://"), F.col("entity_key"), F.lit("/people")).alias("url"))
+    done = hits.where(F.col("url").contains("/en/")).select("entity_key", U.url_key("url").alias("url_key"))
+    return fetch.fetch_plan(hits, kind="cv", k=3, deny_any=T.CV_DENY + ["spam"],
+                            seeds=seeds, done=done)
+
+
+# ---------------------------------------------------------------- I1
+SPLIT_TS = "2024-01-10 00:00:00"
+
+
+@query("ingest_new", f"""
+WITH a AS (SELECT * FROM events WHERE ts < TIMESTAMP '{SPLIT_TS}'),
+b AS (SELECT * FROM events WHERE NOT (ts < TIMESTAMP '{SPLIT_TS}') OR ts IS NULL),
+fa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM a) WHERE rn = 1),
+fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM b) WHERE rn = 1)
+SELECT user_id, event_id, event_type, value FROM fa
+UNION ALL
+SELECT user_id, event_id, event_type, value FROM fb WHERE NOT EXISTS (SELECT 1 FROM fa WHERE fa.user_id = fb.user_id)""")
+def ingest_new(spark, sf_dir):
+    """Two arrivals of event files (before and after a cut-off time), each
+    ingested by one incremental run; a user is ingested once, with the
+    first event of the first run that saw the user."""
+    from webrake.streaming.ingest import ingest_new as run, read_target
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    landing, target, ckpt = (scratch_path(spark, n) for n in ("landing", "target", "ingest-ckpt"))
+    cut = F.lit(SPLIT_TS).cast("timestamp_ntz")
+    schema = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE"
+    e.where(F.col("ts") < cut).write.parquet(f"{landing}/a")
+    run(spark, f"{landing}/*", schema, target, ckpt, ["user_id"], ["ts", "event_id"])
+    e.where(~(F.col("ts") < cut) | F.col("ts").isNull()).write.parquet(f"{landing}/b")
+    run(spark, f"{landing}/*", schema, target, ckpt, ["user_id"], ["ts", "event_id"])
+    return read_target(spark, target).select("user_id", "event_id", "event_type", "value")

@@ -70,7 +70,7 @@ _BLOCK_SQL = """(CASE WHEN event_id % 11 = 5 THEN '  ' || chr(10) || ' '
        ELSE '{"u": ' || CAST(user_id AS VARCHAR) || '}' END) END)"""
 
 
-@query("jsonl_block", f"""
+JSONL_BLOCK_SQL = f"""
 WITH b AS (SELECT event_id, {_BLOCK_SQL} AS blk FROM events),
 l AS (SELECT event_id, blk, string_split({S.strip_ws('blk')}, chr(10)) AS ls FROM b),
 v AS (SELECT event_id, ls,
@@ -83,7 +83,10 @@ SELECT event_id, status, CAST(line_no AS INTEGER) AS line_no,
        TRY_CAST(json_extract(line, '$.k') AS BIGINT) AS k, TRY_CAST(json_extract(line, '$.u') AS BIGINT) AS u
 FROM ok
 UNION ALL
-SELECT event_id, status, NULL, NULL, NULL FROM v WHERE status <> 'ok'""")
+SELECT event_id, status, NULL, NULL, NULL FROM v WHERE status <> 'ok'"""
+
+
+@query("jsonl_block", JSONL_BLOCK_SQL)
 def q_jsonl_block(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "props", "user_id")
     b = e.select("event_id", _block().alias("blk"))
