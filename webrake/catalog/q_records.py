@@ -157,11 +157,12 @@ SELECT p_partkey,
   CASE WHEN list_bool_and(list_transform(kv, lambda p: p.v IS NOT NULL)) THEN list_filter(kv, lambda p: p.k = 'J')[-1].v END AS journal
 FROM kv""")
 def q_endnote_parse(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    c = RC.parse_endnote(_endnote_text())
-    return p.select("p_partkey", c["type"].alias("type"), c["title"].alias("title"),
-                    F.array_join(c["authors"], "|").alias("authors"),
-                    c["volume"].alias("volume"), c["journal"].alias("journal"))
+    p = table(spark, sf_dir, "part").select("p_partkey", _endnote_text().alias("t"))
+    c = F.col("c")
+    return RC.with_endnote(p, "t", "c").select(
+        "p_partkey", c["type"].alias("type"), c["title"].alias("title"),
+        F.array_join(c["authors"], "|").alias("authors"),
+        c["volume"].alias("volume"), c["journal"].alias("journal"))
 
 
 @query("drop_null_entries", """

@@ -18,14 +18,18 @@ def as_col(c: ColumnOrName) -> Column:
 
 
 def strip_ws(c: ColumnOrName) -> Column:
-    """Trim all ASCII whitespace (SQL ``trim`` strips spaces only)."""
-    return F.regexp_replace(as_col(c), r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
+    """Trim ASCII whitespace at both ends (SQL ``trim`` strips spaces only);
+    ``trim`` with a character set only looks at the ends of the text."""
+    return F.trim(as_col(c), F.lit(" \t\n\r\f\x0b"))
 
 
 def lines(c: ColumnOrName) -> Column:
-    """Split into lines like ``str.splitlines`` for ``\\n``, ``\\r\\n`` and
-    ``\\r`` breaks: a trailing empty element is dropped."""
-    parts = F.split(as_col(c), r"\r\n|\n|\r")
+    """Split into lines like ``str.splitlines`` for ``\n``, ``\r\n`` and
+    ``\r`` breaks: a trailing empty element is dropped.  Breaks are
+    normalised with literal replaces and split on one character (no regular
+    expression over the whole text)."""
+    norm = F.replace(F.replace(as_col(c), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    parts = F.split(norm, "\n")
     return F.when(F.element_at(parts, -1) == "",
                   F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 

@@ -95,20 +95,25 @@ ENDNOTE_FIELDS = {"0": "type", "T": "title", "A": "authors", "J": "journal", "V"
                   "N": "number", "P": "pages", "D": "year", "I": "publisher"}
 
 
-def parse_endnote(text: ColumnOrName) -> Column:
-    """struct<type, title, authors array<string>, journal, volume, number,
-    pages, year, publisher> from EndNote text; unknown tags are ignored.
-    A ``%`` line without a space is malformed: the whole result is null."""
+def endnote_pairs(text: ColumnOrName) -> Column:
+    """array<struct<k, v>> of the ``%`` lines: tag and value (value null
+    when the line has no space)."""
     tagged = F.filter(lines(text), lambda ln: ln.startswith("%"))
-    pairs = F.transform(tagged, lambda ln: F.struct(
+    return F.transform(tagged, lambda ln: F.struct(
         F.substring_index(F.substring(ln, 2, 1 << 30), " ", 1).alias("k"),
         F.when(F.substring(ln, 2, 1 << 30).contains(" "),
                F.regexp_extract(ln, r"^%[^ ]* (.*)$", 1)).alias("v")))
 
+
+def endnote_fields(pairs: ColumnOrName) -> Column:
+    """Citation struct from tag/value pairs: ``A`` collects, ``T`` and ``A``
+    are stripped, other known tags keep the last value; null when a tag line
+    has no space."""
+    pairs = as_col(pairs)
+
     def last(tag, strip=False):
         vals = F.filter(pairs, lambda p: p["k"] == tag)
-        v = F.element_at(vals, -1)["v"]
-        v = F.when(F.size(vals) > 0, v)
+        v = F.when(F.size(vals) > 0, F.element_at(vals, -1)["v"])
         return strip_ws(v) if strip else v
 
     fields = []
@@ -122,6 +127,21 @@ def parse_endnote(text: ColumnOrName) -> Column:
     return F.when(ok, F.struct(*fields))
 
 
+def parse_endnote(text: ColumnOrName) -> Column:
+    """struct<type, title, authors array<string>, journal, volume, number,
+    pages, year, publisher> from EndNote text; unknown tags are ignored.
+    A ``%`` line without a space is malformed: the whole result is null.
+    On large inputs prefer :func:`with_endnote` (pairs computed once)."""
+    return endnote_fields(endnote_pairs(text))
+
+
+def with_endnote(df, text_col: str, out_col: str = "citation"):
+    """Add the parsed citation; the tag/value pairs are materialised in
+    their own projection so they are split once, not once per field."""
+    return (df.withColumn("__pairs", endnote_pairs(text_col))
+              .withColumn(out_col, endnote_fields("__pairs")).drop("__pairs"))
+
+
 # ---------------------------------------------------------------- maps, variants
 def drop_null_entries(m: ColumnOrName) -> Column:
     return F.map_filter(as_col(m), lambda k, v: v.isNotNull())

@@ -74,6 +74,22 @@ def deny_url(url: ColumnOrName, any_of: Sequence[str] = (),
     return F.coalesce(cond, F.lit(False))
 
 
+def keep_url(url: ColumnOrName, any_of: Sequence[str] = (),
+             pairs: Sequence[tuple[str, ...]] = ()) -> Column:
+    """Filter form of ``~deny_url``: null URLs are kept, and the predicate
+    is plain ``NOT (contains OR ...)`` so it is listed in the scan's
+    ``PushedFilters``."""
+    col = as_col(url)
+    cond = contains_any(col, any_of)
+    for tup in pairs:
+        term = None
+        for w in tup:
+            t = col.contains(w)
+            term = t if term is None else (term & t)
+        cond = cond | term
+    return col.isNull() | ~cond
+
+
 def valid_cv_url(url: ColumnOrName) -> Column:
     return ~deny_url(url, CV_DENY)
 
@@ -151,19 +167,17 @@ def last_token_in(text: ColumnOrName, lexicon: Sequence[str],
 def screen(text: ColumnOrName, allow: Sequence[str], deny: Sequence[str]) -> Column:
     """struct<accept BOOLEAN, rule STRING>: the first allow token (in list
     order) contained in the text accepts with that rule; else the first deny
-    token rejects; else accept with a null rule."""
-    t = as_col(text)
-
-    def first_hit(words):
-        if not words:
-            return F.lit(None).cast("string")
-        arr = F.array(*[F.lit(w) for w in words])
-        return F.get(F.filter(arr, lambda w: F.coalesce(t, F.lit("")).contains(w)), 0)
-
-    a, d = first_hit(allow), first_hit(deny)
-    accept = F.when(a.isNotNull(), F.lit(True)).when(d.isNotNull(), F.lit(False)).otherwise(F.lit(True))
-    rule = F.coalesce(a, d)
-    return F.struct(accept.alias("accept"), rule.alias("rule"))
+    token rejects; else accept with a null rule.  One pass over the text
+    per token; pass a column (not an expression) as ``text`` so the text is
+    computed once."""
+    t = F.coalesce(as_col(text), F.lit(""))
+    tagged = [F.struct(F.lit(True).alias("accept"), F.lit(w).alias("rule")) for w in allow] + \
+             [F.struct(F.lit(False).alias("accept"), F.lit(w).alias("rule")) for w in deny]
+    if not tagged:
+        return F.struct(F.lit(True).alias("accept"), F.lit(None).cast("string").alias("rule"))
+    first = F.get(F.filter(F.array(*tagged), lambda x: t.contains(x["rule"])), 0)
+    return F.coalesce(first, F.struct(F.lit(True).alias("accept"),
+                                      F.lit(None).cast("string").alias("rule")))
 
 
 def regex_first(text: ColumnOrName, pattern: str, group: int = 1) -> Column:

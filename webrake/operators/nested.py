@@ -138,12 +138,17 @@ def display_width(c: ColumnOrName, cap: int | None = None) -> Column:
 
 def column_widths(df: DataFrame, cap: int | None = None) -> DataFrame:
     """(column, width): per column the widest value, at least the header
-    length, plus one.  One aggregation pass over the table."""
-    aggs = [F.greatest(F.max(display_width(F.col(c), cap)), F.lit(len(c))).alias(c)
-            for c in df.columns]
-    wide = df.agg(*aggs)
-    return wide.unpivot([], df.columns, "column", "w").select(
-        "column", (F.col("w") + 1).cast("bigint").alias("width"))
+    length, plus one.  Columns are stacked into (column, value) rows first,
+    so one small width expression runs per value (codegen-sized) and the
+    max is a partial aggregation over a handful of keys."""
+    cols = df.columns
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+        for c in cols])).alias("__kv")).select("__kv.column", "__kv.value")
+    widths = stacked.groupBy("column").agg(F.max(display_width(F.col("value"), cap)).alias("w"))
+    headers = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(len(c)))])
+    return widths.select("column", (F.greatest(F.col("w"), headers[F.col("column")]) + 1)
+                         .cast("bigint").alias("width"))
 
 
 # ---------------------------------------------------------------- A8

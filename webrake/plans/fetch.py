@@ -43,7 +43,7 @@ def hits_from_pages(pages: DataFrame) -> DataFrame:
 
 def deny_filter(hits: DataFrame, any_of: Sequence[str] = (),
                 pairs: Sequence[tuple[str, ...]] = ()) -> DataFrame:
-    return hits.where(~T.deny_url("url", any_of, pairs))
+    return hits.where(T.keep_url("url", any_of, pairs))
 
 
 def fetch_plan(hits: DataFrame, kind: str = "group", k: int = 3,
@@ -76,7 +76,7 @@ def fetch_plan(hits: DataFrame, kind: str = "group", k: int = 3,
     score = T.score_hit("title", "snippet", rules).cast("bigint") if rules else F.lit(0).cast("bigint")
     scored = hits.select("entity_key", "pos", "url", score.alias("score"))
     top = R.score_topk(scored, ["entity_key"], "score", "pos", k=k,
-                       keep=~T.deny_url("url", deny_any, deny_pairs), rank_col="rank")
+                       keep=T.keep_url("url", deny_any, deny_pairs), rank_col="rank")
     top = top.select("entity_key", F.col("rank").cast("bigint").alias("rank"), "pos", "url", "score")
     if seeds is not None:
         top = top.unionByName(seeds.select(

@@ -31,10 +31,13 @@ def screened_report(profiles: DataFrame, allow: Sequence[str], deny: Sequence[st
     screen over the lowercased articles and tags; the report carries the
     matched keyword, stats, ratio, search link and multi-line cells.
     Profiles whose citation stats do not parse go to quarantine."""
+    # Each costly intermediate gets its own projection: Spark does not
+    # share subexpressions that contain lambdas, and CollapseProject keeps
+    # a costly column separate when it is referenced more than once.
     full_text = F.lower(F.array_join(F.concat(F.coalesce("articles", F.array()),
                                               F.coalesce("tags", F.array())), "\n"))
-    sc = T.screen(full_text, allow, deny)
-    p = profiles.where(keep_flag).withColumn("__sc", sc).where(F.col("__sc.accept"))
+    p = profiles.where(keep_flag).withColumn("__ft", full_text)
+    p = p.withColumn("__sc", T.screen(F.col("__ft"), allow, deny)).where(F.col("__sc.accept"))
     p = p.withColumn("__st", T.cited_stats("cited_stats")) \
          .withColumn("email", T.email_domain("brief"))
     bad = p.where(F.col("__st").isNull()).select("name", "cited_stats")
@@ -79,9 +82,9 @@ def citation_index(results: DataFrame, done: DataFrame | None = None) -> DataFra
     parsed, profile ids taken from the links."""
     if done is not None:
         results = J.anti_processed(results, done, ["url"])
-    c = RC.parse_endnote("endnote")
-    return results.select(
-        "url", c.alias("citation"),
+    parsed = RC.with_endnote(results, "endnote", "citation")
+    return parsed.select(
+        "url", "citation",
         F.transform("profile_urls", lambda u: F.struct(u.alias("url"),
                                                        U.url_param(u, "user").alias("uid"))).alias("profiles"))
 
