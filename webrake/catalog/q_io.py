@@ -13,6 +13,12 @@ from webrake.sources import readers as RD
 from webrake.sources import sinks as SK
 
 
+def _q_url_re():
+    from webrake.catalog.sqlfrag import q
+    from webrake.functions.urls import URL_RE
+    return q(URL_RE)
+
+
 @query("src_jsonl", "SELECT event_id, user_id, event_type, value, props FROM events")
 def q_src_jsonl(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
@@ -132,3 +138,16 @@ def q_sink_versioned(spark, sf_dir):
     except Exception:  # noqa: BLE001 - the second write must be refused
         pass
     return spark.read.schema("n_nationkey INT, n_name STRING, n_regionkey INT").json(path)
+
+
+@query("sink_page_store", f"""
+SELECT page_id, url, html, regexp_extract(url, {_q_url_re()}, 2) AS entity_key FROM pages""")
+def q_sink_page_store(spark, sf_dir):
+    """Pages written as parquet partitioned by entity (the scalable page
+    store) and read back with partition discovery."""
+    from webrake.functions.urls import url_netloc
+    p = table(spark, sf_dir, "pages").withColumn("entity_key", url_netloc("url"))
+    path = scratch_path(spark, "page-store")
+    SK.write_page_store(p, path)
+    back = spark.read.parquet(path)
+    return back.select("page_id", "url", "html", F.col("entity_key").cast("string").alias("entity_key"))

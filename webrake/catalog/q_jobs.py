@@ -483,3 +483,61 @@ def ingest_new(spark, sf_dir):
     e.where(~(F.col("ts") < cut) | F.col("ts").isNull()).write.parquet(f"{landing}/b")
     run(spark, f"{landing}/*", schema, target, ckpt, ["user_id"], ["ts", "event_id"])
     return read_target(spark, target).select("user_id", "event_id", "event_type", "value")
+
+
+# ---------------------------------------------------------------- T30 on documents
+DOC_TEMPLATE = "Extract the records in this $LANG document from $SOURCE as JSON lines."
+
+
+@query("build_requests", f"""
+SELECT doc_id, replace(replace({S.q(DOC_TEMPLATE)}, '$LANG', coalesce(lang, '')), '$SOURCE', coalesce(source, '')) AS system,
+       {S.q('Markdown: ' + _TQ)} || chr(10) || text || chr(10) || {S.q(_TQ)} AS user_text
+FROM documents""")
+def build_requests(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    req = X.build_requests(d, ["doc_id"], X.render_template(DOC_TEMPLATE, LANG=F.col("lang"), SOURCE=F.col("source")),
+                           F.col("text"))
+    return req.select("doc_id", F.col("messages")[0]["content"].alias("system"),
+                      F.col("messages")[1]["content"].alias("user_text"))
+
+
+# ---------------------------------------------------------------- P7 other kinds
+@query("p_fetch_plan_student", f"""
+WITH h AS ({S.HITS}),
+ranked AS (SELECT entity_key, pos, url, row_number() OVER (PARTITION BY entity_key ORDER BY pos) AS rank
+           FROM h WHERE NOT {S.deny_url('url', T.STUDENT_DENY + ['/es/'], [('blog', 'utm_')])}),
+keyed AS (SELECT entity_key, CAST(rank AS BIGINT) AS rank, pos, url, CAST(0 AS BIGINT) AS score,
+                 {S.url_key('url', include_query=True)} AS url_key FROM ranked WHERE rank <= 2)
+SELECT entity_key, rank, pos, url, score, url_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity_key, url_key ORDER BY rank) AS rn FROM keyed) WHERE rn = 1""")
+def p_fetch_plan_student(spark, sf_dir):
+    """student kind: its deny-list (with the conjunctive pair rule), first 2
+    hits, page keys that include the query string."""
+    hits = fetch.hits_from_pages(table(spark, sf_dir, "pages"))
+    return fetch.fetch_plan(hits, kind="student", k=2, deny_any=T.STUDENT_DENY + ["/es/"],
+                            deny_pairs=[("blog", "utm_")], include_query=True)
+
+
+@query("p_fetch_plan_faculty", f"""
+SELECT {S.url_part('url', 2)} AS entity_key, CAST(1 AS BIGINT) AS rank, page_id AS pos, url,
+       CAST(0 AS BIGINT) AS score, {S.url_key('url', no_ext=True)} AS url_key FROM pages""")
+def p_fetch_plan_faculty(spark, sf_dir):
+    """faculty kind: one roster page per target, keyed without extension."""
+    hits = fetch.hits_from_pages(table(spark, sf_dir, "pages"))
+    return fetch.fetch_plan(hits, kind="faculty")
+
+
+@query("p_link_pick", f"""
+WITH p AS (SELECT {S.url_part('url', 2)} AS entity_key, page_id AS pos, url FROM pages),
+a AS (SELECT entity_key, min(pos) FILTER (WHERE contains(url, 'blog.')) AS a_pos FROM p GROUP BY entity_key),
+b AS (SELECT p.entity_key, min(p.pos) FILTER (WHERE contains(p.url, '/en/') AND p.pos IS DISTINCT FROM a.a_pos) AS b_pos
+      FROM p JOIN a ON p.entity_key = a.entity_key GROUP BY p.entity_key)
+SELECT a.entity_key, pa.url AS first_0, pb.url AS first_1
+FROM a JOIN b ON a.entity_key = b.entity_key
+LEFT JOIN p pa ON pa.pos = a.a_pos LEFT JOIN p pb ON pb.pos = b.b_pos""")
+def p_link_pick(spark, sf_dir):
+    """Per entity the first hit of one site kind, then the first other hit of
+    a second kind (stand-in words for the two profile sites)."""
+    hits = table(spark, sf_dir, "pages").select(
+        U.url_netloc("url").alias("entity_key"), F.col("page_id").alias("pos"), "url")
+    return fetch.link_pick(hits, "blog.", "/en/")

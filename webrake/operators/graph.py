@@ -3,11 +3,13 @@
 The frontier loop runs on the driver, one iteration per level (depth is a
 small parameter, 1 by default); every iteration is a distributed equi-join
 ``frontier x edges``, a ``distinct`` (partial aggregation) and an anti-join
-against the visited set.  Lineage is cut each level with a reliable
-``checkpoint()`` into the session's checkpoint folder, so a lost executor
-recomputes at most one level.  Recursive SQL is not used: Spark 4.1 only
+against the visited set.  Recursive SQL is not used: Spark 4.1 only
 accepts ``UNION ALL`` recursion, which would re-expand visited nodes.
 
+Each level and the edge table are written under the session's checkpoint
+folder and read back, which cuts lineage: a lost executor recomputes at most
+one level.
+
 A hub node (one third of all edges) makes the join skewed on ``src``; AQE's
 skew-join split handles it, and ``distinct`` before the anti-join keeps the
 next frontier at most one row per node.
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrake.session import checkpoint_dir
+from webrake.session import scratch_path
 
 
 def build_edges(links: DataFrame, src: str, dst: str, symmetric: bool = False) -> DataFrame:
@@ -31,30 +33,45 @@ def build_edges(links: DataFrame, src: str, dst: str, symmetric: bool = False) -
                    & (F.col("src") != F.col("dst"))).distinct()
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """Write once to the shared checkpoint folder and read back: cuts the
+    lineage (a lost executor recomputes nothing before this point) and
+    computes the input exactly once (``checkpoint()`` without a cache would
+    run it twice)."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def bfs_levels(seeds: DataFrame, edges: DataFrame, depth: int = 1,
                node_col: str = "node", stored: DataFrame | None = None,
-               checkpoint: bool = True) -> DataFrame:
+               materialize: bool = True) -> DataFrame:
     """Every node within ``depth`` hops of a seed, once, with its shortest
     distance ``lvl`` (seeds are level 0).
 
     ``stored`` (a ``node`` table) lists nodes processed in an earlier run:
-    they are not emitted again but are still expanded (resume)."""
+    they are not emitted again but are still expanded (resume).
+
+    With ``materialize`` the edge table and each level are written as
+    tables under the session's checkpoint folder (``spark.checkpoint.dir``;
+    a shared folder on a cluster), so each level is computed once and a
+    retry after a lost executor starts from the last written level."""
     spark = seeds.sparkSession
-    if checkpoint:
-        checkpoint_dir(spark)
+    base = scratch_path(spark, "bfs") if materialize else None
+    e = edges.select("src", "dst")
+    if materialize:
+        e = _written(e, f"{base}/edges")
     visited = seeds.select(F.col(node_col).alias("node")).where(F.col("node").isNotNull()) \
         .distinct().withColumn("lvl", F.lit(0))
-    if checkpoint:
-        visited = visited.checkpoint()
+    if materialize:
+        visited = _written(visited, f"{base}/level=0")
     frontier = visited.select("node")
-    e = edges.select("src", "dst")
     for lvl in range(1, depth + 1):
         nxt = (frontier.join(e, frontier.node == e.src)
                .select(F.col("dst").alias("node")).distinct()
                .join(visited.select("node"), "node", "left_anti"))
         nxt = nxt.withColumn("lvl", F.lit(lvl))
-        if checkpoint:
-            nxt = nxt.checkpoint()
+        if materialize:
+            nxt = _written(nxt, f"{base}/level={lvl}")
         if nxt.isEmpty():
             break
         visited = visited.unionByName(nxt)

@@ -32,6 +32,7 @@ BLOCK = {"p", "div", "section", "article", "header", "footer", "nav", "ul", "ol"
          "tr", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "hr",
          "title", "main", "aside", "form", "dl", "dt", "dd"}
 KEEP_META = {"meta": None}  # None = every attribute
+MAX_PAGES_PER_BATCH = 256
 
 
 class _Cleaner(HTMLParser):
@@ -161,4 +162,9 @@ def clean_pages(pages: DataFrame, html_col: str = "html", keep: dict | None = No
             out["markdown"] = [r[1] for r in res]
             yield out
 
+    # Pages are large: keep Arrow batches small so one batch of pages fits a
+    # Python worker comfortably (the session default is 10,000 rows).
+    conf = pages.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > MAX_PAGES_PER_BATCH:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(MAX_PAGES_PER_BATCH))
     return pages.select(*cols, html_col).mapInPandas(run, schema)
