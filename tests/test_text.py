@@ -84,3 +84,13 @@ def test_lexicon_table_join(spark):
     assert got == {1: True, 2: True, 3: False}
     last = {r.id: r.hit for r in any_token_in_table(df, "id", "t", lex, last_only=True).collect()}
     assert last == {1: False, 2: True, 3: False}
+
+
+def test_lexicon_table_join_path_equals_inline(spark):
+    """The join path (large lexicon) and the inlined path agree."""
+    from webrake.operators.lexicon import any_token_in_table
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_partkey", "p_name")
+    lex = part.select(F.element_at(F.split("p_name", " "), -1).alias("word")).distinct()
+    a = {r.p_partkey: r.hit for r in any_token_in_table(part, "p_partkey", "p_name", lex).collect()}
+    b = {r.p_partkey: r.hit for r in any_token_in_table(part, "p_partkey", "p_name", lex, inline_max=0).collect()}
+    assert a == b and any(a.values())

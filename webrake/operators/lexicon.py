@@ -24,14 +24,33 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Dat
     return F.broadcast(df) if n <= max_rows else df
 
 
+INLINE_MAX_WORDS = 10_000
+
+
 def any_token_in_table(df: DataFrame, id_col: str, text_col: str,
                        lexicon: DataFrame, word_col: str = "word",
-                       out_col: str = "hit", last_only: bool = False) -> DataFrame:
+                       out_col: str = "hit", last_only: bool = False,
+                       inline_max: int = INLINE_MAX_WORDS) -> DataFrame:
     """Add ``out_col``: some (or, with ``last_only``, the last) lowercased
     whitespace token of ``text_col`` is a lexicon word.  ``id_col`` must be
-    unique in ``df``."""
-    lex = broadcast_if_small(
-        lexicon.select(F.lower(F.col(word_col)).alias("__w")).distinct())
+    unique in ``df``.
+
+    A lexicon of at most ``inline_max`` distinct words (checked with a
+    bounded ``limit(n + 1)`` read) is inlined as a literal array: the test
+    is then a map-side expression with no shuffle.  A larger lexicon is
+    joined: tokens are exploded and semi-joined against it (broadcast only
+    when small enough), and the matching ids are joined back."""
+    words = lexicon.select(F.lower(F.col(word_col)).alias("__w")).where(
+        F.col("__w").isNotNull()).distinct()
+    small = [r["__w"] for r in words.limit(inline_max + 1).collect()]
+    if len(small) <= inline_max:
+        from webrake.functions.text import any_token_in, last_token
+        if last_only:
+            hit = F.coalesce(F.lower(last_token(text_col)).isin(small), F.lit(False))
+        else:
+            hit = any_token_in(text_col, small)
+        return df.withColumn(out_col, hit)
+    lex = broadcast_if_small(words)
     if last_only:
         toks = df.select(F.col(id_col).alias("__id"),
                          F.lower(F.element_at(tokens(text_col), -1)).alias("__w"))

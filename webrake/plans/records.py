@@ -110,25 +110,38 @@ def student_scores(index: DataFrame, docs: DataFrame, hit: int = 10, miss: int =
            n_exp, exp_score, n_pub, pub_score (list sizes and their weighted
            sums, computed from child rows by aggregation)"""
     title_ok = title_ok or T.is_graduate
-    # document order: largest first, then doc_id (the crawl lists files by size)
-    base = N.largest_doc(docs, ["entity_key"], "size", "doc_id",
-                         ["doc_id", "title", "email"])
-    base = base.where(title_ok(F.col("title")))
-    order = [-F.col("size"), F.col("doc_id")]
-    e = N.longest_list(docs, ["entity_key"], "n_exp", order, ["doc_id", "exp_score"], "exp_")
-    p = N.longest_list(docs, ["entity_key"], "n_pub", order, ["doc_id", "pub_score"], "pub_")
-    j = base.join(e, "entity_key").join(p, "entity_key").join(
-        index.select("entity_key", F.col("institute").alias("ix_institute"),
-                     F.col("email").alias("ix_email")), "entity_key", "left")
-    score = F.coalesce("exp_exp_score", F.lit(0)) + F.coalesce("pub_pub_score", F.lit(0))
+    # One aggregation per person with three picks (one shuffle of the
+    # documents): the base document (largest, then doc_id - the crawl lists
+    # files by size) and, independently, the longest experience list and
+    # the longest publication list (strictly longer wins, so document order
+    # breaks ties).  Each pick is a partial min(struct) aggregate.
+    def pick(order, payload):
+        return F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)],
+                              *[F.col(c) for c in payload]))
+
+    size, doc = F.col("size"), F.col("doc_id")
+    n_exp = F.coalesce(F.col("n_exp"), F.lit(0))
+    n_pub = F.coalesce(F.col("n_pub"), F.lit(0))
+    d = docs.withColumn("n_exp", n_exp).withColumn("n_pub", n_pub)
+    per = d.groupBy("entity_key").agg(
+        pick([-size, doc], ["doc_id", "title", "email"]).alias("b"),
+        pick([-F.col("n_exp"), -size, doc], ["doc_id", "n_exp", "exp_score"]).alias("e"),
+        pick([-F.col("n_pub"), -size, doc], ["doc_id", "n_pub", "pub_score"]).alias("p"))
+    per = per.where(title_ok(F.col("b.title")))
+    j = per.join(index.select("entity_key", F.col("institute").alias("ix_institute"),
+                              F.col("email").alias("ix_email")), "entity_key", "left")
+    score = (F.when(F.col("e.n_exp") > 0, F.col("e.exp_score")).otherwise(F.lit(0))
+             + F.when(F.col("p.n_pub") > 0, F.col("p.pub_score")).otherwise(F.lit(0)))
     return j.select(
-        "entity_key", F.col("doc_id").alias("base_doc"), "title",
-        F.col("exp_doc_id").alias("exp_doc"), F.col("exp_size").cast("bigint").alias("n_exp"),
-        F.col("pub_doc_id").alias("pub_doc"), F.col("pub_size").cast("bigint").alias("n_pub"),
+        "entity_key", F.col("b.doc_id").alias("base_doc"), F.col("b.title").alias("title"),
+        F.when(F.col("e.n_exp") > 0, F.col("e.doc_id")).alias("exp_doc"),
+        F.col("e.n_exp").cast("bigint").alias("n_exp"),
+        F.when(F.col("p.n_pub") > 0, F.col("p.doc_id")).alias("pub_doc"),
+        F.col("p.n_pub").cast("bigint").alias("n_pub"),
         score.cast("bigint").alias("score"),
         N.surrogate_id("entity_key").alias("id"),
         F.coalesce("ix_institute", F.lit("")).alias("institute"),
-        J.fallback_value("email", "ix_email").alias("email"))
+        J.fallback_value("b.email", "ix_email").alias("email"))
 
 
 def list_stats(children: DataFrame, doc_key: str, flag: Column, in_second: Column,
