@@ -25,7 +25,7 @@ def q_explode_filter(spark, sf_dir):
 
 
 @query("weighted_score", """
-SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN 10 ELSE 1 END) AS score
+SELECT l_orderkey, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 10 ELSE 1 END) AS BIGINT) AS score
 FROM lineitem GROUP BY l_orderkey""")
 def q_weighted_score(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
