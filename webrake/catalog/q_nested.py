@@ -89,7 +89,7 @@ def q_rollup_urls(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select(
         U.url_netloc("url").alias("entity_key"), F.col("page_id").alias("pos"), "url")
     return N.rollup_first_k(p, ["entity_key"], "pos", "url", k=3, sep="\r\n",
-                            keep=~T.deny_url("url", ["spam"], [("blog", "utm_")]), out_col="urls")
+                            keep=T.keep_url("url", ["spam"], [("blog", "utm_")]), out_col="urls")
 
 
 @query("first_per_category", f"""

@@ -19,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 from webrake.functions.common import ColumnOrName, as_col, lines, strip_ws
+from webrake.session import ship_package
 
 FENCE_END = "```"
 
@@ -74,6 +75,7 @@ def jsonl_lines(block: ColumnOrName) -> Column:
 def parse_jsonl_block(block: ColumnOrName, schema: str) -> Column:
     """array<struct> of the block's records, null when any line is not
     strict JSON; an empty block gives an empty array (not an error)."""
+    ship_package()
     b = as_col(block)
     recs = F.transform(jsonl_lines(b), lambda x: F.from_json(x, schema))
     empty = F.filter(recs, lambda r: F.lit(False))
@@ -84,6 +86,7 @@ def parse_jsonl_block(block: ColumnOrName, schema: str) -> Column:
 
 def parse_json_record(text: ColumnOrName, schema: str) -> Column:
     """struct parsed from strict JSON text, null when not strict JSON."""
+    ship_package()
     t = as_col(text)
     return F.when(json_strict_valid(t), F.from_json(t, schema))
 

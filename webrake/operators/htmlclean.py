@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
+from webrake.session import ship_package
+
 # Fixed values.
 DROP_WITH_CONTENT = {"script", "style", "noscript", "svg", "img", "iframe", "code"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
@@ -164,6 +166,7 @@ def clean_pages(pages: DataFrame, html_col: str = "html", keep: dict | None = No
 
     # Pages are large: keep Arrow batches small so one batch of pages fits a
     # Python worker comfortably (the session default is 10,000 rows).
+    ship_package(pages.sparkSession)
     conf = pages.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > MAX_PAGES_PER_BATCH:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(MAX_PAGES_PER_BATCH))

@@ -60,3 +60,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint folder for intermediate tables."""
     base = checkpoint_dir(spark)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``webrake`` importable in Python workers, as ``--py-files`` does:
+    the package's modules are zipped once per application on the driver and
+    added with ``addPyFile`` (Spark serves the file to every executor).
+    Operators that run Python in tasks (``pandas_udf``, ``mapInPandas``)
+    call this; it does nothing when the package is installed."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    import webrake
+    pkg_dir = os.path.dirname(os.path.abspath(webrake.__file__))
+    if "site-packages" not in pkg_dir and "dist-packages" not in pkg_dir:
+        root = os.path.dirname(pkg_dir)
+        zpath = os.path.join(tempfile.mkdtemp(prefix="webrake-py-"), "webrake.zip")
+        with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+            for d, _, files in os.walk(pkg_dir):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(d, f)
+                        z.write(full, os.path.relpath(full, root))
+        sc.addPyFile(zpath)
+    _SHIPPED.add(app)
