@@ -158,3 +158,13 @@ def q_project_defaults(spark, sf_dir):
         U.url_param("url", "page").alias("page"))
     return J.project_defaults(p, {"page_id": None, "ref": "", "utm_source": "", "page": "1",
                                   "is_famous": False})
+
+
+@query("slice_offset", """
+SELECT o_orderkey, o_orderpriority FROM orders
+ORDER BY o_orderpriority NULLS LAST, o_orderkey OFFSET 100""")
+def q_slice_offset(spark, sf_dir):
+    """W7 with limit 0 (no end): every row after the first 100."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return R.slice_rows(o, [F.col("o_orderpriority").asc_nulls_last(), F.col("o_orderkey")],
+                        offset=100, limit=0, key=["o_orderkey"])
