@@ -84,9 +84,14 @@ def test_absolutize(spark, link, expected):
 def test_url_join_forms(spark):
     from urllib.parse import urljoin
     base = "https://s.org/x/y?z=1"
-    links = ["/citations?user=A", "https://o.org/p", "//cdn.org/q", "?user=B", "c?d=1", "#frag"]
-    got = _eval(spark, U.url_join(F.col("a"), F.col("b")), *[(base, lk) for lk in links])
-    assert got == [urljoin(base, lk) for lk in links]
+    links = ["/citations?user=A", "https://o.org/p", "//cdn.org/q", "?user=B", "c?d=1", "#frag",
+             "../a", "../../../a", "./b/", ".", "..", "a/./b/../c", "/x/../y", "a//b", "", "/", "/x//y/./z", "../", "g;x?y#s"]
+    bases = [base, "https://s.org", "https://s.org/", "https://s.org/a/b/c/", "http://h/a/b.html#t"]
+    pairs = [(b, lk) for b in bases for lk in links]
+    got = _eval(spark, U.url_join(F.col("a"), F.col("b")), *pairs)
+    want = [urljoin(b, lk) for b, lk in pairs]
+    bad = [(p, g, w) for p, g, w in zip(pairs, got, want) if g != w]
+    assert not bad, bad[:6]
 
 
 def test_entity_key(spark):

@@ -102,24 +102,54 @@ def absolutize(base: ColumnOrName, link: ColumnOrName) -> Column:
             .otherwise(F.concat(b, l)))
 
 
+def remove_dot_segments(path: ColumnOrName, drop_empty: Column | bool = True) -> Column:
+    """Resolve ``.`` and ``..`` segments of a merged path (RFC 3986 section
+    5.2.4, as the standard library applies it: for relative references empty
+    inner segments are dropped, ``..`` above the root is ignored, a trailing
+    ``.``/``..`` leaves a trailing slash, and the result is rooted).  A fold
+    over the segments, no regex loop."""
+    segs = F.split(as_col(path), "/")
+    n = F.size(segs)
+    inner = F.filter(F.slice(segs, 2, F.greatest(n - 2, F.lit(0))), lambda x: x != "")
+    drop = drop_empty if isinstance(drop_empty, Column) else F.lit(bool(drop_empty))
+    parts = F.when(drop & (n >= 2),
+                   F.concat(F.array(F.get(segs, 0)), inner, F.array(F.element_at(segs, -1)))) \
+        .otherwise(segs)
+    folded = F.aggregate(
+        parts, F.array().cast("array<string>"),
+        lambda acc, seg: F.when(seg == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1))
+                                .otherwise(acc))
+        .when(seg == ".", acc)
+        .otherwise(F.concat(acc, F.array(seg))))
+    trail = F.element_at(parts, -1).isin(".", "..")
+    out = F.array_join(F.when(trail, F.concat(folded, F.array(F.lit("")))).otherwise(folded), "/")
+    return (F.when(out == "", F.lit("/"))
+            .when(~out.startswith("/"), F.concat(F.lit("/"), out))
+            .otherwise(out))
+
+
 def url_join(base: ColumnOrName, link: ColumnOrName) -> Column:
-    """Standard join of a reference against a base URL for the forms that
-    occur in link lists: absolute, ``//net``, ``/path``, ``?query``, empty and
-    relative path (merged with the base directory; dot segments are kept)."""
+    """Standard join of a reference against a base URL: absolute links are
+    kept; ``//net``, ``/path``, ``?query``, ``#frag``, empty and relative
+    paths are resolved against the base, with dot segments removed."""
     b, l = as_col(base), as_col(link)
     scheme = _part(b, 1)
     origin = F.concat(scheme, F.lit("://"), url_netloc(b))
     base_path = _part(b, 3)
     base_noq = F.concat(origin, base_path)
-    base_dir = F.concat(origin, F.regexp_extract(base_path, r"^(.*/)?", 0))
+    base_dir = F.regexp_extract(base_path, r"^(.*/)?", 0)
+    l_path, l_rest = F.regexp_extract(l, r"^[^?#]*", 0), F.regexp_extract(l, r"[?#].*$", 0)
+    rooted = l.startswith("/")
+    merged = remove_dot_segments(F.when(rooted, l_path)
+                                 .otherwise(F.concat(F.when(base_dir == "", F.lit("/")).otherwise(base_dir),
+                                                     l_path)), drop_empty=~rooted)
     return (F.when(l.isNull(), F.lit(None).cast("string"))
-            .when(l == "", F.when(url_query(b) != "", F.concat(base_noq, F.lit("?"), url_query(b))).otherwise(base_noq))
+            .when(l == "", b)
             .when(l.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), l)
             .when(l.startswith("//"), F.concat(scheme, F.lit(":"), l))
-            .when(l.startswith("/"), F.concat(origin, l))
             .when(l.startswith("?"), F.concat(base_noq, l))
             .when(l.startswith("#"), F.concat(F.substring_index(b, "#", 1), l))
-            .otherwise(F.concat(base_dir, l)))
+            .otherwise(F.concat(origin, merged, l_rest)))
 
 
 def profile_open_url(site: ColumnOrName, link: ColumnOrName,
