@@ -26,8 +26,16 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+# Tables whose rows carry whole texts (pages, documents, answers built from
+# events): per-row work on them is CPU-heavy, so an under-partitioned scan
+# is spread over the cores (see ``read_table``).  Narrow numeric tables are
+# read as they are: spreading them costs more than it saves.
+TEXT_TABLES = {"pages", "documents", "events"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from webrake.sources.readers import read_table
+    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=name in TEXT_TABLES)
 
 
 def load_all() -> dict[str, tuple[Builder, str | None]]:

@@ -100,3 +100,19 @@ def read_page_blobs(spark: SparkSession, path: str) -> DataFrame:
     """Stored page files as ``(file_path, html)``, one row per file."""
     return spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("html"))
+
+
+def read_table(spark: SparkSession, path: str, spread: bool = True) -> DataFrame:
+    """Parquet table.  When the scan yields fewer splits than the session's
+    default parallelism (a table stored as one file with one row group, as
+    small extracts are), rows are spread round-robin so per-row CPU work
+    (regular expressions over whole pages, the HTML parser pass, strict JSON
+    checks) uses every core.  A table of many files already has more splits
+    than cores, so on a cluster this is a no-op.  Filters are still pushed
+    into the scan below the spread."""
+    df = spark.read.parquet(path)
+    if spread:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            df = df.repartition(want)
+    return df
