@@ -324,7 +324,7 @@ def p_refresh(spark, sf_dir):
     profiles = pages.select(F.col("page_id").alias("uid"), co.alias("co_authors_json"))
     fresh = PF.refresh_profiles(profiles, pages.select(F.col("page_id").alias("uid"), "html"), _AD_SPEC)
     from webrake.sources.sinks import write_versioned
-    path = write_versioned(fresh.select("uid", "ads", "co_author"), scratch_path(spark, "gs_profiles"),
+    path = write_versioned(fresh.select("uid", "ads", "co_author"), scratch_path(spark, "profiles"),
                            suffix="refresh", fmt="parquet")
     back = spark.read.parquet(path)
     return back.select("uid", F.array_join("ads", "|").alias("ads"), F.size("ads").alias("n_ads"), "co_author")
