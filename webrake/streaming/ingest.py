@@ -38,6 +38,19 @@ def _target_before(spark: SparkSession, target: str, batch_id: int, keys: Sequen
     return done.select(*keys)
 
 
+def process_batch(batch: DataFrame, batch_id: int, target: str,
+                  keys: Sequence[str], order: Sequence[str]) -> None:
+    """One micro-batch: first record per key inside the batch, minus keys
+    already written by *earlier* batches, written to ``batch_id=N`` with
+    overwrite (replaying the batch rewrites the same folder)."""
+    spark = batch.sparkSession
+    first = dedupe_first(batch, list(keys), list(order))
+    done = _target_before(spark, target, batch_id, keys)
+    if done is not None:
+        first = first.join(done, list(keys), "left_anti")
+    first.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+
 def ingest_new(spark: SparkSession, source: str, schema: str, target: str,
                checkpoint: str, keys: Sequence[str], order: Sequence[str],
                fmt: str = "parquet", max_files_per_trigger: int | None = None) -> None:
@@ -46,15 +59,8 @@ def ingest_new(spark: SparkSession, source: str, schema: str, target: str,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source)
-
-    def process(batch: DataFrame, batch_id: int) -> None:
-        first = dedupe_first(batch, list(keys), list(order))
-        done = _target_before(spark, target, batch_id, keys)
-        if done is not None:
-            first = first.join(done, list(keys), "left_anti")
-        (first.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}"))
-
-    q = (stream.writeStream.foreachBatch(process)
+    q = (stream.writeStream
+         .foreachBatch(lambda b, i: process_batch(b, i, target, keys, order))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True)
          .start())
