@@ -7,7 +7,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webrake.catalog import query, table
-from webrake.functions.common import strip_ws
 from webrake.session import scratch_path
 from webrake.sources import readers as RD
 from webrake.sources import sinks as SK
