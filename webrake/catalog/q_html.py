@@ -58,3 +58,30 @@ def q_html_fields(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     f = H.extract_fields("html", {"ad": ("div", "ad", False), "ads": ("div", "ad", True)})
     return p.select("page_id", f["ad"].alias("ad"), F.size(f["ads"]).alias("n_ads"))
+
+
+_ANCHOR_RE = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a\s*>'
+
+
+@query("html_anchors", f"""
+WITH n AS (SELECT page_id, {S.element_text(S.drop_blocks('html', ['script']), 'nav')} AS body FROM pages),
+x AS (SELECT page_id, unnest(regexp_extract_all(body, {S.q(_ANCHOR_RE)}, 2)) AS name,
+             unnest(regexp_extract_all(body, {S.q(_ANCHOR_RE)}, 1)) AS url,
+             unnest(generate_series(0, len(regexp_extract_all(body, {S.q(_ANCHOR_RE)}, 1)) - 1)) AS link_no FROM n)
+SELECT page_id, CAST(link_no AS INTEGER) AS link_no, {S.strip_tags('name')} AS name, url FROM x""")
+def q_html_anchors(spark, sf_dir):
+    """Repeated (name, link) fields inside a container: the links of each
+    page's navigation list (the shape of a co-author list)."""
+    p = table(spark, sf_dir, "pages")
+    x = p.select("page_id", F.posexplode(H.extract_anchors("html", "nav")).alias("link_no", "a"))
+    return x.select("page_id", "link_no", F.col("a.name").alias("name"), F.col("a.url").alias("url"))
+
+
+@query("html_keep_meta", f"""
+SELECT page_id, replace(regexp_replace(regexp_replace({S.drop_blocks('html')}, '(?i)<(meta)\\b', '<' || chr(1) || '\\1', 'g'),
+         '<([A-Za-z][A-Za-z0-9]*)\\s[^>]*>', '<\\1>', 'g'), '<' || chr(1), '<') AS html
+FROM pages""")
+def q_html_keep_meta(spark, sf_dir):
+    """Cleaning in keep mode: ``<meta>`` keeps its attributes."""
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", H.clean_html_native("html", keep_tags=["meta"]).alias("html"))

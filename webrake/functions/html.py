@@ -39,13 +39,24 @@ def drop_blocks(html: ColumnOrName, tags: Sequence[str] = DROP_BLOCKS) -> Column
 ATTR_RE = r"<([A-Za-z][A-Za-z0-9]*)\s[^>]*>"
 
 
-def drop_attrs(html: ColumnOrName) -> Column:
-    """Drop every attribute: ``<p class=a>`` -> ``<p>``."""
-    return F.regexp_replace(as_col(html), ATTR_RE, "<$1>")
+PROTECT = "\u0001"
 
 
-def clean_html_native(html: ColumnOrName) -> Column:
-    return drop_attrs(drop_blocks(html))
+def drop_attrs(html: ColumnOrName, keep_tags: Sequence[str] = ()) -> Column:
+    """Drop every attribute: ``<p class=a>`` -> ``<p>``.  Tags in
+    ``keep_tags`` keep theirs: they are shielded with a placeholder while the
+    attributes of every other tag are removed (no look-around needed)."""
+    out = as_col(html)
+    for t in keep_tags:
+        out = F.regexp_replace(out, rf"(?i)<({t})\b", "<" + PROTECT + "$1")
+    out = F.regexp_replace(out, ATTR_RE, "<$1>")
+    if keep_tags:
+        out = F.replace(out, F.lit("<" + PROTECT), F.lit("<"))
+    return out
+
+
+def clean_html_native(html: ColumnOrName, keep_tags: Sequence[str] = ()) -> Column:
+    return drop_attrs(drop_blocks(html), keep_tags)
 
 
 def strip_tags(html: ColumnOrName) -> Column:
@@ -102,3 +113,24 @@ def extract_fields(html: ColumnOrName, spec: dict[str, tuple[str, str, bool]]) -
         vals = F.transform(extract_by_class(html, tag, cls), lambda v: strip_tags(v))
         fields.append((vals if repeated else F.coalesce(F.get(vals, 0), F.lit(""))).alias(name))
     return F.struct(*fields)
+
+
+ANCHOR_RE = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a\s*>'
+
+
+def container_html(html: ColumnOrName, tag: str, cls: str | None = None) -> Column:
+    """Inner HTML of the first ``<tag>`` (with class ``cls`` when given)."""
+    if cls is None:
+        return element_text(html, tag)
+    pat = rf'(?is)<{tag}\s[^>]*class="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"[^>]*>(.*?)</{tag}\s*>'
+    return F.regexp_extract(as_col(html), pat, 1)
+
+
+def extract_anchors(html: ColumnOrName, tag: str, cls: str | None = None) -> Column:
+    """array<struct<name, url>> of the links inside a container (e.g. a
+    co-author list): anchor text (tags stripped) and ``href``, in order."""
+    inner = container_html(drop_blocks(html, ["script"]), tag, cls)
+    pairs = F.arrays_zip(F.regexp_extract_all(inner, F.lit(ANCHOR_RE), 2).alias("name"),
+                         F.regexp_extract_all(inner, F.lit(ANCHOR_RE), 1).alias("url"))
+    return F.transform(pairs, lambda p: F.struct(strip_tags(p["name"]).alias("name"),
+                                                 p["url"].alias("url")))
