@@ -82,7 +82,7 @@ def q_keyword_class(spark, sf_dir):
 SELECT page_id, url FROM pages WHERE NOT {S.deny_url('url', ['.html', 'spam'])}""")
 def q_url_deny_any(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url")
-    return p.where(~T.deny_url("url", [".html", "spam"]))
+    return p.where(T.keep_url("url", [".html", "spam"]))
 
 
 @query("url_deny_pair", f"""
@@ -213,3 +213,16 @@ def q_vocab(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     v = L.vocab_violations(tokens("p_name"), VOCAB)
     return p.select("p_partkey", F.array_join(F.array_sort(v), "|").alias("violations"))
+
+
+@query("lexicon_table_join", f"""
+WITH lex AS (SELECT list(DISTINCT lower(t)) AS words FROM (SELECT unnest({S.tokens('p_name')}) AS t FROM part))
+SELECT doc_id, coalesce(len(list_intersect({S.tokens('lower(text)')}, (SELECT words FROM lex))) > 0, false) AS hit
+FROM documents""")
+def q_lexicon_table_join(spark, sf_dir):
+    """Join path of the table lexicon (as used for lexicons too large to
+    inline): every token of every whole document against the distinct
+    part-name words."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lex = table(spark, sf_dir, "part").select(F.explode(tokens("p_name")).alias("word"))
+    return L.any_token_in_table(d, "doc_id", "text", lex, out_col="hit", inline_max=0).select("doc_id", "hit")
