@@ -292,7 +292,8 @@ SELECT name, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS DOUBLE) AS score, coale
 FROM st WHERE c_all IS NOT NULL AND c_5 IS NOT NULL""")
 def p_report(spark, sf_dir):
     prof = _profiles_from_documents(spark, sf_dir)
-    report, _bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0)
+    report, _bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0,
+                                      materialize=True)
     return report
 
 
@@ -300,7 +301,8 @@ def p_report(spark, sf_dir):
 SELECT name, cited_stats FROM st WHERE c_all IS NULL OR c_5 IS NULL""")
 def p_report_quarantine(spark, sf_dir):
     prof = _profiles_from_documents(spark, sf_dir)
-    _report, bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0)
+    _report, bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0,
+                                      materialize=True)
     return bad
 
 

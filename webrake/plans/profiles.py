@@ -26,18 +26,32 @@ REPORT_COLUMNS = ["name", "note", "score", "homepage", "keyword", "tags", "cited
 
 # ---------------------------------------------------------------- P5
 def screened_report(profiles: DataFrame, allow: Sequence[str], deny: Sequence[str],
-                    keep_flag: Column) -> tuple[DataFrame, DataFrame]:
+                    keep_flag: Column, materialize: bool | str = False) -> tuple[DataFrame, DataFrame]:
     """(report, quarantine).  Profiles pass ``keep_flag`` and the allow/deny
     screen over the lowercased articles and tags; the report carries the
     matched keyword, stats, ratio, search link and multi-line cells.
-    Profiles whose citation stats do not parse go to quarantine."""
-    # Each costly intermediate gets its own projection: Spark does not
-    # share subexpressions that contain lambdas, and CollapseProject keeps
-    # a costly column separate when it is referenced more than once.
+    Profiles whose citation stats do not parse go to quarantine.
+
+    ``materialize`` (True or a folder) writes the screened profiles once
+    under the checkpoint folder and derives both outputs from that table:
+    the text is joined, lowercased and screened once (a filter on a computed
+    column would otherwise be pushed down with the whole text expression
+    inlined, once per screen word), and the write cuts the lineage."""
     full_text = F.lower(F.array_join(F.concat(F.coalesce("articles", F.array()),
                                               F.coalesce("tags", F.array())), "\n"))
-    p = profiles.where(keep_flag).withColumn("__ft", full_text)
-    p = p.withColumn("__sc", T.screen(F.col("__ft"), allow, deny)).where(F.col("__sc.accept"))
+    p = profiles.where(keep_flag)
+    if materialize:
+        from webrake.session import scratch_path
+        spark = profiles.sparkSession
+        path = materialize if isinstance(materialize, str) else scratch_path(spark, "screened")
+        p.withColumn("__sc", T.screen(full_text, allow, deny)).write.mode("overwrite").parquet(path)
+        p = spark.read.parquet(path)
+    else:
+        # Each costly intermediate gets its own projection: Spark does not
+        # share subexpressions that contain lambdas, and CollapseProject
+        # keeps a costly column separate when it is referenced twice.
+        p = p.withColumn("__ft", full_text).withColumn("__sc", T.screen(F.col("__ft"), allow, deny))
+    p = p.where(F.col("__sc.accept"))
     p = p.withColumn("__st", T.cited_stats("cited_stats")) \
          .withColumn("email", T.email_domain("brief"))
     bad = p.where(F.col("__st").isNull()).select("name", "cited_stats")
