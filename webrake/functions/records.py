@@ -50,14 +50,12 @@ def _strict_ok(x) -> bool:
         return False
 
 
-@pandas_udf(BooleanType())
-def json_strict_valid(s: pd.Series) -> pd.Series:
+def _json_valid(s: pd.Series) -> pd.Series:
     """Whole string is exactly one JSON value (surrounding whitespace ok)."""
     return s.map(lambda x: None if x is None else _strict_ok(x))
 
 
-@pandas_udf(BooleanType())
-def jsonl_strict_valid(s: pd.Series) -> pd.Series:
+def _jsonl_valid(s: pd.Series) -> pd.Series:
     """Every line of the stripped block is strict JSON (a blank line or a
     trailing comma fails the whole block)."""
     def ok(x):
@@ -67,6 +65,14 @@ def jsonl_strict_valid(s: pd.Series) -> pd.Series:
     return s.map(ok)
 
 
+# Marked non-deterministic on purpose: Catalyst then neither pushes a later
+# filter through the projection that calls them nor re-inlines them, so the
+# Python pass runs once per row instead of once for the filter and once for
+# the projection.
+json_strict_valid = pandas_udf(_json_valid, BooleanType()).asNondeterministic()
+jsonl_strict_valid = pandas_udf(_jsonl_valid, BooleanType()).asNondeterministic()
+
+
 def jsonl_lines(block: ColumnOrName) -> Column:
     """Lines of a stripped JSON-lines block."""
     return F.split(strip_ws(block), "\n")
