@@ -104,51 +104,40 @@ ENDNOTE_FIELDS = {"0": "type", "T": "title", "A": "authors", "J": "journal", "V"
                   "N": "number", "P": "pages", "D": "year", "I": "publisher"}
 
 
-def endnote_pairs(text: ColumnOrName) -> Column:
-    """array<struct<k, v>> of the ``%`` lines: tag and value (value null
-    when the line has no space)."""
-    tagged = F.filter(lines(text), lambda ln: ln.startswith("%"))
-    return F.transform(tagged, lambda ln: F.struct(
-        F.substring_index(F.substring(ln, 2, 1 << 30), " ", 1).alias("k"),
-        F.when(F.substring(ln, 2, 1 << 30).contains(" "),
-               F.regexp_extract(ln, r"^%[^ ]* (.*)$", 1)).alias("v")))
-
-
-def endnote_fields(pairs: ColumnOrName) -> Column:
-    """Citation struct from tag/value pairs: ``A`` collects, ``T`` and ``A``
-    are stripped, other known tags keep the last value; null when a tag line
-    has no space."""
-    pairs = as_col(pairs)
-
-    def last(tag, strip=False):
-        vals = F.filter(pairs, lambda p: p["k"] == tag)
-        v = F.when(F.size(vals) > 0, F.element_at(vals, -1)["v"])
-        return strip_ws(v) if strip else v
+_WS = r"[ \t\f\x0B]*"   # what a strip removes inside one line
+
+
+def _endnote_text(text: ColumnOrName) -> Column:
+    """Line breaks normalised to ``\n`` (``\r\n`` and ``\r`` too)."""
+    return F.replace(F.replace(as_col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
-    fields = []
-    for tag, name in ENDNOTE_FIELDS.items():
-        if tag == "A":
-            col = F.transform(F.filter(pairs, lambda p: p["k"] == "A"), lambda p: strip_ws(p["v"]))
-        else:
-            col = last(tag, strip=(tag == "T"))
-        fields.append(col.alias(name))
-    ok = F.forall(pairs, lambda p: p["v"].isNotNull())
-    return F.when(ok, F.struct(*fields))
+
+def _tag_values(text: Column, tag: str, strip: bool) -> Column:
+    # (?m) line anchors, (?d) only \n ends a line: one match per tagged line
+    body = f"{_WS}(.*?){_WS}" if strip else "(.*)"
+    return F.regexp_extract_all(text, F.lit(f"(?md)^%{_quote_re(tag)} {body}$"), 1)
 
 
 def parse_endnote(text: ColumnOrName) -> Column:
     """struct<type, title, authors array<string>, journal, volume, number,
-    pages, year, publisher> from EndNote text; unknown tags are ignored.
-    A ``%`` line without a space is malformed: the whole result is null.
-    On large inputs prefer :func:`with_endnote` (pairs computed once)."""
-    return endnote_fields(endnote_pairs(text))
+    pages, year, publisher> from EndNote text: ``%X value`` lines, ``A``
+    repeats and collects, ``T`` and ``A`` values are stripped, other known
+    tags keep the last value; unknown tags are ignored.  A ``%`` line with
+    no space is malformed and the whole result is null.  Regular
+    expressions only (code-generated), no per-line lambdas."""
+    t = _endnote_text(text)
+    fields = []
+    for tag, name in ENDNOTE_FIELDS.items():
+        vals = _tag_values(t, tag, strip=tag in ("T", "A"))
+        col = vals if tag == "A" else F.when(F.size(vals) > 0, F.element_at(vals, -1))
+        fields.append(col.alias(name))
+    malformed = t.rlike(r"(?md)^%[^ \n]*$")
+    return F.when(~malformed, F.struct(*fields))
 
 
 def with_endnote(df, text_col: str, out_col: str = "citation"):
-    """Add the parsed citation; the tag/value pairs are materialised in
-    their own projection so they are split once, not once per field."""
-    return (df.withColumn("__pairs", endnote_pairs(text_col))
-              .withColumn(out_col, endnote_fields("__pairs")).drop("__pairs"))
+    """Add the parsed citation as ``out_col``."""
+    return df.withColumn(out_col, parse_endnote(text_col))
 
 
 # ---------------------------------------------------------------- maps, variants
