@@ -167,17 +167,19 @@ def last_token_in(text: ColumnOrName, lexicon: Sequence[str],
 def screen(text: ColumnOrName, allow: Sequence[str], deny: Sequence[str]) -> Column:
     """struct<accept BOOLEAN, rule STRING>: the first allow token (in list
     order) contained in the text accepts with that rule; else the first deny
-    token rejects; else accept with a null rule.  One pass over the text
-    per token; pass a column (not an expression) as ``text`` so the text is
-    computed once."""
+    token rejects; else accept with a null rule.  A ``CASE`` chain (code
+    generated); pass a column as ``text`` so it is computed once."""
     t = F.coalesce(as_col(text), F.lit(""))
-    tagged = [F.struct(F.lit(True).alias("accept"), F.lit(w).alias("rule")) for w in allow] + \
-             [F.struct(F.lit(False).alias("accept"), F.lit(w).alias("rule")) for w in deny]
-    if not tagged:
-        return F.struct(F.lit(True).alias("accept"), F.lit(None).cast("string").alias("rule"))
-    first = F.get(F.filter(F.array(*tagged), lambda x: t.contains(x["rule"])), 0)
-    return F.coalesce(first, F.struct(F.lit(True).alias("accept"),
-                                      F.lit(None).cast("string").alias("rule")))
+
+    def res(accept, rule):
+        return F.struct(F.lit(accept).alias("accept"), F.lit(rule).cast("string").alias("rule"))
+
+    out = None
+    for accept, words in ((True, allow), (False, deny)):
+        for w in words:
+            cond = t.contains(w)
+            out = F.when(cond, res(accept, w)) if out is None else out.when(cond, res(accept, w))
+    return res(True, None) if out is None else out.otherwise(res(True, None))
 
 
 def regex_first(text: ColumnOrName, pattern: str, group: int = 1) -> Column:
