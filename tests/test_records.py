@@ -70,3 +70,14 @@ def test_drop_null_entries_and_scalar_or_first(spark):
     m = spark.range(1).select(RC.drop_null_entries(F.create_map(
         F.lit("a"), F.lit("1"), F.lit("b"), F.lit(None).cast("string"))).alias("m")).first().m
     assert m == {"a": "1"}
+
+
+def test_quarantine_counts_observed_without_extra_job(spark):
+    from pyspark.sql import Observation
+    rows = [(i, f'```json\n{{"k": {i}}}\n```' if i % 4 else "no block") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, answer string")
+    obs = Observation("answers")
+    good, bad = Q.split_json_records(df, "answer", "k BIGINT", "```json", observation=obs)
+    n_good = good.count()
+    assert obs.get == {"ok": n_good, "bad": 10}
+    assert bad.count() == 10

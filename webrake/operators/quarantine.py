@@ -32,22 +32,31 @@ def explode_jsonl_block(df: DataFrame, keys: Sequence[str], block: str, schema:
     return ex.select(*keys, "status", "line_no", *[F.col(f"__r.{f}").alias(f) for f in fields])
 
 
-def parse_json_answers(df: DataFrame, answer: str, schema: str, fence: str) -> DataFrame:
+def parse_json_answers(df: DataFrame, answer: str, schema: str, fence: str,
+                       observation=None) -> DataFrame:
     """Add ``rec`` (the first fenced block parsed strictly, null when it is
-    not strict JSON) and ``status`` ('ok' / 'bad') in one pass."""
+    not strict JSON) and ``status`` ('ok' / 'bad') in one pass.
+
+    With a ``pyspark.sql.Observation`` the counts of accepted and
+    quarantined answers are collected while the first action runs (no
+    extra counting job): ``observation.get`` -> ``{"ok": n, "bad": m}``."""
     block = RC.fenced_first(F.col(answer), fence)
     parsed = df.withColumn("rec", RC.parse_json_record(block, schema))
-    return parsed.withColumn("status", F.when(F.col("rec").isNotNull(), F.lit("ok"))
-                             .otherwise(F.lit("bad")))
+    parsed = parsed.withColumn("status", F.when(F.col("rec").isNotNull(), F.lit("ok"))
+                               .otherwise(F.lit("bad")))
+    if observation is not None:
+        parsed = parsed.observe(observation, F.count_if(F.col("status") == "ok").alias("ok"),
+                                F.count_if(F.col("status") == "bad").alias("bad"))
+    return parsed
 
 
 def split_json_records(df: DataFrame, answer: str, schema: str, fence: str,
-                       error: str = "invalid json") -> tuple[DataFrame, DataFrame]:
+                       error: str = "invalid json", observation=None) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine): the first fenced block of ``answer`` parsed
     strictly as one JSON object into ``rec``; failures keep the answer and
     an error message.  When both outputs are written, write the parsed
     table once (or use ``parse_json_answers`` and split on ``status``)."""
-    parsed = parse_json_answers(df, answer, schema, fence)
+    parsed = parse_json_answers(df, answer, schema, fence, observation)
     good = parsed.where(F.col("status") == "ok").drop("status")
     bad = parsed.where(F.col("status") == "bad").drop("rec", "status").withColumn("error", F.lit(error))
     return good, bad
