@@ -85,3 +85,24 @@ def q_html_keep_meta(spark, sf_dir):
     """Cleaning in keep mode: ``<meta>`` keeps its attributes."""
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", H.clean_html_native("html", keep_tags=["meta"]).alias("html"))
+
+
+_LI_RE = H.block_pattern_of("li")
+_A_TEXT = H.field_pattern("a")
+_A_HREF = H.field_pattern("a", "href")
+
+
+@query("html_blocks", f"""
+WITH b AS (SELECT page_id, regexp_extract_all({S.drop_blocks('html', ['script'])}, {S.q(_LI_RE)}, 1) AS bs FROM pages),
+x AS (SELECT page_id, unnest(bs) AS blk, unnest(generate_series(0, len(bs) - 1)) AS block_no FROM b)
+SELECT page_id, CAST(block_no AS INTEGER) AS block_no,
+       {S.strip_tags(f"regexp_extract(blk, {S.q(_A_TEXT)}, 1)")} AS title,
+       regexp_extract(blk, {S.q(_A_HREF)}, 1) AS url
+FROM x""")
+def q_html_blocks(spark, sf_dir):
+    """Repeated multi-field records, one per block element (the shape of a
+    search-result list): each list item's link text and target."""
+    p = table(spark, sf_dir, "pages")
+    blocks = H.extract_blocks("html", "li", None, {"title": ("a", None), "url": ("a", "href")})
+    x = p.select("page_id", F.posexplode(blocks).alias("block_no", "b"))
+    return x.select("page_id", "block_no", F.col("b.title").alias("title"), F.col("b.url").alias("url"))

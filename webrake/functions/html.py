@@ -134,3 +134,34 @@ def extract_anchors(html: ColumnOrName, tag: str, cls: str | None = None) -> Col
                          F.regexp_extract_all(inner, F.lit(ANCHOR_RE), 1).alias("url"))
     return F.transform(pairs, lambda p: F.struct(strip_tags(p["name"]).alias("name"),
                                                  p["url"].alias("url")))
+
+
+def block_pattern_of(tag: str, cls: str | None = None) -> str:
+    if cls is None:
+        return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
+    return rf'(?is)<{tag}\s[^>]*class="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"[^>]*>(.*?)</{tag}\s*>'
+
+
+def field_pattern(tag: str, attr: str | None = None) -> str:
+    """First ``<tag>``'s text (attr None) or the value of its ``attr``."""
+    if attr is None:
+        return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
+    return rf'(?is)<{tag}\s[^>]*{attr}="([^"]*)"'
+
+
+def extract_blocks(html: ColumnOrName, tag: str, cls: str | None,
+                   fields: dict[str, tuple[str, str | None]]) -> Column:
+    """array<struct<...>>: one struct per block element (``<tag
+    class=cls>``), each field the text of the block's first ``<ftag>`` or
+    its attribute (search results: title, link, snippet).  Missing fields
+    are ''."""
+    blocks = F.regexp_extract_all(drop_blocks(html, ["script"]), F.lit(block_pattern_of(tag, cls)), 1)
+
+    def rec(b):
+        out = []
+        for name, (ftag, attr) in fields.items():
+            v = F.regexp_extract(b, field_pattern(ftag, attr), 1)
+            out.append((v if attr else strip_tags(v)).alias(name))
+        return F.struct(*out)
+
+    return F.transform(blocks, rec)
