@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from webrake.catalog import query, table
 from webrake.catalog import sqlfrag as S
+from webrake.functions import html as H
+from webrake.functions import text as T
+from webrake.functions import urls as U
+from webrake.functions.common import lines, tokens
+from webrake.plans import extract as X
 from webrake.plans import fetch
+from webrake.plans import profiles as PF
+from webrake.plans import records as PR
+from webrake.session import scratch_path
 
 # Stand-in parameters (pages play search hits): score keywords, deny-lists.
 HIT_RULES = [("of the", 10), ("que", 7), ("der", 5), ("los", -5)]
@@ -39,16 +49,6 @@ def p_fetch_plan(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- shared stand-ins
-from pyspark.sql import functions as F  # noqa: E402
-
-from webrake.functions import html as H  # noqa: E402
-from webrake.functions import text as T  # noqa: E402
-from webrake.functions import urls as U  # noqa: E402
-from webrake.functions.common import lines, tokens  # noqa: E402
-from webrake.plans import extract as X  # noqa: E402
-from webrake.plans import profiles as PF  # noqa: E402
-from webrake.plans import records as PR  # noqa: E402
-from webrake.session import scratch_path  # noqa: E402
 
 A_RE = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a\s*>'
 LANG_RE = r'<html[^>]*lang="([^"]*)"'

@@ -60,10 +60,9 @@ def bfs_levels(seeds: DataFrame, edges: DataFrame, depth: int = 1,
     e = edges.select("src", "dst")
     if materialize:
         e = _written(e, f"{base}/edges")
+    # level 0 is the seed list itself (small, cheap to recompute): not written
     visited = seeds.select(F.col(node_col).alias("node")).where(F.col("node").isNotNull()) \
         .distinct().withColumn("lvl", F.lit(0))
-    if materialize:
-        visited = _written(visited, f"{base}/level=0")
     frontier = visited.select("node")
     for lvl in range(1, depth + 1):
         nxt = (frontier.join(e, frontier.node == e.src)
