@@ -102,3 +102,11 @@ def test_percent_encode_matches_quote(spark):
     samples = ["a b/c~d*e+f", "Zoë Ωmega &amp; 100%", "name at x.org", "ü/ß?=&#", "plain_text-1.2"]
     got = _eval(spark, U.percent_encode(F.col("a")), *samples)
     assert got == [quote(s) for s in samples]
+
+
+def test_url_param_required_fails_on_missing(spark):
+    df = spark.createDataFrame([("/c?user=A",), ("/c?x=1",)], "a string")
+    with pytest.raises(Exception):
+        df.select(U.url_param("a", "user", required=True).alias("x")).collect()
+    ok = spark.createDataFrame([("/c?user=A",)], "a string")
+    assert ok.select(U.url_param("a", "user", required=True).alias("x")).first().x == "A"

@@ -76,12 +76,19 @@ def url_key(url: ColumnOrName, include_query: bool = False,
     return F.concat(url_netloc(url), name)
 
 
-def url_param(url: ColumnOrName, name: str) -> Column:
+def url_param(url: ColumnOrName, name: str, required: bool = False) -> Column:
     """Value of query parameter ``name``; the last one wins when repeated;
-    null when absent.  Works on relative URLs too."""
+    null when absent, or, with ``required``, the task fails on such a row
+    (an id that must be present, as for profile links).  Works on relative
+    URLs too."""
     vals = F.regexp_extract_all(url_query(url),
                                 F.lit(r"(?:^|&)" + _re_escape(name) + r"=([^&]*)"), 1)
-    return F.when(F.size(vals) > 0, F.element_at(vals, -1))
+    val = F.when(F.size(vals) > 0, F.element_at(vals, -1))
+    if required:
+        val = F.when(val.isNull(), F.raise_error(F.concat(
+            F.lit(f"missing query parameter {name} in "), F.coalesce(as_col(url), F.lit("null")))))\
+            .otherwise(val)
+    return val
 
 
 def strip_query(url: ColumnOrName) -> Column:
