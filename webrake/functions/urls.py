@@ -138,24 +138,30 @@ def remove_dot_segments(path: ColumnOrName, drop_empty: Column | bool = True) ->
 def url_join(base: ColumnOrName, link: ColumnOrName) -> Column:
     """Standard join of a reference against a base URL: absolute links are
     kept; ``//net``, ``/path``, ``?query``, ``#frag``, empty and relative
-    paths are resolved against the base, with dot segments removed."""
-    b, l = as_col(base), as_col(link)
+    paths are resolved against the base, with dot segments removed.  A
+    network-path link with an empty authority (``//``, ``///x``) is
+    resolved as the rest of the link, as the standard join does."""
+    b, l0 = as_col(base), as_col(link)
     scheme = _part(b, 1)
     origin = F.concat(scheme, F.lit("://"), url_netloc(b))
     base_path = _part(b, 3)
     base_noq = F.concat(origin, base_path)
+    base_nofrag = F.substring_index(b, "#", 1)
     base_dir = F.regexp_extract(base_path, r"^(.*/)?", 0)
+    empty_net = l0.startswith("//") & (F.regexp_extract(l0, r"^//([^/?#]*)", 1) == "")
+    l = F.when(empty_net, F.substring(l0, 3, 1 << 30)).otherwise(l0)
     l_path, l_rest = F.regexp_extract(l, r"^[^?#]*", 0), F.regexp_extract(l, r"[?#].*$", 0)
     rooted = l.startswith("/")
     merged = remove_dot_segments(F.when(rooted, l_path)
                                  .otherwise(F.concat(F.when(base_dir == "", F.lit("/")).otherwise(base_dir),
                                                      l_path)), drop_empty=~rooted)
-    return (F.when(l.isNull(), F.lit(None).cast("string"))
-            .when(l == "", b)
+    return (F.when(l0.isNull(), F.lit(None).cast("string"))
+            .when(l0 == "", b)
+            .when(empty_net & (l == ""), base_nofrag)
             .when(l.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), l)
             .when(l.startswith("//"), F.concat(scheme, F.lit(":"), l))
             .when(l.startswith("?"), F.concat(base_noq, l))
-            .when(l.startswith("#"), F.concat(F.substring_index(b, "#", 1), l))
+            .when(l.startswith("#"), F.concat(base_nofrag, l))
             .otherwise(F.concat(origin, merged, l_rest)))
 
 
