@@ -78,3 +78,46 @@ def test_screen_random(spark):
 
     bad = [(r.t, tuple(r.s), spec(r.t)) for r in out if tuple(r.s) != spec(r.t)]
     assert not bad, bad[:5]
+
+
+def test_jsonl_blocks_random(spark):
+    import json
+    from webrake.operators.quarantine import explode_jsonl_block
+    rnd = random.Random(10)
+    pieces = ['{"k": 1}', '{"k": 2, "u": 3}', '{"u": 4}', '{bad', '{"k": 5},', '', ' ', '[1]', '{"k": 6} x']
+    blocks = sorted({"\n".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 3))) for _ in range(400)})
+    df = spark.createDataFrame(list(enumerate(blocks)), "id long, blk string")
+    got = {}
+    for r in explode_jsonl_block(df, ["id"], "blk", "k BIGINT, u BIGINT").collect():
+        got.setdefault(r.id, []).append((r.status, r.line_no, r.k, r.u))
+
+    def spec(b):
+        if b.strip() == "":
+            return [("empty", None, None, None)]
+        try:
+            recs = [json.loads(x) for x in b.strip().split("\n")]
+        except ValueError:
+            return [("bad", None, None, None)]
+        return [("ok", i, r.get("k") if isinstance(r, dict) else None,
+                 r.get("u") if isinstance(r, dict) else None) for i, r in enumerate(recs)]
+
+    bad = [(b, sorted(got[i], key=str), spec(b)) for i, b in enumerate(blocks)
+           if sorted(got[i], key=lambda x: (x[1] is None, x[1] or 0)) != spec(b)]
+    assert not bad, bad[:3]
+
+
+def test_dedupe_then_filter_random(spark):
+    from webrake.operators import rank as R
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice(["Ann", "ann", "Bob", "BOB", "cy", ""]), rnd.random() < 0.5) for i in range(300)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "pos long, name string, ok boolean")
+    got = sorted(r.pos for r in R.dedupe_then_filter(df, [F.lower("name")], ["pos"], F.col("ok")).collect())
+    seen, want = set(), []
+    for pos, name, ok in sorted(rows):
+        if name.lower() in seen:
+            continue
+        seen.add(name.lower())
+        if ok:
+            want.append(pos)
+    assert got == sorted(want)
