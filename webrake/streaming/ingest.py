@@ -53,18 +53,27 @@ def process_batch(batch: DataFrame, batch_id: int, target: str,
 
 def ingest_new(spark: SparkSession, source: str, schema: str, target: str,
                checkpoint: str, keys: Sequence[str], order: Sequence[str],
-               fmt: str = "parquet", max_files_per_trigger: int | None = None) -> None:
-    """Run one incremental pass (returns when the available files are done)."""
+               fmt: str = "parquet", max_files_per_trigger: int | None = None,
+               every: str | None = None):
+    """Incremental ingest of the files under ``source`` into ``target``.
+
+    By default one pass over the files that arrived since the last run
+    (``availableNow``) and returns when done.  With ``every`` (for example
+    ``"5 minutes"``) it keeps running on a processing-time trigger and the
+    streaming query is returned (stop it with ``.stop()``); both modes share
+    the checkpoint, so they can be mixed across runs."""
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source)
-    q = (stream.writeStream
-         .foreachBatch(lambda b, i: process_batch(b, i, target, keys, order))
-         .option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True)
-         .start())
+    writer = (stream.writeStream
+              .foreachBatch(lambda b, i: process_batch(b, i, target, keys, order))
+              .option("checkpointLocation", checkpoint))
+    if every:
+        return writer.trigger(processingTime=every).start()
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
+    return None
 
 
 def read_target(spark: SparkSession, target: str) -> DataFrame:
