@@ -66,3 +66,30 @@ def test_group_candidates_dedupe_before_filter(spark):
        "email string, description string")
     out = PR.group_candidates(index, members, keep_flag=T.any_token_in("name", ["li"]))
     assert [(r.name, r.email, r.advisor) for r in out.collect()] == [("Bo Li", "b@x", "Adv")]
+
+
+def test_screened_report_materialize_equivalent(spark):
+    from webrake.catalog.q_jobs import ALLOW, DENY, _profiles_from_documents
+    from webrake.plans import profiles as PF
+    prof = _profiles_from_documents(spark, "/root/testdata/sf0.001")
+    keep = F.col("toxic") == 0
+    r1, b1 = PF.screened_report(prof, ALLOW, DENY, keep, materialize=False)
+    r2, b2 = PF.screened_report(prof, ALLOW, DENY, keep, materialize=True)
+    assert sorted(map(tuple, r1.collect())) == sorted(map(tuple, r2.collect()))
+    assert sorted(map(tuple, b1.collect())) == sorted(map(tuple, b2.collect()))
+    assert r1.count() > 0
+
+
+def test_citation_index_resume_and_profile_ids(spark):
+    from webrake.plans import profiles as PF
+    res = spark.createDataFrame([
+        ("u1", "%0 Journal Article\n%T  T1 \n%A Doe, J\n%D 2014", ["/c?hl=en&user=A1", "/c?user=B2"]),
+        ("u2", "%0 Book\n%T T2", ["/c?user=A1"]),
+    ], "url string, endnote string, profile_urls array<string>")
+    done = spark.createDataFrame([("u2",)], "url string")
+    arts = PF.citation_index(res, done)
+    rows = arts.collect()
+    assert [(r.url, r.citation.title, r.citation.authors, r.citation.year) for r in rows] == \
+        [("u1", "T1", ["Doe, J"], "2014")]
+    assert sorted(r.uid for r in PF.distinct_profiles(arts).collect()) == ["A1", "B2"]
+    assert [r.author for r in PF.distinct_authors(arts).collect()] == ["Doe, J"]
