@@ -12,8 +12,8 @@ last return the columns of ``documents``.
 
 Nulls, empty texts, repeated rows, empty tables and extra columns have the
 results that the operators define; extra columns travel along until the mix.
-A repeated id with different texts is judged row by row; rows equal in id and
-fingerprint are repeats of one document, of which one stays.
+Rows equal in id and text are repeats of one document, of which one stays;
+documents without an id go when they are near one that has an id.
 """
 
 from __future__ import annotations
@@ -24,8 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webrake.llm import decontaminate, line_dedup, mixing, quality, simhash
+from webrake.llm.common import reliable
 from webrake.session import checkpoint_dir
 
+#: A set of at most so many ids (8 bytes each) is broadcast, a larger one joined.
+BROADCAST_IDS = 1_000_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -43,14 +46,18 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: the smallest id (and of rows that
-    repeat it, one)."""
+    repeat it with its text, one)."""
     docs = docs.select(*COLUMNS)
-    near = simhash.near_duplicates(docs, max_bits=2, shingle=3)
-    kept = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    chosen = docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
-    # repeats of an id are few rows of one document; equal ids meet in a partial aggregation
-    return chosen.groupBy("doc_id").agg(*[F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")]) \
-        .select("doc_id", "r.*").select(*COLUMNS)
+    near = reliable(simhash.near_duplicates(docs, max_bits=2, shingle=3))
+    gone = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
+    again = near.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    apart = reliable(gone.unionByName(again).distinct())
+    once = again.join(gone, again.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    small = apart.count() <= BROADCAST_IDS
+    side = F.broadcast(apart) if small else apart
+    single = docs.join(side, docs.doc_id.eqNullSafe(side.doc_id), "left_anti")
+    repeated = docs.join(once, docs.doc_id.eqNullSafe(once.doc_id), "left_semi")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
