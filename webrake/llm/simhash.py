@@ -155,8 +155,10 @@ def near_duplicates(docs: DataFrame, max_bits: int = 2, shingle: int = 3, seed:
     rooted = comp.join(nodes, comp.node == nodes.fp).select("fp", "root", "first")
     low = rooted.groupBy("root").agg(F.min("first").alias("low"))
     linked = rooted.join(low, "root").select("fp", "low")
-    named = nodes.join(linked, "fp", "left") \
-        .select("fp", F.coalesce("low", "first").alias("component_id"))
+    # written, so that the last join stands on two plain exchanges: a fingerprint
+    # with very many copies is then split by adaptive skew handling
+    named = reliable(nodes.join(linked, "fp", "left")
+                     .select("fp", F.coalesce("low", "first").alias("component_id")))
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 
