@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from webrake.llm.common import WHITE, mix, python_ready, text_bytes, word_hashes
 
 #: Bins of the hashed features: words, word pairs, character 4-grams.
-BINS = 4096
+BINS = 2048
 _PARTS = 3
 #: Labelled rows the classifier is fitted on, at most.
 MAX_ROWS = 2_000
@@ -110,17 +110,17 @@ def features(text: bytes | None, hashes: np.ndarray) -> np.ndarray:
 
 def _fit(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 300) -> tuple[np.ndarray, float]:
     """Full-batch logistic regression (Adam), classes weighted alike."""
-    w, b = np.zeros(x.shape[1]), 0.0
-    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    m = np.zeros(x.shape[1] + 1)
-    v = np.zeros(x.shape[1] + 1)
+    w, b = np.zeros(x.shape[1], dtype=np.float32), 0.0
+    share = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
+    m = np.zeros(x.shape[1] + 1, dtype=np.float32)
+    v = np.zeros(x.shape[1] + 1, dtype=np.float32)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(x @ w + np.float32(b), -40, 40)))
         r = share * (p - y)
-        g = np.append(x.T @ r + l2 * w, r.sum())
+        g = np.append(r @ x + np.float32(l2) * w, r.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.99 ** t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
+        w, b = (w - step[:-1]).astype(np.float32), b - float(step[-1])
     return w, float(b)
 
 
@@ -163,14 +163,19 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     rows.sort(key=lambda r: (str(r.id), r.y))
     if not rows or len({int(r.y > 0) for r in rows}) < 2:
         return None
-    x = np.stack([np.frombuffer(r.vec, dtype=np.float16) for r in rows]).astype(np.float64)
-    y = np.array([float(r.y > 0) for r in rows])
-    held = np.arange(len(y)) % 5 == 0
-    if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
-        held = np.zeros(len(y), dtype=bool)
-    w, b = _fit(x[~held], y[~held], l2=1e-4)
-    probe = held if held.any() else ~held
-    slope, shift = _platt(x[probe] @ w + b, y[probe])
+    # the held-out fifth stands last, so that both parts are views of one float32 table
+    rows = [r for i, r in enumerate(rows) if i % 5] + rows[::5]
+    fit = len(rows) - len(rows[::5]) if len(rows) >= 5 else len(rows)
+    y = np.array([float(r.y > 0) for r in rows], dtype=np.float32)
+    x = np.empty((len(rows), _PARTS * BINS), dtype=np.float32)
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r.vec, dtype=np.float16)
+    del rows
+    if len(np.unique(y[:fit])) < 2 or len(np.unique(y[fit:])) < 2:
+        fit = len(y)
+    w, b = _fit(x[:fit], y[:fit], l2=1e-4)
+    probe = slice(fit, None) if fit < len(y) else slice(None)
+    slope, shift = _platt((x[probe] @ w + b).astype(np.float64), y[probe].astype(np.float64))
     return Model(w.astype(np.float32), b, slope, shift)
 
 
@@ -182,7 +187,7 @@ def score(docs: DataFrame, model: Model | None, rules: Rules = Rules(), text_col
     names = [c.split()[0] for c in added.split(", ")]
     docs = python_ready(docs).drop(*names)
     at = docs.columns.index(text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)   # fixed size: 3 x 4096 weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)   # fixed size: 3 x BINS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
