@@ -247,8 +247,12 @@ def count_page(page: str, counts: dict[Key, float]) -> None:
             if not y and (k, h) != (kind, tree.hint[i]):
                 counts["t", k, h, "1", "0"] += w           # the same part inside the article
         size, links = tree.evidence(i)
-        counts["s", str(size), str(y)] += 1
-        counts["l", str(links), str(y)] += 1
+        counts["s", kind, str(size), str(y)] += 1
+        counts["l", kind, str(links), str(y)] += 1
+        if y and kind in ("text", "item", "head"):          # the same prose as a reader's comment or in a sidebar
+            counts["t", kind, tree.hint[i], "0", "0"] += 0.5
+            counts["s", kind, str(size), "0"] += 0.5
+            counts["l", kind, str(links), "0"] += 0.5
 
 
 class Model:
@@ -277,12 +281,15 @@ class Model:
                     p = (n1 * scale + prior * strength) / (total * scale + strength)
                     row += [1 - p, p]
                 self.edge[k, h] = tuple(row)
-        self.size = self._evidence(counts, "s", 5)
-        self.link = self._evidence(counts, "l", 3)
+        self.size = {k: self._evidence(counts, "s", k, 5) for k in kinds}
+        self.link = {k: self._evidence(counts, "l", k, 3) for k in kinds}
 
     @staticmethod
-    def _evidence(counts: dict[Key, float], name: str, n: int) -> list[tuple[float, float]]:
-        rows = [[counts.get((name, str(b), str(y)), 0.0) + 5 for b in range(n)] for y in (0, 1)]
+    def _evidence(counts: dict[Key, float], name: str, kind: str, n: int) -> list[tuple[float, float]]:
+        rows = [[counts.get((name, kind, str(b), str(y)), 0.0) + 5 for b in range(n)] for y in (0, 1)]
+        if name == "s" and kind in ("div", "section", "main", "article", "other"):
+            # prior counts of containers: little text is rarely the article, much text often is
+            rows = [[r + w for r, w in zip(row, prior)] for row, prior in zip(rows, ((20, 20, 15, 10, 5), (1, 5, 10, 15, 20)))]
         # tempered: the texts of a node and of its ancestors overlap
         return [tuple((rows[y][b] / sum(rows[y])) ** 0.5 for y in (0, 1)) for b in range(n)]
 
@@ -299,7 +306,8 @@ class Model:
             else:
                 e = self.edge[kind_of(tag[i]), hint[i]]
                 size, link = tree.evidence(i)
-                s, l = self.size[size], self.link[link]
+                kind = kind_of(tag[i])
+                s, l = self.size[kind][size], self.link[kind][link]
                 up0[i] *= s[0] * l[0]
                 up1[i] *= s[1] * l[1]
             edges[i] = e

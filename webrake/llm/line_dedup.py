@@ -61,16 +61,17 @@ def drop_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 20,
     lines = reliable(boilerplate_lines(docs, ratio, min_pages, text_col, host_col).select("host_key", "line_key"))
     n = lines.count()
     drops = lines.groupBy("host_key").agg(F.collect_list("line_key").alias("drops"))
-    key, out = free_name(docs, "_host_key"), [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    drops = drops.select(F.col("host_key").alias(key), F.col("drops").alias(key + "_drops"))
+    key, listed_as, kept_as = (free_name(docs, x) for x in ("_host_key", "_drops", "_kept"))
+    out = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    drops = drops.select(F.col("host_key").alias(key), F.col("drops").alias(listed_as))
     joined = docs.withColumn(key, _host_key(host_col)) \
         .join(F.broadcast(drops) if n <= BROADCAST_LINES else drops, key, "left")
-    text, listed = F.col(text_col), F.col(key + "_drops")
+    text, listed = F.col(text_col), F.col(listed_as)
     parts = F.split(text, "\n")
     kept = F.filter(parts, lambda x: (F.trim(x, F.lit(_BLANK)) == "") | ~F.array_contains(listed, _line_key(x)))
-    slim = joined.withColumn(key + "_kept", F.when(listed.isNull(), parts).otherwise(kept))
+    slim = joined.withColumn(kept_as, F.when(listed.isNull(), parts).otherwise(kept))
     return slim.select(
-        *[F.array_join(key + "_kept", "\n").alias(c) if c == text_col else F.col(c) for c in out],
+        *[F.array_join(kept_as, "\n").alias(c) if c == text_col else F.col(c) for c in out],
         F.coalesce(F.size(F.split(text, "\n")), F.lit(0)).cast("long").alias("n_lines"),
         (F.coalesce(F.size(F.split(text, "\n")), F.lit(0))
-         - F.coalesce(F.size(key + "_kept"), F.lit(0))).cast("long").alias("n_dropped"))
+         - F.coalesce(F.size(kept_as), F.lit(0))).cast("long").alias("n_dropped"))

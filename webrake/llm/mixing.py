@@ -10,7 +10,8 @@ All work is DataFrame functions.  What is joined back is one row per source.
 
 Defined results: a null text has size 0; null sources are one source, last in
 the order; repeated rows have equal hashes and so share one decision; an
-empty table gives an empty result; extra columns are kept.
+empty table gives an empty result; extra columns are kept, but for those
+named like an added one, which are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webrake.llm.common import reliable
+from webrake.llm.common import free_name, reliable
 
 #: Hash bits refined per level, and levels (5 x 12 = 60 bits).
 BITS, LEVELS = 12, 5
@@ -33,10 +34,6 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _per_source(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame:
-    return rows.join(F.broadcast(table) if n_sources <= BROADCAST_SOURCES else table, "_k")
-
-
 def targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """Per source ``_k``: ``source_size`` and ``target``.
 
@@ -76,8 +73,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     key = F.when(F.col(source_col).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source_col)))
     h = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 64 - BITS * LEVELS)
     out_cols = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies", "taken")]
-    sized = docs.select(*out_cols, key.alias("_k"), h.alias("_h"), word_count(text_col).alias("size"))
-    narrow = reliable(sized.select("_k", F.col(source_col).alias("source"), "_h", "size"))
+    kn, hn = free_name(docs, "_k"), free_name(docs, "_h")
+    sized = docs.select(*out_cols, key.alias(kn), h.alias(hn), word_count(text_col).alias("size"))
+    narrow = reliable(sized.select(F.col(kn).alias("_k"), F.col(source_col).alias("source"), F.col(hn).alias("_h"),
+                                   "size"))
     per = reliable(targets(
         narrow.groupBy("_k").agg(F.first("source").alias("source"), F.sum("size").alias("source_size")),
         weights, share, most))
@@ -110,8 +109,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
             F.coalesce(F.col("_cut._b") + more, F.col("_last") + 1,
                        F.shiftleft(F.col("_prefix"), BITS)).cast("long").alias("_prefix"))
         state = reliable(state.coalesce(1))
-    done = _per_source(sized, state.select("_k", "source_size", "target", "_whole", "_prefix"), n_sources)
-    copies = F.col("_whole") + F.when(F.col("_h") < F.col("_prefix"), F.lit(1)).otherwise(F.lit(0))
+    table = state.select(F.col("_k").alias(kn), "source_size", "target",
+                         F.struct("_whole", "_prefix").alias(free_name(docs, "_cut")))
+    cut = F.col(table.columns[-1])
+    done = sized.join(F.broadcast(table) if n_sources <= BROADCAST_SOURCES else table, kn)
+    copies = cut["_whole"] + F.when(F.col(hn) < cut["_prefix"], F.lit(1)).otherwise(F.lit(0))
     return done.withColumn("copies", F.least(copies, F.lit(int(most))).cast("long")) \
         .select(*out_cols, "size", F.col("source_size").cast("long"), "target", "copies",
                 (F.col("size") * F.col("copies")).alias("taken"))

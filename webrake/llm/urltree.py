@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrake.llm.common import reliable
+from webrake.llm.common import free_name, reliable
 
 
 @dataclass(frozen=True)
@@ -125,17 +125,18 @@ def url_filter(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", re
     """``pages`` with ``host``, ``path``, ``rule``, ``template``, ``purity``
     and ``verdict`` (allow or block: the rule's, else the template's)."""
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "template", "purity", "verdict")]
+    rule = free_name(pages, "_rule")
     judged = pages.select(*kept, host_of(url_col).alias("host"), path_of(url_col).alias("path")) \
-        .withColumn("_rule", matching_rule(rules))
+        .withColumn(rule, matching_rule(rules))
     paths = judged.groupBy("host", "path").agg(
-        F.count("*").alias("n"), F.count("_rule").alias("n_label"),
-        F.count(F.when(F.col("_rule.verdict") == "block", 1)).alias("n_block"))
+        F.count("*").alias("n"), F.count(rule).alias("n_label"),
+        F.count(F.when(F.col(rule)["verdict"] == "block", 1)).alias("n_block"))
     tree = reliable(template_tree(paths, depth))
     leaves = tree.groupBy("host", "template").agg(F.sum("n_label").alias("n_label"), F.sum("n_block").alias("n_block"))
     scored = tree.select("host", "path", "template").join(
         merged_purity(leaves).select("host", "template", "purity"), ["host", "template"])
-    verdict = F.coalesce(F.col("_rule.verdict"),
+    verdict = F.coalesce(F.col(rule)["verdict"],
                          F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow")))
     return judged.join(scored, ["host", "path"], "left").select(
-        *kept, "host", "path", F.col("_rule.target").alias("rule"),
+        *kept, "host", "path", F.col(rule)["target"].alias("rule"),
         F.concat(F.lit("/"), F.array_join("template", "/")).alias("template"), "purity", verdict.alias("verdict"))
