@@ -13,7 +13,8 @@ last return the columns of ``documents``.
 Nulls, empty texts, repeated rows, empty tables and extra columns have the
 results that the operators define; extra columns travel along until the mix.
 Rows equal in id and text are repeats of one document, of which one stays;
-documents without an id go when they are near one that has an id.
+documents without an id stay where no document with an id is near, one of each
+fingerprint.
 """
 
 from __future__ import annotations
@@ -49,15 +50,19 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeat it with its text, one)."""
     docs = docs.select(*COLUMNS)
     near = reliable(simhash.near_duplicates(docs, max_bits=2, shingle=3))
-    gone = near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    again = near.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    apart = reliable(gone.unionByName(again).distinct())
-    once = again.join(gone, again.doc_id.eqNullSafe(gone.doc_id), "left_anti")
-    small = apart.count() <= BROADCAST_IDS
-    side = F.broadcast(apart) if small else apart
-    single = docs.join(side, docs.doc_id.eqNullSafe(side.doc_id), "left_anti")
-    repeated = docs.join(once, docs.doc_id.eqNullSafe(once.doc_id), "left_semi")
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    named = docs.where(F.col("doc_id").isNotNull())
+    ids = near.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c"))
+    apart = reliable(ids.select("doc_id", "n", (F.col("doc_id") == F.col("c")).alias("stays"))
+                     .where("n > 1 or not stays"))
+    hint = F.broadcast if apart.count() <= BROADCAST_IDS else (lambda df: df)
+    side, once = apart.select("doc_id"), apart.where("stays").select("doc_id")
+    single = named.join(hint(side), "doc_id", "left_anti")
+    repeated = named.join(hint(once), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    # documents without an id stay where no id is near, one of each fingerprint
+    nameless = simhash.fingerprints(docs.where(F.col("doc_id").isNull()), keep=tuple(COLUMNS))
+    alone = near.where(F.col("component_id").isNull()).select("fp").distinct()
+    nameless = nameless.join(alone, "fp", "left_semi").dropDuplicates(["fp"])
+    return single.select(*COLUMNS).unionByName(repeated.select(*COLUMNS)).unionByName(nameless.select(*COLUMNS))
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
