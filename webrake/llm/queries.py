@@ -86,7 +86,53 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_simhash, op4_substring_dedup,
                                    op5_lm_scoring, op6_url_filters, op7_line_dedup,
                                    op8_warc, op9_quality, op10_mixing)}
-SQL: dict[str, str] = {}
+
+_WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
+         r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+#: What SQL can express; the others are compared with brute force in tests/llm.
+SQL: dict[str, str] = {
+    "op1_decontamination": f"""
+WITH iw AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format('text')} AS w FROM benchmark WHERE text IS NOT NULL),
+cut AS (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM iw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM cut),
+d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM win),
+at AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+occ AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM at),
+hit AS (SELECT doc_id, i, occ.size, item FROM occ JOIN win USING (size, words)),
+place AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS p FROM hit),
+n AS (SELECT doc_id, count(*) AS n FROM place GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item) AS k, string_agg(DISTINCT item, ',' ORDER BY item) AS names FROM hit GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(its.k, 0) AS BIGINT) AS n_items, sha256(coalesce(its.names, '')) AS items_sha256,
+       coalesce(n.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
+    "op7_line_dedup": f"""
+WITH pages AS (SELECT DISTINCT source, text FROM documents),
+total AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
+line AS (SELECT DISTINCT source, text, trim(unnest(string_split(text, chr(10))), {_BLANK}) AS line FROM pages WHERE text IS NOT NULL),
+bad AS (SELECT l.source, line FROM line l JOIN total t ON l.source IS NOT DISTINCT FROM t.source WHERE line <> ''
+        GROUP BY l.source, line, pages HAVING pages >= 20 AND count(*) > 0.05 * pages),
+one AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
+               unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
+kept AS (SELECT one.doc_id, count(*) AS n, string_agg(one.line, chr(10) ORDER BY i) AS text FROM one LEFT JOIN bad
+         ON one.source IS NOT DISTINCT FROM bad.source AND trim(one.line, {_BLANK}) = bad.line WHERE bad.line IS NULL
+         GROUP BY one.doc_id)
+SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines,
+       CAST(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(k.n, 0) AS BIGINT) AS n_dropped
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id""",
+    "op8_warc": """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+                  sha256(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, min(page_id) AS original FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, p.payload_digest,
+       CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN original <> page_id THEN original END AS refers_to
+FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest""",
+}
 
 
 def register() -> dict:
