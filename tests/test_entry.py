@@ -47,7 +47,8 @@ def test_query_matches_oracle(spark, con, name):
     rows = [tuple(_norm(x) for x in r) for r in df.collect()]
     sql = E.oracle_sql().get(name)
     if sql is None:
-        assert len(rows) >= 0
+        # compared with brute force elsewhere in tests/; here: it runs whole and finds something
+        assert rows
         return
     cur = con.execute(sql)
     cols = [d[0] for d in cur.description]

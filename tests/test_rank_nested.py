@@ -21,10 +21,10 @@ def test_slice(spark):
     df = spark.range(10).withColumnRenamed("id", "i")
     assert [r.i for r in R.slice_rows(df, [F.col("i")], 3, 5).collect()] == [3, 4]
     assert R.slice_rows(df, [F.col("i")], 5, 3).count() == 0
-    assert [r.i for r in R.slice_rows(df, [F.col("i")], 8, 0, key=["i"]).collect()] == [8, 9]
+    assert [r.i for r in R.slice_rows(df, [F.col("i")], 8, 0).collect()] == [8, 9]
     assert [r.i for r in R.slice_rows(df, [F.col("i")], 8, 0).collect()] == [8, 9]
     big = spark.range(1000).withColumnRenamed("id", "i")
-    got = [r.i for r in R.slice_rows(big, [F.col("i").desc()], 990, 0, key=["i"]).collect()]
+    got = [r.i for r in R.slice_rows(big, [F.col("i").desc()], 990, 0).collect()]
     assert got == list(range(9, -1, -1))
 
 

@@ -26,16 +26,17 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
-# Tables whose rows carry whole texts (pages, documents, answers built from
-# events): per-row work on them is CPU-heavy, so an under-partitioned scan
-# is spread over the cores (see ``read_table``).  Narrow numeric tables are
-# read as they are: spreading them costs more than it saves.
+# Tables whose rows carry whole texts.  The given extracts are one file with
+# one row group, so a scan is one task; a session that wants them dealt over
+# more says so in ``webrake.text.partitions`` (the benchmark does).
 TEXT_TABLES = {"pages", "documents", "events"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from webrake.sources.readers import read_table
-    return read_table(spark, f"{sf_dir}/{name}.parquet", spread=name in TEXT_TABLES)
+    df = read_table(spark, f"{sf_dir}/{name}.parquet")
+    n = spark.conf.get("webrake.text.partitions", None)
+    return df.repartition(int(n)) if n and name in TEXT_TABLES else df
 
 
 def load_all() -> dict[str, tuple[Builder, str | None]]:

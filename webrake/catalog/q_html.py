@@ -87,9 +87,10 @@ def q_html_keep_meta(spark, sf_dir):
     return p.select("page_id", H.clean_html_native("html", keep_tags=["meta"]).alias("html"))
 
 
-_LI_RE = H.block_pattern_of("li")
-_A_TEXT = H.field_pattern("a")
-_A_HREF = H.field_pattern("a", "href")
+# stated for the layout of the given pages, apart from the library's patterns
+_LI_RE = r"(?is)<li[^>]*>(.*?)</li>"
+_A_TEXT = r"(?is)<a[^>]*>(.*?)</a>"
+_A_HREF = r'(?is)href="([^"]*)"'
 
 
 @query("html_blocks", f"""

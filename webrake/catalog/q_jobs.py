@@ -213,7 +213,7 @@ SELECT b.entity_key, b.doc_id AS base_doc, b.title,
        sha256(CAST(b.entity_key AS VARCHAR)) AS id, coalesce(ix.institute, '') AS institute,
        coalesce(nullif(b.email, ''), nullif(ix.email, '')) AS email
 FROM b JOIN e ON b.entity_key = e.entity_key JOIN p ON b.entity_key = p.entity_key
-LEFT JOIN ix ON b.entity_key = ix.entity_key""")
+JOIN ix ON b.entity_key = ix.entity_key""")
 def p_scores(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     st = PR.list_stats(li, "l_orderkey", F.col("l_returnflag") == "R", F.col("l_linestatus") == "O")
@@ -294,7 +294,7 @@ def p_report(spark, sf_dir):
     prof = _profiles_from_documents(spark, sf_dir)
     report, _bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0,
                                       materialize=True)
-    return report
+    return report.withColumn("cited_5yr_ratio", F.round("cited_5yr_ratio", 6))
 
 
 @query("p_report_quarantine", _PROFILES_SQL + """
@@ -522,7 +522,8 @@ def p_fetch_plan_student(spark, sf_dir):
 
 @query("p_fetch_plan_faculty", f"""
 SELECT {S.url_part('url', 2)} AS entity_key, CAST(1 AS BIGINT) AS rank, page_id AS pos, url,
-       CAST(0 AS BIGINT) AS score, {S.url_key('url', no_ext=True)} AS url_key FROM pages""")
+       CAST(0 AS BIGINT) AS score, {S.url_key('url', no_ext=True)} AS url_key FROM pages
+QUALIFY row_number() OVER (PARTITION BY {S.url_part('url', 2)}, {S.url_key('url', no_ext=True)} ORDER BY page_id) = 1""")
 def p_fetch_plan_faculty(spark, sf_dir):
     """faculty kind: one roster page per target, keyed without extension."""
     hits = fetch.hits_from_pages(table(spark, sf_dir, "pages"))

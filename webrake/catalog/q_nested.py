@@ -114,12 +114,12 @@ def _width_sql(tbl, col, cap):
 
 
 @query("column_widths", " UNION ALL ".join(
-    [_width_sql("part", c, 10) for c in ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]]
-    + [_width_sql("documents", c, 10) for c in ["doc_id", "text", "lang", "source"]]))
+    [_width_sql("part", c, 150) for c in ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]]
+    + [_width_sql("documents", c, 150) for c in ["doc_id", "text", "lang", "source"]]))
 def q_column_widths(spark, sf_dir):
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return N.column_widths(part, cap=10).unionByName(N.column_widths(docs, cap=10))
+    return N.column_widths(part, cap=150).unionByName(N.column_widths(docs, cap=150))
 
 
 @query("surrogate_id", "SELECT c_custkey, sha256(c_name) AS id FROM customer")

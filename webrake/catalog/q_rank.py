@@ -167,4 +167,4 @@ def q_slice_offset(spark, sf_dir):
     """W7 with limit 0 (no end): every row after the first 100."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return R.slice_rows(o, [F.col("o_orderpriority").asc_nulls_last(), F.col("o_orderkey")],
-                        offset=100, limit=0, key=["o_orderkey"])
+                        offset=100, limit=0)

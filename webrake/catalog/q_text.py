@@ -220,9 +220,8 @@ WITH lex AS (SELECT list(DISTINCT lower(t)) AS words FROM (SELECT unnest({S.toke
 SELECT doc_id, coalesce(len(list_intersect({S.tokens('lower(text)')}, (SELECT words FROM lex))) > 0, false) AS hit
 FROM documents""")
 def q_lexicon_table_join(spark, sf_dir):
-    """Join path of the table lexicon (as used for lexicons too large to
-    inline): every token of every whole document against the distinct
+    """The table lexicon over long texts: every token of every whole document against the distinct
     part-name words."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lex = table(spark, sf_dir, "part").select(F.explode(tokens("p_name")).alias("word"))
-    return L.any_token_in_table(d, "doc_id", "text", lex, out_col="hit", inline_max=0).select("doc_id", "hit")
+    return L.any_token_in_table(d, "doc_id", "text", lex, out_col="hit").select("doc_id", "hit")

@@ -1,7 +1,6 @@
 """Native HTML expressions: field extraction by pattern, block and attribute
 stripping, tag stripping.  They stay inside whole-stage codegen and use only
-the regular-expression subset shared by Java and RE2 (no look-around, no
-back-references), so they double as the oracle-checked variant of the
+regular expressions of the JVM, so they double as the oracle-checked variant of the
 parser-based cleaner in ``webrake.operators.htmlclean``.
 
 Every page carries ``var t="</p>"`` inside ``<script>``, so script blocks are
@@ -10,6 +9,7 @@ removed before any tag-level work.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -22,21 +22,24 @@ DROP_BLOCKS = ["script", "style", "noscript", "svg", "img", "iframe", "code"]
 VOID_DROPS = {"img"}
 
 
+# Inside of a tag: quoted values may hold ``>``.  Possessive, so a page with
+# unbalanced quotes costs no backtracking.
+INNER = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+
+
 def block_pattern(tag: str) -> str:
     if tag in VOID_DROPS:
-        return rf"(?i)<{tag}\b[^>]*>(?:</{tag}\s*>)?"
-    return rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"
+        return rf"<{tag}\b{INNER}>(?:</{tag}\s*>)?"
+    # an element closed in its own tag has no content to drop
+    return rf"<{tag}\b{INNER}(?<=/)>|<{tag}\b{INNER}>.*?</{tag}\s*>"
 
 
 def drop_blocks(html: ColumnOrName, tags: Sequence[str] = DROP_BLOCKS) -> Column:
-    """Remove each element in ``tags`` with its content (one pass per tag)."""
-    out = as_col(html)
-    for t in tags:
-        out = F.regexp_replace(out, block_pattern(t), "")
-    return out
+    """Remove each element in ``tags`` with its content, in one pass."""
+    return F.regexp_replace(as_col(html), "(?is)" + "|".join(block_pattern(t) for t in tags), "")
 
 
-ATTR_RE = r"<([A-Za-z][A-Za-z0-9]*)\s[^>]*>"
+ATTR_RE = rf"<([A-Za-z][A-Za-z0-9]*)\s(?:{INNER}>|[^>]*+>)"
 
 
 PROTECT = "\u0001"
@@ -59,14 +62,19 @@ def clean_html_native(html: ColumnOrName, keep_tags: Sequence[str] = ()) -> Colu
     return drop_attrs(drop_blocks(html), keep_tags)
 
 
+def decode_entities(text: Column) -> Column:
+    """The five basic entities and the no-break space decoded."""
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
+                    ("&nbsp;", " "), ("&amp;", "&")):
+        text = F.replace(text, F.lit(ent), F.lit(ch))
+    return text
+
+
 def strip_tags(html: ColumnOrName) -> Column:
     """Text of an HTML fragment: comments and tags removed, the five basic
     entities decoded, whitespace runs collapsed."""
     t = F.regexp_replace(as_col(html), r"(?s)<!--.*?-->", " ")
-    t = F.regexp_replace(t, r"<[^>]*>", " ")
-    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                    ("&nbsp;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(ent), F.lit(ch))
+    t = decode_entities(F.regexp_replace(t, rf"<(?:{INNER}>|[^>]*+>)", " "))
     t = F.regexp_replace(t, r"[ \t\n\r\f]+", " ")
     return strip_ws(t)
 
@@ -90,19 +98,32 @@ def first_paragraph(html: ColumnOrName) -> Column:
     return strip_tags(element_text(drop_blocks(html, ["script"]), "p"))
 
 
-HREF_RE = r'(?i)<a\s[^>]*href="([^"]*)"'
+# An attribute's value in any quoting; the name stands after white space
+# (``data-href`` is not ``href``).
+VALUE = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
+def attr_pattern(attr: str) -> str:
+    return rf"""(?:[^>"']|"[^"]*"|'[^']*')*?\s{re.escape(attr)}\s*=\s*{VALUE}"""
+
+
+def unquote(value: Column) -> Column:
+    """An attribute's value without its quotes, entities decoded."""
+    return decode_entities(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+HREF_RE = rf"(?is)<a(?=\s){attr_pattern('href')}"
 
 
 def html_links(html: ColumnOrName) -> Column:
     """All ``href`` values of anchors, in document order."""
-    return F.regexp_extract_all(drop_blocks(html, ["script"]), F.lit(HREF_RE), 1)
+    return F.transform(F.regexp_extract_all(drop_blocks(html, ["script"]), F.lit(HREF_RE), 1), unquote)
 
 
 def extract_by_class(html: ColumnOrName, tag: str, cls: str) -> Column:
     """Inner HTML of every ``<tag class="... cls ...">`` (document order),
     for field specs such as article titles and tags on profile pages."""
-    pat = rf'(?is)<{tag}\s[^>]*class="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"[^>]*>(.*?)</{tag}\s*>'
-    return F.regexp_extract_all(as_col(html), F.lit(pat), 1)
+    return F.regexp_extract_all(drop_blocks(html, ["script"]), F.lit(block_pattern_of(tag, cls)), 1)
 
 
 def extract_fields(html: ColumnOrName, spec: dict[str, tuple[str, str, bool]]) -> Column:
@@ -115,15 +136,14 @@ def extract_fields(html: ColumnOrName, spec: dict[str, tuple[str, str, bool]]) -
     return F.struct(*fields)
 
 
-ANCHOR_RE = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a\s*>'
+ANCHOR_RE = rf"(?is)<a(?=\s){attr_pattern('href')}[^>]*>(.*?)</a\s*>"
 
 
 def container_html(html: ColumnOrName, tag: str, cls: str | None = None) -> Column:
     """Inner HTML of the first ``<tag>`` (with class ``cls`` when given)."""
     if cls is None:
         return element_text(html, tag)
-    pat = rf'(?is)<{tag}\s[^>]*class="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"[^>]*>(.*?)</{tag}\s*>'
-    return F.regexp_extract(as_col(html), pat, 1)
+    return F.regexp_extract(as_col(html), block_pattern_of(tag, cls), 1)
 
 
 def extract_anchors(html: ColumnOrName, tag: str, cls: str | None = None) -> Column:
@@ -133,20 +153,22 @@ def extract_anchors(html: ColumnOrName, tag: str, cls: str | None = None) -> Col
     pairs = F.arrays_zip(F.regexp_extract_all(inner, F.lit(ANCHOR_RE), 2).alias("name"),
                          F.regexp_extract_all(inner, F.lit(ANCHOR_RE), 1).alias("url"))
     return F.transform(pairs, lambda p: F.struct(strip_tags(p["name"]).alias("name"),
-                                                 p["url"].alias("url")))
+                                                 unquote(p["url"]).alias("url")))
 
 
 def block_pattern_of(tag: str, cls: str | None = None) -> str:
     if cls is None:
         return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
-    return rf'(?is)<{tag}\s[^>]*class="(?:[^"]*\s)?{cls}(?:\s[^"]*)?"[^>]*>(.*?)</{tag}\s*>'
+    word = re.escape(cls)
+    names = rf"""(?:"(?:[^"]*\s)?{word}(?:\s[^"]*)?"|'(?:[^']*\s)?{word}(?:\s[^']*)?'|{word}(?=[\s>]))"""
+    return rf"(?is)<{tag}(?=\s)[^>]*?\sclass\s*=\s*{names}[^>]*>(.*?)</{tag}\s*>"
 
 
 def field_pattern(tag: str, attr: str | None = None) -> str:
     """First ``<tag>``'s text (attr None) or the value of its ``attr``."""
     if attr is None:
         return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
-    return rf'(?is)<{tag}\s[^>]*{attr}="([^"]*)"'
+    return rf"(?is)<{tag}(?=\s){attr_pattern(attr)}"
 
 
 def extract_blocks(html: ColumnOrName, tag: str, cls: str | None,
@@ -161,7 +183,7 @@ def extract_blocks(html: ColumnOrName, tag: str, cls: str | None,
         out = []
         for name, (ftag, attr) in fields.items():
             v = F.regexp_extract(b, field_pattern(ftag, attr), 1)
-            out.append((v if attr else strip_tags(v)).alias(name))
+            out.append((unquote(v) if attr else strip_tags(v)).alias(name))
         return F.struct(*out)
 
     return F.transform(blocks, rec)

@@ -151,7 +151,7 @@ def any_token_in(text: ColumnOrName, lexicon: Sequence[str]) -> Column:
 
 
 def last_token(text: ColumnOrName) -> Column:
-    return F.element_at(tokens(text), -1)
+    return F.try_element_at(tokens(text), F.lit(-1))
 
 
 def last_token_in(text: ColumnOrName, lexicon: Sequence[str],

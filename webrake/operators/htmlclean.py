@@ -17,6 +17,7 @@ img, iframe and code elements with their content.  Text and comments stay.
 from __future__ import annotations
 
 import html as _html
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -34,17 +35,22 @@ BLOCK = {"p", "div", "section", "article", "header", "footer", "nav", "ul", "ol"
          "tr", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "li", "br", "hr",
          "title", "main", "aside", "form", "dl", "dt", "dd"}
 KEEP_META = {"meta": None}  # None = every attribute
-MAX_PAGES_PER_BATCH = 256
+
+
+_INDENT = "\x00"         # one list level in the raw markdown, until lines are normalised
 
 
 class _Cleaner(HTMLParser):
+    """Keeps a stack of open elements: a parent's end tag closes its open
+    children, and with them a dropped element that was never closed."""
+
     def __init__(self, keep: dict | None):
         super().__init__(convert_charrefs=True)
         self.keep = keep or {}
         self.out: list[str] = []
         self.md: list[str] = []
-        self.skip = 0            # depth inside a dropped element
-        self.skip_tag: list[str] = []
+        self.open: list[str] = []
+        self.drop_at: int | None = None      # depth of the open dropped element
         self.href: list[str | None] = []
         self.list_depth = 0
 
@@ -53,18 +59,17 @@ class _Cleaner(HTMLParser):
         self.md.append("\n" * n)
 
     def handle_decl(self, decl):
-        if not self.skip:
+        if self.drop_at is None:
             self.out.append(f"<!{decl}>")
 
     def handle_starttag(self, tag, attrs):
-        if self.skip:
-            if tag == self.skip_tag[-1] and tag not in VOID:
-                self.skip += 1
+        if tag not in VOID:
+            self.open.append(tag)
+        if self.drop_at is not None:
             return
         if tag in DROP_WITH_CONTENT:
             if tag not in VOID:
-                self.skip = 1
-                self.skip_tag.append(tag)
+                self.drop_at = len(self.open) - 1
             return
         kept = []
         if tag in self.keep:
@@ -79,10 +84,11 @@ class _Cleaner(HTMLParser):
             self.md.append("#" * int(tag[1]) + " ")
         elif tag == "li":
             self._md_break(1)
-            self.md.append("  " * max(self.list_depth - 1, 0) + "- ")
+            self.md.append(_INDENT * max(self.list_depth - 1, 0) + "- ")
         elif tag in ("ul", "ol"):
+            if not self.list_depth:
+                self._md_break(1)
             self.list_depth += 1
-            self._md_break(1)
         elif tag == "a":
             self.href.append(dict(attrs).get("href"))
             self.md.append("[")
@@ -92,40 +98,56 @@ class _Cleaner(HTMLParser):
             self._md_break()
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID and not self.skip:
+        if tag in VOID:
+            self.handle_starttag(tag, attrs)
+        elif self.drop_at is None and tag not in DROP_WITH_CONTENT:
+            self.handle_starttag(tag, attrs)
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if self.skip:
-            if tag == self.skip_tag[-1]:
-                self.skip -= 1
-                if self.skip == 0:
-                    self.skip_tag.pop()
-            return
-        if tag in DROP_WITH_CONTENT or tag in VOID:
+        if tag in VOID or tag not in self.open:
             return
+        while self._close() != tag:
+            pass
+
+    def _close(self):
+        """Close the innermost open element and return its tag."""
+        tag = self.open.pop()
+        if self.drop_at is not None:
+            if len(self.open) <= self.drop_at:
+                self.drop_at = None
+            return tag
         self.out.append(f"</{tag}>")
         if tag == "a":
             href = self.href.pop() if self.href else None
             self.md.append(f"]({href})" if href else "]")
         elif tag in ("ul", "ol"):
             self.list_depth = max(self.list_depth - 1, 0)
-            self._md_break()
+            if not self.list_depth:
+                self._md_break()
         elif tag in BLOCK:
             self._md_break()
+        return tag
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._close()
 
     def handle_data(self, data):
-        if self.skip:
+        if self.drop_at is not None:
             return
         self.out.append(_html.escape(data, quote=False))
-        self.md.append(" ".join(data.split()) if data.strip() else (" " if data else ""))
+        self.md.append(_SPACE.sub(" ", data.replace(_INDENT, "")))
 
     def handle_comment(self, data):
-        if not self.skip:
+        if self.drop_at is None:
             self.out.append(f"<!--{data}-->")
 
 
+_SPACE = re.compile(r"\s+")
+
+
 def clean_and_convert(markup: str | None, keep: dict | None = None) -> tuple[str | None, str | None]:
     """(clean_html, markdown) of one page."""
     if markup is None:
@@ -134,8 +156,8 @@ def clean_and_convert(markup: str | None, keep: dict | None = None) -> tuple[str
     p.feed(markup)
     p.close()
     md = "".join(p.md)
-    # normalise blank-line runs and line-edge spaces
-    lines = [ln.strip() for ln in md.split("\n")]
+    # normalise blank-line runs and spaces; list lines keep their indent
+    lines = [re.sub(" +", " ", ln).strip().replace(_INDENT, "  ") for ln in md.split("\n")]
     out, blank = [], False
     for ln in lines:
         if ln:
@@ -144,13 +166,16 @@ def clean_and_convert(markup: str | None, keep: dict | None = None) -> tuple[str
         elif not blank and out:
             out.append("")
             blank = True
-    return "".join(p.out), "\n".join(out).strip()
+    return "".join(p.out), "\n".join(out).strip("\n")
 
 
 def clean_pages(pages: DataFrame, html_col: str = "html", keep: dict | None = None,
                 passthrough: list[str] | None = None) -> DataFrame:
     """Add ``clean_html`` and ``markdown`` to each page (``html`` dropped).
-    ``passthrough`` columns are carried through (default: all others)."""
+    ``passthrough`` columns are carried through (default: all others).
+
+    Pages are large: a session that runs this should set
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` to a few hundred."""
     cols = passthrough if passthrough is not None else [c for c in pages.columns if c != html_col]
     in_schema = {f.name: f for f in pages.schema.fields}
     schema = StructType([in_schema[c] for c in cols] + [
@@ -164,10 +189,5 @@ def clean_pages(pages: DataFrame, html_col: str = "html", keep: dict | None = No
             out["markdown"] = [r[1] for r in res]
             yield out
 
-    # Pages are large: keep Arrow batches small so one batch of pages fits a
-    # Python worker comfortably (the session default is 10,000 rows).
     ship_package(pages.sparkSession)
-    conf = pages.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > MAX_PAGES_PER_BATCH:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(MAX_PAGES_PER_BATCH))
     return pages.select(*cols, html_col).mapInPandas(run, schema)

@@ -1,11 +1,8 @@
 """Lexicon and vocabulary operators for lexicons held as tables.
 
 Small lexicons given as Python lists are inlined as array literals
-(``functions.text.any_token_in``).  A lexicon table is joined instead: the
-text's tokens are exploded and semi-joined against the lexicon.  The
-lexicon side is broadcast only after its row count is checked against a
-bound; above it the join is a regular shuffle join (AQE may still pick a
-broadcast from runtime statistics).
+(``functions.text.any_token_in``), when the caller asks for that.  A lexicon
+table is joined: distinct tokens are exploded and semi-joined against it.
 """
 
 from __future__ import annotations
@@ -15,53 +12,30 @@ from pyspark.sql import functions as F
 
 from webrake.functions.common import tokens
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint behind an explicit size check (one count job)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-INLINE_MAX_WORDS = 10_000
-
-
 def any_token_in_table(df: DataFrame, id_col: str, text_col: str,
                        lexicon: DataFrame, word_col: str = "word",
-                       out_col: str = "hit", last_only: bool = False,
-                       inline_max: int = INLINE_MAX_WORDS) -> DataFrame:
+                       out_col: str = "hit", last_only: bool = False) -> DataFrame:
     """Add ``out_col``: some (or, with ``last_only``, the last) lowercased
-    whitespace token of ``text_col`` is a lexicon word.  ``id_col`` must be
-    unique in ``df``.
-
-    A lexicon of at most ``inline_max`` distinct words (checked with a
-    bounded ``limit(n + 1)`` read) is inlined as a literal array: the test
-    is then a map-side expression with no shuffle.  A larger lexicon is
-    joined: tokens are exploded and semi-joined against it (broadcast only
-    when small enough), and the matching ids are joined back."""
-    words = lexicon.select(F.lower(F.col(word_col)).alias("__w")).where(
-        F.col("__w").isNotNull()).distinct()
-    small = [r["__w"] for r in words.limit(inline_max + 1).collect()]
-    if len(small) <= inline_max:
-        from webrake.functions.text import any_token_in, last_token
-        if last_only:
-            hit = F.coalesce(F.lower(last_token(text_col)).isin(small), F.lit(False))
-        else:
-            hit = any_token_in(text_col, small)
-        return df.withColumn(out_col, hit)
-    lex = broadcast_if_small(words)
+    whitespace token of ``text_col`` is a lexicon word (null and blank texts:
+    false).
+
+    The answer depends on the text alone, so each different text is looked up
+    once, keyed by its SHA-256: its distinct tokens are exploded and
+    semi-joined with the lexicon, and the texts that hit are joined back.
+    Repeated or null ids (``id_col`` is not used as a key) are therefore
+    safe, and the plan is the same at every size; broadcasts are left to
+    adaptive execution."""
+    words = lexicon.select(F.lower(F.col(word_col)).alias("__w")).where(F.col("__w").isNotNull()).distinct()
+    keyed = df.withColumn("__t", F.sha2(F.col(text_col), 256))
+    texts = df.select(F.sha2(F.col(text_col), 256).alias("__t"), F.lower(F.col(text_col)).alias("__x")) \
+        .where(F.col("__x").isNotNull())
     if last_only:
-        toks = df.select(F.col(id_col).alias("__id"),
-                         F.lower(F.element_at(tokens(text_col), -1)).alias("__w"))
+        toks = texts.select("__t", F.try_element_at(tokens("__x"), F.lit(-1)).alias("__w")).distinct()
     else:
-        toks = df.select(F.col(id_col).alias("__id"),
-                         F.explode(tokens(F.lower(F.col(text_col)))).alias("__w"))
-    hits = toks.join(lex, "__w", "left_semi").select("__id").distinct()
-    return (df.join(hits.withColumn(out_col, F.lit(True)),
-                    df[id_col] == hits["__id"], "left")
-              .drop("__id")
-              .withColumn(out_col, F.coalesce(F.col(out_col), F.lit(False))))
+        toks = texts.select("__t", F.explode(F.array_distinct(tokens("__x"))).alias("__w")).distinct()
+    hits = toks.join(words, "__w", "left_semi").select("__t").distinct().withColumn("__hit", F.lit(True))
+    return keyed.join(hits, "__t", "left") \
+        .withColumn(out_col, F.coalesce(F.col("__hit"), F.lit(False))).drop("__t", "__hit")
 
 
 def vocab_violations(arr, vocab: list[str]):

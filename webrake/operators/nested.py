@@ -104,6 +104,11 @@ def first_per_category(df: DataFrame, key: str, pos: str, value: str,
 
     One pass per word; each pass is a partial ``min(struct)`` aggregation
     and a join back on the key, so a hot key is never sorted in one task."""
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """Join on the key, null keys being one group like any other."""
+        right = right.withColumnRenamed(key, "__key")
+        return left.join(right, left[key].eqNullSafe(right["__key"]), how).drop("__key")
+
     taken = None
     result = None
     for i, w in enumerate(words):
@@ -111,7 +116,7 @@ def first_per_category(df: DataFrame, key: str, pos: str, value: str,
         base = df.select(key, pos, value)
         cond = F.col(value).contains(w)
         if taken is not None:
-            base = base.join(taken, key, "left")
+            base = joined(base, taken, "left")
             # a value whose row was the pick of an earlier word is skipped
             excl = None
             for j in range(i):
@@ -121,8 +126,9 @@ def first_per_category(df: DataFrame, key: str, pos: str, value: str,
         pick = base.groupBy(key).agg(
             F.min(F.when(cond, F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).alias("__m"))
         pick = pick.select(key, F.col("__m.p").alias(f"__p{i}"), F.col("__m.v").alias(col))
-        taken = pick.select(key, f"__p{i}") if taken is None else taken.join(pick.select(key, f"__p{i}"), key)
-        result = pick if result is None else result.join(pick, key)
+        mine = pick.select(key, f"__p{i}")
+        taken = mine if taken is None else joined(taken, mine, "inner")
+        result = pick if result is None else joined(result, pick, "inner")
     return result.select(key, *[f"first_{i}" for i in range(len(words))])
 
 

@@ -28,8 +28,8 @@ def explode_jsonl_block(df: DataFrame, keys: Sequence[str], block: str, schema:
     parsed = df.select(*keys, st.alias("status"), recs.alias("__recs"))
     ex = parsed.select(*keys, "status",
                        F.posexplode_outer("__recs").alias("line_no", "__r"))
-    fields = [f.split()[0] for f in schema.split(",")]
-    return ex.select(*keys, "status", "line_no", *[F.col(f"__r.{f}").alias(f) for f in fields])
+    fields = ex.schema["__r"].dataType.fieldNames()
+    return ex.select(*keys, "status", "line_no", *[F.col("__r")[f].alias(f) for f in fields])
 
 
 def parse_json_answers(df: DataFrame, answer: str, schema: str, fence: str,

@@ -86,34 +86,22 @@ def sort_nulls_last(df: DataFrame, col: ColumnOrName, ord_col: ColumnOrName) ->
     return df.orderBy(as_col(col).asc_nulls_last(), as_col(ord_col).asc())
 
 
-HEAD_BROADCAST_MAX = 1_000_000
-
-
 def slice_rows(df: DataFrame, order: Sequence[Column], offset: int = 0,
-               limit: int = 0, key: Sequence[str] | None = None) -> DataFrame:
+               limit: int = 0) -> DataFrame:
     """Rows with ``offset <= i < limit`` in ``order``; ``limit`` is an
     absolute end and 0 means no end.
 
     With a limit this is a bounded top-k (``TakeOrderedAndProject``, at
     most ``limit`` rows reach one task).  Without one, Spark would run
     ``OFFSET`` in a single partition, so the first ``offset`` rows are taken
-    with a bounded top-k instead and removed with an anti-join on ``key``
-    (columns identifying a row), broadcast when ``offset`` bounds it; the
+    with a bounded top-k and subtracted as a multiset (``exceptAll``: a row
+    that occurs n times and is m times in the head stays n - m times); the
     rest stays distributed and is range-sorted."""
     if limit > 0:
         return df.orderBy(*order).limit(limit).offset(offset)
     if offset <= 0:
         return df.orderBy(*order)
-    if not key:
-        return df.orderBy(*order).offset(offset)
-    head = df.orderBy(*order).limit(offset).select(*key)
-    if offset <= HEAD_BROADCAST_MAX:
-        head = F.broadcast(head)
-    cond = None
-    for k in key:
-        t = df[k].eqNullSafe(head[k])
-        cond = t if cond is None else cond & t
-    return df.join(head, cond, "left_anti").orderBy(*order)
+    return df.exceptAll(df.orderBy(*order).limit(offset)).orderBy(*order)
 
 
 def page_cap(df: DataFrame, page_no: ColumnOrName, page_limit: int = 3) -> DataFrame:

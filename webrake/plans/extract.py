@@ -8,6 +8,8 @@ table back.  Templates are parameters (``$VAR`` placeholders).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +24,18 @@ TEXT_CLOSE = '"""'
 
 
 def render_template(template: str, **values: Column) -> Column:
-    """Replace each ``$NAME`` in the template with a column value."""
-    out = F.lit(template)
-    for k, v in values.items():
-        out = F.replace(out, F.lit("$" + k), F.coalesce(v, F.lit("")))
-    return out
+    """Replace each ``$NAME`` of the template by a column value (null: empty).
+
+    The template is split once, so a value that holds ``$OTHER`` is not
+    expanded again and ``$HOST`` does not match ``$HOSTNAME``; names without
+    a value stay as they are."""
+    parts = []
+    for i, piece in enumerate(re.split(r"\$([A-Za-z_][A-Za-z0-9_]*)", template)):
+        if i % 2 and piece in values:
+            parts.append(F.coalesce(values[piece].cast("string"), F.lit("")))
+        else:
+            parts.append(F.lit("$" + piece if i % 2 else piece))
+    return F.concat(*parts)
 
 
 def build_requests(df: DataFrame, key_cols: list[str], system: Column, text: Column,

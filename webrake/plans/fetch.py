@@ -63,7 +63,7 @@ def fetch_plan(hits: DataFrame, kind: str = "group", k: int = 3,
         out = hits.select("entity_key", F.lit(1).cast("bigint").alias("rank"), "pos", "url",
                           F.lit(0).cast("bigint").alias("score"),
                           U.url_key("url", no_ext=True).alias("url_key"))
-        return _resume(out, done)
+        return _resume(R.dedupe_first(out, ["entity_key", "url_key"], ["pos"]), done)
     defaults = {
         "cv": (T.CV_DENY, []),
         "student": (T.STUDENT_DENY, T.STUDENT_DENY_PAIRS),

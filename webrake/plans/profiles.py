@@ -62,7 +62,7 @@ def screened_report(profiles: DataFrame, allow: Sequence[str], deny: Sequence[st
         F.col("__sc.rule").alias("keyword"),
         T.join_list(F.coalesce("tags", F.array()), "\n").alias("tags"),
         F.col("__st.all").alias("cited_all"), F.col("__st.recent").alias("cited_5yr"),
-        F.round(T.safe_ratio("__st.recent", "__st.all"), 6).alias("cited_5yr_ratio"),
+        T.safe_ratio("__st.recent", "__st.all").alias("cited_5yr_ratio"),
         T.last_line("brief").alias("brief"),
         T.join_list(F.coalesce("articles", F.array()), "\n").alias("articles"),
         T.report_search_link("name", "email").alias("search_link"))

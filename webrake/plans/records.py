@@ -100,7 +100,7 @@ def student_scores(index: DataFrame, docs: DataFrame, hit: int = 10, miss: int =
     """Per person: the base document is the largest (ties by order); the
     person is kept when the base title passes the class test; the longest
     experience list and the longest publication list are chosen
-    independently over all documents; score = per element ``hit`` when
+    independently over all documents; people without an index row are skipped; score = per element ``hit`` when
     flagged else ``miss``; id = SHA-256 of the entity key; email falls back
     to the index's.
 
@@ -128,7 +128,7 @@ def student_scores(index: DataFrame, docs: DataFrame, hit: int = 10, miss: int =
         pick([-F.col("n_pub"), -size, doc], ["doc_id", "n_pub", "pub_score"]).alias("p"))
     per = per.where(title_ok(F.col("b.title")))
     j = per.join(index.select("entity_key", F.col("institute").alias("ix_institute"),
-                              F.col("email").alias("ix_email")), "entity_key", "left")
+                              F.col("email").alias("ix_email")), "entity_key")
     score = (F.when(F.col("e.n_exp") > 0, F.col("e.exp_score")).otherwise(F.lit(0))
              + F.when(F.col("p.n_pub") > 0, F.col("p.pub_score")).otherwise(F.lit(0)))
     return j.select(

@@ -65,7 +65,7 @@ def expand_globs(spark: SparkSession, patterns: Sequence[str],
     nothing raises ``FileNotFoundError``."""
     jvm = spark._jvm
     conf = spark._jsc.hadoopConfiguration()
-    out: list[str] = []
+    out: dict[str, None] = {}
     for pat in patterns:
         if "*" in pat:
             p = jvm.org.apache.hadoop.fs.Path(pat)
@@ -78,15 +78,14 @@ def expand_globs(spark: SparkSession, patterns: Sequence[str],
             raise FileNotFoundError(f"no file found for {pat}")
         for f in found:
             norm = f[len("file:"):] if f.startswith("file:") else f
-            if norm not in out:
-                out.append(norm)
-    return out
+            out[norm] = None
+    return list(out)
 
 
 def read_targets(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
     """Target table with a header row (CSV) or a parquet table."""
     if fmt == "csv":
-        return spark.read.option("header", True).schema(schema).csv(path)
+        return spark.read.options(**csv_options()).schema(schema).csv(path)
     return spark.read.schema(schema).format(fmt).load(path)
 
 
@@ -102,21 +101,14 @@ def read_page_blobs(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("html"))
 
 
-def read_table(spark: SparkSession, path: str, spread: bool = True) -> DataFrame:
-    """Parquet table.  When the scan yields fewer splits than the session's
-    default parallelism (a table stored as one file with one row group, as
-    small extracts are), rows are spread round-robin so per-row CPU work
-    (regular expressions over whole pages, the HTML parser pass, strict JSON
-    checks) uses every core.  A table of many files already has more splits
-    than cores, so on a cluster this is a no-op.  Filters are still pushed
-    into the scan below the spread."""
-    df = spark.read.parquet(path)
-    if spread:
-        try:
-            want = spark.sparkContext.defaultParallelism
-            have = df.rdd.getNumPartitions()   # file splits: planning only, no job
-        except Exception:  # noqa: BLE001 - e.g. a session without RDD access
-            return df
-        if have < want:
-            df = df.repartition(want)
-    return df
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet table as it lies (splits follow
+    ``spark.sql.files.maxPartitionBytes``)."""
+    return spark.read.parquet(path)
+
+
+def csv_options() -> dict[str, str | bool]:
+    """CSV in which a cell may hold quotes, line breaks and edge blanks:
+    used by the target reader and by ``sinks.write_tables``."""
+    return {"header": True, "quote": '"', "escape": '"', "lineSep": "\n", "multiLine": True,
+            "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}

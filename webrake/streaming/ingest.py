@@ -6,8 +6,9 @@ that arrived since the last run (the checkpoint remembers which), and a
 
 1. keeps the first record per key inside the batch (ordered first-wins
    dedupe, a partial aggregation),
-2. anti-joins the target table's earlier batches on the key,
-3. writes the survivors to ``target/batch_id=N`` with overwrite.
+2. anti-joins what other runs and earlier batches wrote, on the key,
+3. writes the survivors to ``target/run=R/batch_id=N`` with overwrite, where
+   the run id R lies with the checkpoint.
 
 Step 3 makes a replayed batch idempotent: a retry after a lost executor or
 driver rewrites the same folder, and step 2 only reads folders of earlier
@@ -20,35 +21,64 @@ hold across all runs.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webrake.operators.rank import dedupe_first
 
 
-def _target_before(spark: SparkSession, target: str, batch_id: int, keys: Sequence[str]):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(target)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The run id kept with the checkpoint; a new checkpoint is a new run, so
+    its batch numbers never overwrite those of an earlier one."""
+    fs, p = _fs(spark, f"{checkpoint}/ingest-run")
+    if fs.exists(p):
+        stream = fs.open(p)
+        try:
+            return stream.readUTF()
+        finally:
+            stream.close()
+    run = uuid.uuid4().hex
+    stream = fs.create(p)
+    stream.writeUTF(run)
+    stream.close()
+    return run
+
+
+def _target_before(spark: SparkSession, target: str, run: str, batch_id: int, batch: DataFrame):
+    fs, p = _fs(spark, target)
     if not fs.exists(p):
         return None
-    done = spark.read.parquet(target).where(F.col("batch_id") < batch_id)
-    return done.select(*keys)
+    # the schema is given: a folder that a failed first batch left empty has none
+    schema = T.StructType([*batch.schema.fields, T.StructField("run", T.StringType()),
+                           T.StructField("batch_id", T.LongType())])
+    return spark.read.schema(schema).parquet(target) \
+        .where((F.col("run") != run) | (F.col("batch_id") < batch_id))
 
 
 def process_batch(batch: DataFrame, batch_id: int, target: str,
-                  keys: Sequence[str], order: Sequence[str]) -> None:
+                  keys: Sequence[str], order: Sequence[str], run: str = "0") -> None:
     """One micro-batch: first record per key inside the batch, minus keys
-    already written by *earlier* batches, written to ``batch_id=N`` with
-    overwrite (replaying the batch rewrites the same folder)."""
+    already written by other runs or *earlier* batches (a null key is a key),
+    written to ``run=R/batch_id=N`` with overwrite (replaying the batch
+    rewrites the same folder)."""
     spark = batch.sparkSession
     first = dedupe_first(batch, list(keys), list(order))
-    done = _target_before(spark, target, batch_id, keys)
+    done = _target_before(spark, target, run, batch_id, batch)
     if done is not None:
-        first = first.join(done, list(keys), "left_anti")
-    first.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+        done = done.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)])
+        same = [first[k].eqNullSafe(done[f"__k{i}"]) for i, k in enumerate(keys)]
+        first = first.join(done, functools.reduce(lambda a, b: a & b, same), "left_anti")
+    first.write.mode("overwrite").parquet(f"{target}/run={run}/batch_id={batch_id}")
 
 
 def ingest_new(spark: SparkSession, source: str, schema: str, target: str,
@@ -66,8 +96,9 @@ def ingest_new(spark: SparkSession, source: str, schema: str, target: str,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.load(source)
+    run = _run_of(spark, checkpoint)
     writer = (stream.writeStream
-              .foreachBatch(lambda b, i: process_batch(b, i, target, keys, order))
+              .foreachBatch(lambda b, i: process_batch(b, i, target, keys, order, run))
               .option("checkpointLocation", checkpoint))
     if every:
         return writer.trigger(processingTime=every).start()
@@ -77,4 +108,5 @@ def ingest_new(spark: SparkSession, source: str, schema: str, target: str,
 
 
 def read_target(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(target)
+    """All records written so far, with their ``batch_id``."""
+    return spark.read.parquet(target).drop("run")
