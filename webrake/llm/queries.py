@@ -99,8 +99,8 @@ cut AS (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, greatest(len(
 win AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM cut),
 d AS (SELECT doc_id, coalesce({_WORDS.format('text')}, []) AS w FROM documents),
 sizes AS (SELECT DISTINCT size FROM win),
-at AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
-occ AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM at),
+spot AS (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+occ AS (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM spot),
 hit AS (SELECT doc_id, i, occ.size, item FROM occ JOIN win USING (size, words)),
 place AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS p FROM hit),
 n AS (SELECT doc_id, count(*) AS n FROM place GROUP BY doc_id),
