@@ -20,9 +20,6 @@ from webrake.functions import text as T
 from webrake.functions import urls as U
 from webrake.operators import joins as J
 
-REPORT_COLUMNS = ["name", "note", "score", "homepage", "keyword", "tags", "cited_all",
-                  "cited_5yr", "cited_5yr_ratio", "brief", "articles"]
-
 
 # ---------------------------------------------------------------- P5
 def screened_report(profiles: DataFrame, allow: Sequence[str], deny: Sequence[str],
