@@ -358,8 +358,8 @@ def p_requests_markdown(spark, sf_dir):
     """Parser-based variant (mapInPandas markdown); checked in tests."""
     pages = table(spark, sf_dir, "pages")
     req = X.extract_requests(pages, ["page_id"], REQ_TEMPLATE, native=False, HOST=U.url_netloc("url"))
-    return req.select("page_id", F.size("messages").alias("n_messages"),
-                      F.length(F.col("messages")[1]["content"]).alias("user_len"))
+    return req.select("page_id", F.col("messages")[0]["content"].alias("system_text"),
+                      F.col("messages")[1]["content"].alias("user_text"))
 
 
 def _answers(spark, sf_dir):
@@ -387,7 +387,7 @@ def p_clean(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     out = X.clean_corpus(pages, scratch_path(spark, "clean"))
     return out.select("page_id", U.url_key("url").alias("url_key"),
-                      F.length("clean_html").alias("clean_len"), F.length("markdown").alias("md_len"))
+                      "clean_html", "markdown")
 
 
 # ---------------------------------------------------------------- P10
