@@ -83,9 +83,9 @@ def test_screened_report_materialize_equivalent(spark):
 def test_citation_index_resume_and_profile_ids(spark):
     from webrake.plans import profiles as PF
     res = spark.createDataFrame([
-        ("u1", "%0 Journal Article\n%T  T1 \n%A Doe, J\n%D 2014", ["/c?hl=en&user=A1", "/c?user=B2"]),
-        ("u2", "%0 Book\n%T T2", ["/c?user=A1"]),
-    ], "url string, endnote string, profile_urls array<string>")
+        ("u1", "%0 Journal Article\n%T  T1 \n%A Doe, J\n%D 2014", [("Jane", "/c?hl=en&user=A1"), ("Bo", "/c?user=B2")]),
+        ("u2", "%0 Book\n%T T2", [("Jane", "/c?user=A1")]),
+    ], "url string, endnote string, profiles array<struct<name: string, url: string>>")
     done = spark.createDataFrame([("u2",)], "url string")
     arts = PF.citation_index(res, done)
     rows = arts.collect()

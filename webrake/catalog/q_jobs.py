@@ -292,8 +292,7 @@ SELECT name, CAST(NULL AS VARCHAR) AS note, CAST(NULL AS DOUBLE) AS score, coale
 FROM st WHERE c_all IS NOT NULL AND c_5 IS NOT NULL""")
 def p_report(spark, sf_dir):
     prof = _profiles_from_documents(spark, sf_dir)
-    report, _bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0,
-                                      materialize=True)
+    report, _bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0)
     return report.withColumn("cited_5yr_ratio", F.round("cited_5yr_ratio", 6))
 
 
@@ -301,8 +300,7 @@ def p_report(spark, sf_dir):
 SELECT name, cited_stats FROM st WHERE c_all IS NULL OR c_5 IS NULL""")
 def p_report_quarantine(spark, sf_dir):
     prof = _profiles_from_documents(spark, sf_dir)
-    _report, bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0,
-                                      materialize=True)
+    _report, bad = PF.screened_report(prof, ALLOW, DENY, keep_flag=F.col("toxic") == 0)
     return bad
 
 
@@ -315,21 +313,26 @@ _AD_RE = r'(?is)<div\s[^>]*class="(?:[^"]*\s)?ad(?:\s[^"]*)?"[^>]*>(.*?)</div\s*
 WITH p AS (SELECT page_id AS uid, {S.url_part('url', 2)} AS host,
                   list_transform(regexp_extract_all(html, {S.q(_AD_RE)}, 1), lambda x: {S.strip_tags('x')}) AS ads
            FROM pages)
-SELECT uid, array_to_string(ads, '|') AS ads, CAST(len(ads) AS INTEGER) AS n_ads, host AS co_author FROM p""")
+SELECT uid, array_to_string(ads, '|') AS ads, CAST(len(ads) AS INTEGER) AS n_ads,
+       CASE WHEN uid % 3 = 0 THEN '' ELSE host || '|c' || CAST(uid AS VARCHAR) END AS co_authors FROM p""")
 def p_refresh(spark, sf_dir):
-    """Stored profiles (uid, co-author names saved as a list or a scalar)
-    refreshed from stored HTML, written as a new version and read back."""
+    """Stored profiles (uid, a list of co-authors whose names are a list or a
+    scalar) refreshed from stored HTML, written as a new version and read back."""
     pages = table(spark, sf_dir, "pages")
     host = U.url_netloc("url")
-    co = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('{"name": ["'), host, F.lit('", "x"]}'))) \
-        .otherwise(F.concat(F.lit('{"name": "'), host, F.lit('"}')))
-    profiles = pages.select(F.col("page_id").alias("uid"), co.alias("co_authors_json"))
-    fresh = PF.refresh_profiles(profiles, pages.select(F.col("page_id").alias("uid"), "html"), _AD_SPEC)
+    uid = F.col("page_id")
+    second = F.concat(F.lit(', {"name": "c'), uid.cast("string"), F.lit('"}]'))
+    co = F.when(uid % 3 == 0, F.lit("[]")) \
+        .when(uid % 2 == 0, F.concat(F.lit('[{"name": ["'), host, F.lit('", "x"]}'), second)) \
+        .otherwise(F.concat(F.lit('[{"name": "'), host, F.lit('"}'), second))
+    profiles = pages.select(uid.alias("uid"), co.alias("co_authors_json"))
+    fresh = PF.refresh_profiles(profiles, pages.select(uid.alias("uid"), "html"), _AD_SPEC)
     from webrake.sources.sinks import write_versioned
-    path = write_versioned(fresh.select("uid", "ads", "co_author"), scratch_path(spark, "profiles"),
+    path = write_versioned(fresh.select("uid", "ads", "co_authors"), scratch_path(spark, "profiles"),
                            suffix="refresh", fmt="parquet")
     back = spark.read.parquet(path)
-    return back.select("uid", F.array_join("ads", "|").alias("ads"), F.size("ads").alias("n_ads"), "co_author")
+    return back.select("uid", F.array_join("ads", "|").alias("ads"), F.size("ads").alias("n_ads"),
+                       F.array_join("co_authors.name", "|").alias("co_authors"))
 
 
 # ---------------------------------------------------------------- P8
@@ -396,8 +399,8 @@ def _results(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     res = p.select(F.concat(F.lit("https://example.org/article/"), F.col("p_partkey").cast("string")).alias("url"),
                    _endnote_text().alias("endnote"),
-                   F.transform(tokens("p_name"), lambda t: F.concat(
-                       F.lit("https://scholar.example.org/citations?hl=en&user="), t)).alias("profile_urls"))
+                   F.transform(tokens("p_name"), lambda t: F.struct(F.upper(t).alias("name"), F.concat(
+                       F.lit("https://scholar.example.org/citations?hl=en&user="), t).alias("url"))).alias("profiles"))
     done = p.where(F.col("p_size") < 5).select(
         F.concat(F.lit("https://example.org/article/"), F.col("p_partkey").cast("string")).alias("url"))
     return PF.citation_index(res, done)
@@ -413,13 +416,14 @@ SELECT url, CASE WHEN p_size > 45 THEN NULL ELSE p_type END AS type,
        CASE WHEN p_size > 45 THEN NULL ELSE {S.strip_ws('p_name')} END AS title,
        CASE WHEN p_size > 45 THEN NULL ELSE array_to_string({S.tokens('p_name')}, '|') END AS authors,
        CASE WHEN p_size > 45 THEN NULL ELSE CAST(p_size + 1 AS VARCHAR) END AS volume,
-       CAST(len({S.tokens('p_name')}) AS INTEGER) AS n_profiles
+       CAST(len({S.tokens('p_name')}) AS INTEGER) AS n_profiles, upper(array_to_string({S.tokens('p_name')}, '|')) AS names
 FROM r""")
 def p_citations(spark, sf_dir):
     a = _results(spark, sf_dir)
     return a.select("url", F.col("citation.type").alias("type"), F.col("citation.title").alias("title"),
                     F.array_join("citation.authors", "|").alias("authors"),
-                    F.col("citation.volume").alias("volume"), F.size("profiles").alias("n_profiles"))
+                    F.col("citation.volume").alias("volume"), F.size("profiles").alias("n_profiles"),
+                    F.array_join("profiles.name", "|").alias("names"))
 
 
 @query("p_citation_profiles", _CIT_BASE + f"""
@@ -544,3 +548,153 @@ def p_link_pick(spark, sf_dir):
     hits = table(spark, sf_dir, "pages").select(
         U.url_netloc("url").alias("entity_key"), F.col("page_id").alias("pos"), "url")
     return fetch.link_pick(hits, "blog.", "/en/")
+
+
+# ---------------------------------------------------------------- P7 from targets
+_TARGET_SQL = f"""
+WITH t AS (SELECT page_id AS ord, split_part(url, '/', 3) AS host, url FROM pages),
+named AS (SELECT ord, split_part(host, '.', 1) AS lower_name, host,
+                 CASE WHEN ord % 2 = 0 THEN upper(split_part(host, '.', 1)) ELSE split_part(host, '.', 1) END AS advisor, url FROM t),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower_name ORDER BY ord) AS rn FROM named
+                       WHERE lower_name <> '') WHERE rn = 1)"""
+
+
+def _targets(spark, sf_dir):
+    """Targets stand-in: each page names a group (the first label of its
+    host, in either case) at its host, with the page as the own url."""
+    host = U.url_netloc("url")
+    label = F.split_part(host, F.lit("."), F.lit(1))
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("ord"), F.when(F.col("page_id") % 2 == 0, F.upper(label)).otherwise(label).alias("advisor"),
+        host.alias("institute"), F.col("url").alias("own"))
+
+
+@query("p_targets", _TARGET_SQL + """
+SELECT ord, advisor, host AS institute, advisor || '-' || host AS entity_key,
+       '(research group of ' || advisor || ') AND (members or people) AND (graduate or phd or postdoctoral) ' || host AS search_text
+FROM one""")
+def p_targets(spark, sf_dir):
+    """Targets once per name (case ignored) with entity key and search text."""
+    return fetch.plan_targets(_targets(spark, sf_dir), "group", ["ord"]) \
+        .select("ord", "advisor", "institute", "entity_key", "search_text")
+
+
+@query("p_fetch_plan_targets", _TARGET_SQL + f""",
+h AS (SELECT split_part(split_part(url, '/', 3), '.', 1) || '-' || split_part(url, '/', 3) AS entity_key, page_id AS pos, url FROM pages),
+w AS (SELECT h.* FROM h JOIN one ON h.entity_key = one.advisor || '-' || one.host),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY pos) AS rank FROM w
+           WHERE NOT {S.deny_url('url', T.CV_DENY)}),
+top AS (SELECT entity_key, CAST(rank AS BIGINT) AS rank, pos, url FROM ranked WHERE rank <= 2
+        UNION ALL SELECT advisor || '-' || host, 3, NULL, url FROM one),
+keyed AS (SELECT *, CAST(0 AS BIGINT) AS score, {S.url_key('url')} AS url_key FROM top)
+SELECT entity_key, rank, pos, url, score, url_key FROM (
+  SELECT *, row_number() OVER (PARTITION BY entity_key, url_key ORDER BY rank) AS rn FROM keyed) WHERE rn = 1""")
+def p_fetch_plan_targets(spark, sf_dir):
+    """Targets and stored hits to the pages to fetch: hits of planned targets
+    only, each target's own page last."""
+    p = table(spark, sf_dir, "pages")
+    host = U.url_netloc("url")
+    hits = p.select(U.entity_key(F.split_part(host, F.lit("."), F.lit(1)), host).alias("entity_key"),
+                    F.col("page_id").alias("pos"), "url", F.lit("").alias("title"), F.lit("").alias("snippet"))
+    return fetch.target_plan(_targets(spark, sf_dir), hits, "group", ["ord"], profile_url="own", k=2, rules=[],
+                             deny_any=T.CV_DENY)
+
+
+# ---------------------------------------------------------------- P8 students
+@query("p_student_requests", f"""
+SELECT page_id, 'The below is the markdown file related to ' || split_part(split_part(url, '/', 3), '.', 1) || ' from '
+       || split_part(url, '/', 3) || chr(10) || {S.q('Markdown: ' + _TQ)} || chr(10)
+       || {S.strip_tags(S.drop_blocks('html'))} || chr(10) || {S.q(_TQ)} AS user_text
+FROM pages""")
+def p_student_requests(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    host = U.url_netloc("url")
+    preface = X.student_preface(F.split_part(host, F.lit("."), F.lit(1)), host)
+    req = X.extract_requests(pages, ["page_id"], REQ_TEMPLATE, preface=preface, HOST=host)
+    return req.select("page_id", F.col("messages")[1]["content"].alias("user_text"))
+
+
+def _student_answers(spark, sf_dir):
+    """Answers about students (entities are numbers) and the hits that their
+    two profile links come from."""
+    e = table(spark, sf_dir, "events")
+    fence = F.when(F.col("event_id") % 7 == 0, F.lit("none")).otherwise(
+        F.concat(F.lit("```json\n"), F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(F.col("props")), F.lit("\n```")))
+    answers = e.select("event_id", (F.col("user_id") % 60).alias("entity_key"),
+                       F.concat(F.lit("event/"), F.col("event_id").cast("string")).alias("url"), fence.alias("answer"))
+    hits = table(spark, sf_dir, "pages").select((F.col("page_id") % 50).alias("entity_key"),
+                                                F.col("page_id").alias("pos"), "url")
+    return X.student_records(answers, fetch.link_pick(hits, "blog.", "/en/"), "k BIGINT")
+
+
+_STUDENT_SQL = """
+WITH a AS (SELECT event_id, user_id % 60 AS entity_key, 'event/' || CAST(event_id AS VARCHAR) AS src,
+                  CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN ''
+                       ELSE trim(props, ' ' || chr(9) || chr(10) || chr(13)) END AS block
+           FROM events)"""
+
+
+@query("p_student_records", _STUDENT_SQL + """,
+p AS (SELECT page_id % 50 AS entity_key, page_id AS pos, url FROM pages),
+l AS (SELECT entity_key, min(pos) FILTER (WHERE contains(url, 'blog.')) AS l_pos FROM p GROUP BY entity_key),
+g AS (SELECT p.entity_key, any_value(l_pos) AS l_pos,
+             min(pos) FILTER (WHERE contains(url, '/en/') AND pos IS DISTINCT FROM l_pos) AS g_pos
+      FROM p JOIN l ON p.entity_key = l.entity_key GROUP BY p.entity_key)
+SELECT event_id, a.entity_key, src, CAST(json_extract(block, '$.k') AS BIGINT) AS k, pl.url AS linkedin, pg.url AS google_scholar
+FROM a LEFT JOIN g ON a.entity_key = g.entity_key LEFT JOIN p pl ON pl.pos = g.l_pos LEFT JOIN p pg ON pg.pos = g.g_pos
+WHERE coalesce(json_valid(block), false)""")
+def p_student_records(spark, sf_dir):
+    records, _errors = _student_answers(spark, sf_dir)
+    return records.select("event_id", "entity_key", "src", F.col("rec.k").alias("k"), "linkedin", "google_scholar")
+
+
+@query("p_student_errors", _STUDENT_SQL + """
+SELECT event_id, entity_key, src, CASE WHEN block IS NULL THEN 'no fenced block' WHEN block = '' THEN 'empty block'
+       ELSE 'not one strict JSON object' END AS error
+FROM a WHERE NOT coalesce(json_valid(block), false)""")
+def p_student_errors(spark, sf_dir):
+    _records, errors = _student_answers(spark, sf_dir)
+    return errors.select("event_id", "entity_key", "src", "error")
+
+
+# ---------------------------------------------------------------- P4 with its lists
+@query("p_score_lists", """
+WITH li AS (SELECT l_orderkey, string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS e,
+                   string_agg(CAST(l_linenumber AS VARCHAR) || ':' || CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey)
+                     FILTER (WHERE l_linestatus = 'O') AS p,
+                   count(*) AS n_e, count(*) FILTER (WHERE l_linestatus = 'O') AS n_p,
+                   sum(CASE WHEN l_returnflag = 'R' THEN 10 ELSE 1 END) AS s_e,
+                   sum(CASE WHEN l_returnflag = 'R' THEN 10 ELSE 1 END) FILTER (WHERE l_linestatus = 'O') AS s_p
+            FROM lineitem GROUP BY l_orderkey),
+d AS (SELECT o_custkey AS entity_key, o_orderkey AS doc_id, o_totalprice AS size, o_orderpriority AS title, o_orderstatus AS status,
+             coalesce(e, '') AS e, coalesce(p, '') AS p, coalesce(n_e, 0) AS n_e, coalesce(n_p, 0) AS n_p,
+             coalesce(s_e, 0) AS s_e, coalesce(s_p, 0) AS s_p
+      FROM orders LEFT JOIN li ON l_orderkey = o_orderkey),
+r AS (SELECT *, row_number() OVER (PARTITION BY entity_key ORDER BY size DESC, doc_id) AS rb,
+             row_number() OVER (PARTITION BY entity_key ORDER BY n_e DESC, size DESC, doc_id) AS re,
+             row_number() OVER (PARTITION BY entity_key ORDER BY n_p DESC, size DESC, doc_id) AS rp FROM d)
+SELECT b.entity_key, b.doc_id AS base_doc, b.title, b.status, CAST(x.s_e + y.s_p AS BIGINT) AS score,
+       x.e AS experiences, y.p AS publications, n.n_name AS institute
+FROM r b JOIN r x ON x.entity_key = b.entity_key AND x.re = 1 JOIN r y ON y.entity_key = b.entity_key AND y.rp = 1
+JOIN customer c ON c.c_custkey = b.entity_key JOIN nation n ON n.n_nationkey = c.c_nationkey
+WHERE b.rb = 1 AND (contains(lower(b.title), 'urgent') OR contains(lower(b.title), 'high')
+           OR (contains(lower(b.title), 'specified') AND NOT contains(lower(b.title), 'not')))""")
+def p_score_lists(spark, sf_dir):
+    """The scored people with the base document's fields and both chosen
+    lists (a document's lists are its line items, a handful per order)."""
+    row = F.struct("l_linenumber", "l_partkey", (F.col("l_returnflag") == "R").alias("is_famous"))
+    lists = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(row)).alias("experiences"),
+        F.array_sort(F.collect_list(F.when(F.col("l_linestatus") == "O", row))).alias("publications"))
+    o = table(spark, sf_dir, "orders")
+    docs = o.join(lists, o.o_orderkey == lists.l_orderkey, "left").select(
+        F.col("o_custkey").alias("entity_key"), F.col("o_orderkey").alias("doc_id"), F.col("o_totalprice").alias("size"),
+        F.col("o_orderpriority").alias("title"), F.lit(None).cast("string").alias("email"),
+        F.col("o_orderstatus").alias("status"), "experiences", "publications")
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    ix = c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("c_custkey").alias("entity_key"), F.col("n_name").alias("institute"), F.lit(None).cast("string").alias("email"))
+    got = PR.student_records(ix, docs, ["status"], title_ok=_title_ok)
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"])), ",")
+    return got.select("entity_key", "base_doc", "title", "status", "score", shown("experiences").alias("experiences"),
+                      shown("publications").alias("publications"), "institute")

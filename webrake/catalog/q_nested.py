@@ -64,11 +64,9 @@ FROM e JOIN p ON e.o_custkey = p.o_custkey WHERE e.rn = 1 AND p.rn = 1""")
 def q_longest_list(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     order = [-F.col("o_totalprice"), F.col("o_orderkey")]
-    e = N.longest_list(docs, ["o_custkey"], "n_exp", order, ["o_orderkey"], prefix="exp_")
-    p = N.longest_list(docs, ["o_custkey"], "n_pub", order, ["o_orderkey"], prefix="pub_")
-    return e.join(p, "o_custkey").select(
-        "o_custkey", F.col("exp_size").alias("exp_size"), F.col("exp_o_orderkey").alias("exp_doc"),
-        F.col("pub_size").alias("pub_size"), F.col("pub_o_orderkey").alias("pub_doc"))
+    both = N.longest_lists(docs, ["o_custkey"], {"exp_": "n_exp", "pub_": "n_pub"}, order, ["o_orderkey"])
+    return both.select("o_custkey", "exp_size", F.col("exp_o_orderkey").alias("exp_doc"),
+                       "pub_size", F.col("pub_o_orderkey").alias("pub_doc"))
 
 
 @query("largest_doc", """

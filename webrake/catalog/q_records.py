@@ -107,7 +107,8 @@ def q_json_record(spark, sf_dir):
 
 
 @query("json_quarantine", _REC_SQL + """
-SELECT event_id, answer, 'event/' || CAST(event_id AS VARCHAR) AS src, 'invalid json' AS error
+SELECT event_id, answer, 'event/' || CAST(event_id AS VARCHAR) AS src,
+       CASE WHEN block IS NULL THEN 'no fenced block' WHEN block = '' THEN 'empty block' ELSE 'not one strict JSON object' END AS error
 FROM b WHERE NOT coalesce(json_valid(block), false)""")
 def q_json_quarantine(spark, sf_dir):
     _good, bad = _split(spark, sf_dir)

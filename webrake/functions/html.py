@@ -159,9 +159,14 @@ def extract_anchors(html: ColumnOrName, tag: str, cls: str | None = None) -> Col
 def block_pattern_of(tag: str, cls: str | None = None) -> str:
     if cls is None:
         return rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
-    word = re.escape(cls)
-    names = rf"""(?:"(?:[^"]*\s)?{word}(?:\s[^"]*)?"|'(?:[^']*\s)?{word}(?:\s[^']*)?'|{word}(?=[\s>]))"""
-    return rf"(?is)<{tag}(?=\s)[^>]*?\sclass\s*=\s*{names}[^>]*>(.*?)</{tag}\s*>"
+    # several classes (blank-separated): each must stand in the attribute
+    words = [re.escape(c) for c in cls.split()]
+    both = lambda quote: "".join(
+        rf"""(?=(?:[^{quote}]*\s)?{w}(?:\s[^{quote}]*)?{quote})""" for w in words)
+    names = [rf"""\"{both('"')}[^"]*\"""", rf"""'{both("'")}[^']*'"""]
+    if len(words) == 1:
+        names.append(rf"{words[0]}(?=[\s>])")
+    return rf"(?is)<{tag}(?=\s)[^>]*?\sclass\s*=\s*(?:{'|'.join(names)})[^>]*>(.*?)</{tag}\s*>"
 
 
 def field_pattern(tag: str, attr: str | None = None) -> str:

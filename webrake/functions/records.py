@@ -1,25 +1,18 @@
 """Record parsing: fenced blocks, strict JSON / JSON-lines, citations,
 null-entry dropping and list-or-scalar normalisation.
 
-Values are parsed natively (``from_json``, ``parse_json``).  Only the
-*strictness* test runs in Python, as an Arrow-batched ``pandas_udf``:
-Spark's JSON reader accepts trailing text (``{"a":1},``, ``{"a":1} xx``),
-single quotes and an empty string, while a model answer must be rejected
-when any line is not strict JSON.
+Everything is native (``from_json``, ``parse_json``).  Spark's JSON reader
+accepts trailing text (``{"a":1},``, ``{"a":1} xx``), single quotes and an
+empty string, while a model answer must be rejected when any line is not
+strict JSON: :func:`strict_json` tests that.
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BooleanType
 
 from webrake.functions.common import ColumnOrName, as_col, lines, strip_ws
-from webrake.session import ship_package
 
 FENCE_END = "```"
 
@@ -42,35 +35,25 @@ def fenced_first(md: ColumnOrName, start: str, end: str = FENCE_END,
     return strip_ws(b) if strip else b
 
 
-def _strict_ok(x) -> bool:
-    try:
-        json.loads(x)
-        return True
-    except (ValueError, TypeError):
-        return False
-
-
-def _json_valid(s: pd.Series) -> pd.Series:
-    """Whole string is exactly one JSON value (surrounding whitespace ok)."""
-    return s.map(lambda x: None if x is None else _strict_ok(x))
+def strict_json(text: ColumnOrName) -> Column:
+    """Whether the whole text is exactly one JSON value (white space around
+    it is fine); null for null.
 
-
-def _jsonl_valid(s: pd.Series) -> pd.Series:
-    """Every line of the stripped block is strict JSON (a blank line or a
-    trailing comma fails the whole block)."""
-    def ok(x):
-        if x is None:
-            return None
-        return all(_strict_ok(line) for line in x.strip().split("\n"))
-    return s.map(ok)
+    Spark's parser stops after the first value, so the text is parsed inside
+    a list, which must then have one element, and inside an object, which
+    fails for text that closes the list itself.  Stricter than many parsers
+    in two points: a repeated key in one object and ``NaN``/``Infinity`` are
+    not valid."""
+    t = as_col(text)
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), t, F.lit("]"))), "$", "array<variant>")
+    boxed = F.try_parse_json(F.concat(F.lit('{"v":'), t, F.lit("}")))
+    return F.when(t.isNotNull(), F.coalesce(F.size(listed) == 1, F.lit(False)) & boxed.isNotNull())
 
 
-# Marked non-deterministic on purpose: Catalyst then neither pushes a later
-# filter through the projection that calls them nor re-inlines them, so the
-# Python pass runs once per row instead of once for the filter and once for
-# the projection.
-json_strict_valid = pandas_udf(_json_valid, BooleanType()).asNondeterministic()
-jsonl_strict_valid = pandas_udf(_jsonl_valid, BooleanType()).asNondeterministic()
+def strict_jsonl(block: ColumnOrName) -> Column:
+    """Whether every line of the stripped block is strict JSON (a blank line
+    or a trailing comma fails the whole block); null for null."""
+    return F.forall(jsonl_lines(block), strict_json)
 
 
 def jsonl_lines(block: ColumnOrName) -> Column:
@@ -81,20 +64,18 @@ def jsonl_lines(block: ColumnOrName) -> Column:
 def parse_jsonl_block(block: ColumnOrName, schema: str) -> Column:
     """array<struct> of the block's records, null when any line is not
     strict JSON; an empty block gives an empty array (not an error)."""
-    ship_package()
     b = as_col(block)
     recs = F.transform(jsonl_lines(b), lambda x: F.from_json(x, schema))
     empty = F.filter(recs, lambda r: F.lit(False))
     return (F.when(b.isNull(), F.lit(None))
             .when(strip_ws(b) == "", empty)
-            .when(jsonl_strict_valid(b), recs))
+            .when(strict_jsonl(b), recs))
 
 
 def parse_json_record(text: ColumnOrName, schema: str) -> Column:
     """struct parsed from strict JSON text, null when not strict JSON."""
-    ship_package()
     t = as_col(text)
-    return F.when(json_strict_valid(t), F.from_json(t, schema))
+    return F.when(strict_json(t), F.from_json(t, schema))
 
 
 # ---------------------------------------------------------------- citations

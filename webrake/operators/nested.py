@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webrake.functions.common import ColumnOrName, as_col, lines, strip_ws
@@ -79,6 +79,19 @@ def longest_list(docs: DataFrame, keys: Sequence[str], size_col: str,
     return out
 
 
+def longest_lists(docs: DataFrame, keys: Sequence[str], lists: dict[str, str],
+                  doc_order: Sequence[Column], payload: Sequence[str]) -> DataFrame:
+    """:func:`longest_list` of several lists at once (``lists``: prefix ->
+    size column), each chosen independently, in one aggregation."""
+    sizes = {p: F.coalesce(F.col(c), F.lit(0)) for p, c in lists.items()}
+    agg = docs.groupBy(*keys).agg(*[
+        F.min(F.struct((-n).alias("less"), *[o.alias(f"o{i}") for i, o in enumerate(doc_order)],
+                       n.alias("size"), *[F.col(c) for c in payload])).alias(p) for p, n in sizes.items()])
+    return agg.select(*keys, *[c for p in lists for c in (
+        F.col(p)["size"].alias(f"{p}size"),
+        *[F.when(F.col(p)["size"] > 0, F.col(p)[x]).alias(f"{p}{x}") for x in payload])])
+
+
 # ---------------------------------------------------------------- A5
 def rollup_first_k(df: DataFrame, keys: Sequence[str], pos: str, value: str,
                    k: int = 3, sep: str = "\r\n", keep: Column | None = None,
@@ -102,34 +115,28 @@ def first_per_category(df: DataFrame, key: str, pos: str, value: str,
     where a value taken by an earlier word is not seen by later ones (an
     ``if / elif`` chain over the list with a "not yet found" guard).
 
-    One pass per word; each pass is a partial ``min(struct)`` aggregation
-    and a join back on the key, so a hot key is never sorted in one task."""
-    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        """Join on the key, null keys being one group like any other."""
-        right = right.withColumnRenamed(key, "__key")
-        return left.join(right, left[key].eqNullSafe(right["__key"]), how).drop("__key")
-
-    taken = None
-    result = None
-    for i, w in enumerate(words):
-        col = f"first_{i}"
-        base = df.select(key, pos, value)
-        cond = F.col(value).contains(w)
-        if taken is not None:
-            base = joined(base, taken, "left")
-            # a value whose row was the pick of an earlier word is skipped
-            excl = None
-            for j in range(i):
-                t = F.coalesce(F.col(pos) == F.col(f"__p{j}"), F.lit(False))
-                excl = t if excl is None else (excl | t)
-            cond = cond & ~excl
-        pick = base.groupBy(key).agg(
-            F.min(F.when(cond, F.struct(F.col(pos).alias("p"), F.col(value).alias("v")))).alias("__m"))
-        pick = pick.select(key, F.col("__m.p").alias(f"__p{i}"), F.col("__m.v").alias(col))
-        mine = pick.select(key, f"__p{i}")
-        taken = mine if taken is None else joined(taken, mine, "inner")
-        result = pick if result is None else joined(result, pick, "inner")
-    return result.select(key, *[f"first_{i}" for i in range(len(words))])
+    One pass: at most i positions are taken before word i, so its pick is
+    among its first i + 1 positions.  Those are cut by a partial
+    ``WindowGroupLimit`` per (key, word); the picks are then resolved on one
+    short list per key.  Null keys are one group."""
+    hits = F.filter(F.array(*[F.when(F.col(value).contains(w), F.lit(i)) for i, w in enumerate(words)]),
+                    lambda i: i.isNotNull())
+    # a row without any word keeps its key in the result
+    long = df.select(F.col(key).alias("k"), F.col(pos).alias("p"), F.col(value).alias("v"),
+                     F.explode_outer(hits).alias("w"))
+    nth = Window.partitionBy("k", "w").orderBy(F.col("p").asc_nulls_first())
+    cut = long.withColumn("r", F.dense_rank().over(nth)).where(F.col("r") <= len(words)) \
+        .where(F.col("w").isNotNull() & (F.col("r") <= F.col("w") + 1) | (F.col("r") == 1))
+    # rows that share a position: the smallest value stands for it
+    short = cut.groupBy("k", "w", "p").agg(F.min("v").alias("v"))
+    found = short.groupBy("k").agg(F.collect_list(F.struct("w", "p", "v")).alias("found"))
+    for i in range(len(words)):
+        mine = F.filter("found", lambda x: x["w"] == i)
+        for j in range(i):      # positions that earlier words took are not seen
+            mine = F.filter(mine, lambda x: ~F.coalesce(x["p"] == F.col(f"pick_{j}.p"), F.lit(False)))
+        found = found.withColumn(f"pick_{i}", F.array_min(
+            F.transform(mine, lambda x: F.struct(x["p"].alias("p"), x["v"].alias("v")))))
+    return found.select(F.col("k").alias(key), *[F.col(f"pick_{i}.v").alias(f"first_{i}") for i in range(len(words))])
 
 
 # ---------------------------------------------------------------- A7

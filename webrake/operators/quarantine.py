@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrake.functions import records as RC
@@ -50,13 +50,22 @@ def parse_json_answers(df: DataFrame, answer: str, schema: str, fence: str,
     return parsed
 
 
+def error_reason(answer: str, fence: str) -> Column:
+    """Why an answer gives no record: there is no fenced block, the block is
+    empty, or it is not strict JSON (also where it is not an object)."""
+    block = RC.fenced_first(F.col(answer), fence)
+    return F.when(block.isNull(), F.lit("no fenced block")).when(block == "", F.lit("empty block")) \
+        .otherwise(F.lit("not one strict JSON object"))
+
+
 def split_json_records(df: DataFrame, answer: str, schema: str, fence: str,
-                       error: str = "invalid json", observation=None) -> tuple[DataFrame, DataFrame]:
+                       observation=None) -> tuple[DataFrame, DataFrame]:
     """(records, quarantine): the first fenced block of ``answer`` parsed
     strictly as one JSON object into ``rec``; failures keep the answer and
-    an error message.  When both outputs are written, write the parsed
+    the reason (``error``).  When both outputs are written, write the parsed
     table once (or use ``parse_json_answers`` and split on ``status``)."""
     parsed = parse_json_answers(df, answer, schema, fence, observation)
     good = parsed.where(F.col("status") == "ok").drop("status")
-    bad = parsed.where(F.col("status") == "bad").drop("rec", "status").withColumn("error", F.lit(error))
+    bad = parsed.where(F.col("status") == "bad").drop("rec", "status") \
+        .withColumn("error", error_reason(answer, fence))
     return good, bad

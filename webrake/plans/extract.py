@@ -18,9 +18,11 @@ from webrake.functions import records as RC
 from webrake.operators import htmlclean as HC
 from webrake.operators import quarantine as Q
 
-# How page text is framed for the model.
+# How page text is framed for the model, and the line that
+# stands before the page of a student.
 TEXT_OPEN = 'Markdown: """'
 TEXT_CLOSE = '"""'
+STUDENT_PREFACE = "The below is the markdown file related to $name from $institute"
 
 
 def render_template(template: str, **values: Column) -> Column:
@@ -50,17 +52,23 @@ def build_requests(df: DataFrame, key_cols: list[str], system: Column, text: Col
 
 
 def extract_requests(pages: DataFrame, key_cols: list[str], template: str,
-                     native: bool = True, **values: Column) -> DataFrame:
+                     native: bool = True, preface: Column | None = None, **values: Column) -> DataFrame:
     """Clean each page, convert it to text and build its request.  ``native``
     uses the codegen'd regular-expression cleaner; otherwise the parser
-    pass (``mapInPandas``) produces markdown."""
+    pass (``mapInPandas``) produces markdown.  ``preface`` is a line before
+    the page, see :func:`student_preface`."""
     if native:
         text = H.html_text_native("html")
         src = pages
     else:
         src = HC.clean_pages(pages, passthrough=[c for c in pages.columns if c != "html"])
         text = F.col("markdown")
-    return build_requests(src, key_cols, render_template(template, **values), text)
+    return build_requests(src, key_cols, render_template(template, **values), text, preface)
+
+
+def student_preface(name: Column, institute: Column) -> Column:
+    """The line that tells the model whose page it reads."""
+    return render_template(STUDENT_PREFACE, name=name, institute=institute)
 
 
 def parse_answers(answers: DataFrame, key_cols: list[str], schema: str,
@@ -75,6 +83,22 @@ def parse_answers(answers: DataFrame, key_cols: list[str], schema: str,
     return Q.split_json_records(answers, "answer", schema, fence)
 
 
+def student_records(answers: DataFrame, links: DataFrame, schema: str, fence: str = "```json",
+                    key: str = "entity_key", url_col: str = "url") -> tuple[DataFrame, DataFrame]:
+    """(records, errors) of the answers about students (``key, url, answer``).
+
+    A record is the parsed object with the page it came from (``src``) and
+    the entity's two profile links (``linkedin``, ``google_scholar``: the
+    picks of :func:`webrake.plans.fetch.link_pick`, null when there is none).
+    An error row keeps ``src``, the answer and the reason."""
+    named = answers.withColumnRenamed(url_col, "src")
+    good, bad = Q.split_json_records(named, "answer", schema, fence)
+    picked = links.select(F.col(key).alias("__key"), F.col("first_0").alias("linkedin"),
+                          F.col("first_1").alias("google_scholar"))
+    records = good.drop("answer").join(picked, F.col(key) == F.col("__key"), "left").drop("__key")
+    return records, bad
+
+
 def clean_corpus(pages: DataFrame, out_path: str | None = None, keep: dict | None = None) -> DataFrame:
     """Clean and convert every page in one parser pass; optionally write
     the result (never in place) as parquet."""

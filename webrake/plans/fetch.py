@@ -46,6 +46,54 @@ def deny_filter(hits: DataFrame, any_of: Sequence[str] = (),
     return hits.where(T.keep_url("url", any_of, pairs))
 
 
+# The column that names a target, per kind.
+TARGET_NAME = {"group": "advisor", "cv": "name", "student": "name"}
+
+
+def plan_targets(targets: DataFrame, kind: str, order: Sequence[str],
+                 institute: str = "institute") -> DataFrame:
+    """The targets to search, each once, with ``entity_key`` and
+    ``search_text``.
+
+    Group targets are one per name, case ignored; blank names are no target.
+    Targets of one entity key share their stored pages, so the first in
+    ``order`` stands for them."""
+    name = TARGET_NAME[kind]
+    named = targets.where(F.col(name).isNotNull() & (F.col(name) != ""))
+    if kind == "group":
+        named = R.dedupe_first_ci(named, name, order)
+    values = {name: name, "institute": institute}
+    keyed = named.withColumn("entity_key", U.entity_key(name, institute)) \
+        .withColumn("search_text", T.search_query(kind, **values))
+    return R.dedupe_first(keyed, ["entity_key"], order)
+
+
+def target_plan(targets: DataFrame, hits: DataFrame, kind: str, order: Sequence[str],
+                profile_url: str | None = None, institute: str = "institute", **options) -> DataFrame:
+    """:func:`fetch_plan` of targets: hits count for planned targets only,
+    and a target's own ``profile_url`` is fetched after the hits.  Targets
+    that have no stored hits yet are those of :func:`targets_to_search`."""
+    planned = plan_targets(targets, kind, order, institute)
+    seeds = None
+    if profile_url is not None:
+        url = F.col(profile_url)
+        seeds = planned.where(url.isNotNull() & (url != "")).select("entity_key", url.alias("url"))
+    wanted = hits.join(planned.select("entity_key"), "entity_key", "left_semi")
+    return fetch_plan(wanted, kind, seeds=seeds, **options)
+
+
+def targets_to_search(planned: DataFrame, hits: DataFrame) -> DataFrame:
+    """Planned targets without stored hits: ``entity_key, search_text``."""
+    return planned.select("entity_key", "search_text").join(hits.select("entity_key"), "entity_key", "left_anti")
+
+
+def faculty_targets(targets: DataFrame, url_col: str, order: Sequence[str]) -> DataFrame:
+    """Faculty pages to fetch, one per page key (blank urls are no target)."""
+    keyed = targets.where(F.col(url_col).isNotNull() & (F.col(url_col) != "")) \
+        .withColumn("url_key", U.url_key(url_col, no_ext=True))
+    return R.dedupe_first(keyed, ["url_key"], order)
+
+
 def fetch_plan(hits: DataFrame, kind: str = "group", k: int = 3,
                rules: Sequence[tuple[str, int]] | None = None,
                deny_any: Sequence[str] | None = None,

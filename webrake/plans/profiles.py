@@ -29,26 +29,24 @@ def screened_report(profiles: DataFrame, allow: Sequence[str], deny: Sequence[st
     matched keyword, stats, ratio, search link and multi-line cells.
     Profiles whose citation stats do not parse go to quarantine.
 
-    ``materialize`` (True or a folder) writes the screened profiles once
-    under the checkpoint folder and derives both outputs from that table:
-    the text is joined, lowercased and screened once (a filter on a computed
-    column would otherwise be pushed down with the whole text expression
-    inlined, once per screen word), and the write cuts the lineage."""
+    A caller of one output leaves it lazy.  A caller of both passes
+    ``materialize`` (True or a folder): the accepted profiles, with the
+    columns used, are written once under the checkpoint folder and both
+    outputs read that table."""
     full_text = F.lower(F.array_join(F.concat(F.coalesce("articles", F.array()),
                                               F.coalesce("tags", F.array())), "\n"))
-    p = profiles.where(keep_flag)
+    # Each costly intermediate gets its own projection: Spark does not share
+    # subexpressions that contain lambdas, and CollapseProject keeps a costly
+    # column separate when it is referenced twice.
+    p = profiles.where(keep_flag).withColumn("__ft", full_text) \
+        .withColumn("__sc", T.screen(F.col("__ft"), allow, deny)).where(F.col("__sc.accept")) \
+        .select("name", "homepage", "brief", "cited_stats", "articles", "tags", F.col("__sc.rule").alias("__rule"))
     if materialize:
         from webrake.session import scratch_path
         spark = profiles.sparkSession
         path = materialize if isinstance(materialize, str) else scratch_path(spark, "screened")
-        p.withColumn("__sc", T.screen(full_text, allow, deny)).write.mode("overwrite").parquet(path)
+        p.write.mode("overwrite").parquet(path)
         p = spark.read.parquet(path)
-    else:
-        # Each costly intermediate gets its own projection: Spark does not
-        # share subexpressions that contain lambdas, and CollapseProject
-        # keeps a costly column separate when it is referenced twice.
-        p = p.withColumn("__ft", full_text).withColumn("__sc", T.screen(F.col("__ft"), allow, deny))
-    p = p.where(F.col("__sc.accept"))
     p = p.withColumn("__st", T.cited_stats("cited_stats")) \
          .withColumn("email", T.email_domain("brief"))
     bad = p.where(F.col("__st").isNull()).select("name", "cited_stats")
@@ -56,7 +54,7 @@ def screened_report(profiles: DataFrame, allow: Sequence[str], deny: Sequence[st
     report = good.select(
         "name", F.lit(None).cast("string").alias("note"), F.lit(None).cast("double").alias("score"),
         F.coalesce("homepage", F.lit("")).alias("homepage"),
-        F.col("__sc.rule").alias("keyword"),
+        F.col("__rule").alias("keyword"),
         T.join_list(F.coalesce("tags", F.array()), "\n").alias("tags"),
         F.col("__st.all").alias("cited_all"), F.col("__st.recent").alias("cited_5yr"),
         T.safe_ratio("__st.recent", "__st.all").alias("cited_5yr_ratio"),
@@ -68,40 +66,54 @@ def screened_report(profiles: DataFrame, allow: Sequence[str], deny: Sequence[st
 
 # ---------------------------------------------------------------- P6
 # Field spec of a profile page (tag, class, repeated).
-PROFILE_SPEC = {"articles": ("a", "gsc_a_at", True), "tags": ("a", "gsc_prf_inta", True)}
+PROFILE_SPEC = {"articles": ("a", "gsc_a_at", True), "tags": ("a", "gsc_prf_inta gs_ibl", True)}
+
+
+def first_names(co_authors_json: str) -> Column:
+    """A JSON list of co-authors as ``array<struct<name, url>>``, where a name
+    that was stored as a list is its first element (null text or no list: empty)."""
+    items = F.try_variant_get(F.try_parse_json(F.col(co_authors_json)), "$", "array<variant>")
+    return F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda v: F.struct(
+        F.coalesce(F.try_variant_get(v, "$.name[0]", "string"),
+                   F.try_variant_get(v, "$.name", "string")).alias("name"),
+        F.try_variant_get(v, "$.url", "string").alias("url")))
 
 
 def refresh_profiles(profiles: DataFrame, pages: DataFrame, spec=None,
-                     co_author_json: str | None = "co_authors_json") -> DataFrame:
+                     co_authors_json: str | None = "co_authors_json") -> DataFrame:
     """Re-extract list fields from each profile's stored HTML (joined on
-    ``uid``) and normalise co-author names that were stored as lists."""
+    ``uid``) and normalise the co-authors: ``co_authors`` holds one
+    ``{name, url}`` per element of the stored JSON list."""
     spec = spec or PROFILE_SPEC
     fields = H.extract_fields("html", spec)
     ext = pages.select("uid", fields.alias("__f"))
     out = profiles.join(ext, "uid", "left")
     for name in spec:
         out = out.withColumn(name, F.coalesce(F.col(f"__f.{name}"), F.array().cast("array<string>")))
-    if co_author_json and co_author_json in profiles.columns:
-        out = out.withColumn("co_author", RC.scalar_or_first(co_author_json, "$.name"))
+    if co_authors_json and co_authors_json in profiles.columns:
+        out = out.withColumn("co_authors", first_names(co_authors_json))
     return out.drop("__f")
 
 
 # ---------------------------------------------------------------- P10
 def citation_index(results: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Article table from search results ``(url, endnote, profile_urls
-    ARRAY<STRING>)``: new articles only (anti-join on ``url``), EndNote
-    parsed, profile ids taken from the links."""
+    """Article table from search results ``(url, endnote, profiles
+    ARRAY<STRUCT<name, url>>)``: new articles only (anti-join on ``url``),
+    EndNote parsed, profile ids taken from the links, names kept."""
     if done is not None:
         results = J.anti_processed(results, done, ["url"])
     parsed = RC.with_endnote(results, "endnote", "citation")
     return parsed.select(
         "url", "citation",
-        F.transform("profile_urls", lambda u: F.struct(u.alias("url"),
-                                                       U.url_param(u, "user").alias("uid"))).alias("profiles"))
+        F.transform("profiles", lambda p: F.struct(
+            p["name"].alias("name"), p["url"].alias("url"),
+            U.url_param(p["url"], "user").alias("uid"))).alias("profiles"))
 
 
 def distinct_profiles(articles: DataFrame) -> DataFrame:
-    return J.flatten_distinct(articles, F.col("profiles"), "profile").select(
+    """Each linked profile once: ``url`` and ``uid``."""
+    links = F.transform("profiles", lambda p: F.struct(p["url"].alias("url"), p["uid"].alias("uid")))
+    return J.flatten_distinct(articles, links, "profile").select(
         F.col("profile.url").alias("url"), F.col("profile.uid").alias("uid"))
 
 

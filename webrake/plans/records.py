@@ -11,6 +11,8 @@ collected into one task.
 from __future__ import annotations
 
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -143,6 +145,38 @@ def student_scores(index: DataFrame, docs: DataFrame, hit: int = 10, miss: int =
         J.fallback_value("b.email", "ix_email").alias("email"))
 
 
+def student_records(index: DataFrame, docs: DataFrame, base_fields: Sequence[str] = (), hit: int = 10,
+                    miss: int = 1, flag: str = "is_famous", title_ok=None) -> DataFrame:
+    """:func:`student_scores` with its payload: the base document's fields,
+    and the longest ``experiences`` and ``publications`` lists themselves
+    (each the list of one document; a null list is empty).
+
+    index: entity_key, institute, email
+    docs:  entity_key, doc_id, size, title, email, experiences, publications
+           (arrays of structs with a boolean ``flag`` field), base_fields"""
+    title_ok = title_ok or T.is_graduate
+    size, doc = -F.col("size"), F.col("doc_id")
+    lists = ("experiences", "publications")
+    d = docs
+    for c in lists:
+        d = d.withColumn(c, F.coalesce(c, F.array().cast(docs.schema[c].dataType)))
+    base = F.struct(size.alias("o0"), doc.alias("o1"), F.col("title"), F.col("email"),
+                    *[F.col(c) for c in base_fields])
+    per = d.groupBy("entity_key").agg(F.min(base).alias("b"), *[
+        F.min(F.struct((-F.size(c)).alias("o0"), size.alias("o1"), doc.alias("o2"), F.col(c).alias("list"))).alias(c)
+        for c in lists])
+    per = per.where(title_ok(F.col("b.title")))
+    ix = index.select("entity_key", F.col("institute").alias("ix_institute"), F.col("email").alias("ix_email"))
+    exp, pub = F.col("experiences")["list"], F.col("publications")["list"]
+    return per.join(ix, "entity_key").select(
+        "entity_key", F.col("b.o1").alias("base_doc"), F.col("b.title").alias("title"),
+        *[F.col(f"b.{c}").alias(c) for c in base_fields],
+        (N.weighted_count(exp, flag, hit, miss) + N.weighted_count(pub, flag, hit, miss)).alias("score"),
+        exp.alias("experiences"), pub.alias("publications"), N.surrogate_id("entity_key").alias("id"),
+        F.coalesce("ix_institute", F.lit("")).alias("institute"),
+        J.fallback_value("b.email", "ix_email").alias("email"))
+
+
 def list_stats(children: DataFrame, doc_key: str, flag: Column, in_second: Column,
                hit: int = 10, miss: int = 1) -> DataFrame:
     """Per document: sizes and weighted sums of two child lists (all

@@ -65,6 +65,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job wrote below the checkpoint folder, on
+    whatever file system that is; anything else is refused."""
+    base = checkpoint_dir(spark)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full, root = (files.makeQualified(p).toString() for p in (target, hadoop.Path(base)))
+    if ".." in path.split("/") or not full.startswith(root + "/"):
+        raise ValueError(f"{path} does not lie below {base}")
+    files.delete(target, True)
+
+
 _SHIPPED: set[str] = set()
 
 
