@@ -12,12 +12,6 @@ from webrake.sources import readers as RD
 from webrake.sources import sinks as SK
 
 
-def _q_url_re():
-    from webrake.catalog.sqlfrag import q
-    from webrake.functions.urls import URL_RE
-    return q(URL_RE)
-
-
 @query("src_jsonl", "SELECT event_id, user_id, event_type, value, props FROM events")
 def q_src_jsonl(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
@@ -140,7 +134,7 @@ def q_sink_versioned(spark, sf_dir):
 
 
 @query("sink_page_store", f"""
-SELECT page_id, url, html, regexp_extract(url, {_q_url_re()}, 2) AS entity_key FROM pages""")
+SELECT page_id, url, html, split_part(split_part(split_part(url, '#', 1), '?', 1), '/', 3) AS entity_key FROM pages""")
 def q_sink_page_store(spark, sf_dir):
     """Pages written as parquet partitioned by entity (the scalable page
     store) and read back with partition discovery."""

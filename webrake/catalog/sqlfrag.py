@@ -7,8 +7,6 @@ lambdas are ``lambda x: ...``).  They are independent of the Spark code.
 
 from __future__ import annotations
 
-from webrake.functions.urls import URL_RE, SCHEMES_WITH_PARAMS
-
 
 def q(s: str) -> str:
     """SQL string literal."""
@@ -16,14 +14,24 @@ def q(s: str) -> str:
 
 
 def url_part(url: str, idx: int) -> str:
-    return f"regexp_extract({url}, {q(URL_RE)}, {idx})"
+    """Scheme (1), network location (2), path (3) or query (4) by splitting
+    at ``#``, ``?``, ``://`` and ``/``: every given url is absolute."""
+    whole = f"split_part({url}, '#', 1)"
+    base = f"split_part({whole}, '?', 1)"
+    if idx == 1:
+        return f"split_part({base}, '://', 1)"
+    if idx == 2:
+        return f"split_part({base}, '/', 3)"
+    if idx == 3:
+        return f"substr({base}, length(split_part({base}, '/', 1)) + length(split_part({base}, '/', 3)) + 3)"
+    return f"substr({whole}, length({base}) + 2)"
 
 
 def url_path(url: str) -> str:
-    schemes = ", ".join(q(s) for s in SCHEMES_WITH_PARAMS)
+    """Path without the ``;params`` of its last segment (web schemes)."""
     p = url_part(url, 3)
-    return (f"(CASE WHEN lower({url_part(url, 1)}) IN ({schemes}) "
-            f"THEN regexp_replace({p}, ';[^/]*$', '') ELSE {p} END)")
+    last = f"string_split({p}, '/')[-1]"
+    return f"(left({p}, length({p}) - length({last})) || split_part({last}, ';', 1))"
 
 
 def has_ext(name: str) -> str:
