@@ -66,6 +66,30 @@ def test_planted_passages(make_docs):
     assert substring.passages(make_docs([])).count() == 0
 
 
+def test_passages_whose_seeds_are_common_elsewhere(make_docs):
+    rng = random.Random(5)
+    passage = words(rng, 64)
+    rows = [(i, " ".join(words(rng, 30) + passage + words(rng, 30)), "s") for i in (1, 2)]
+    for i in range(10, 130):        # every slice of the passage stands in many other texts, none of them holds 50 words of it
+        at = rng.randrange(0, 64 - 20)
+        rows.append((i, " ".join(words(rng, 30) + passage[at:at + 20] + words(rng, 30)), "s"))
+    got = substring.passages(make_docs(rows)).collect()
+    assert {r.class_id for r in got if {r.a, r.b} & {1, 2}} == {1}
+    assert set().union(*({r.a, r.b} for r in got)) == {1, 2}
+
+
+def test_runs_of_one_word(make_docs):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):             # runs of 50 words and more among shorter ones of the same word, at any place
+        parts = words(rng, rng.randrange(5, 90)) + ["a"] * rng.randrange(5, 40) + words(rng, rng.randrange(1, 40))
+        rows.append((i, " ".join(parts + ["a"] * rng.randrange(50, 130) + words(rng, rng.randrange(0, 30))), "s"))
+    rows += [(100 + i, " ".join(words(rng, 40) + ["a"] * 30 + words(rng, 40)), "s") for i in range(20)]
+    got = substring.passages(make_docs(rows)).collect()
+    assert {r.class_id for r in got} == {0}
+    assert set().union(*({r.a, r.b} for r in got)) == set(range(40))
+
+
 def test_align_counts_equal_words():
     a = word_hashes(b"p q r a b c d e X f g h i j k l m s t").astype(np.uint32)
     b = word_hashes(b"v w a b c d e f g h i j Y k l m z z").astype(np.uint32)
