@@ -67,7 +67,7 @@ _INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**0..P**n and their inverses modulo 2**64 (grown on demand)."""
     if not _POWERS or len(_POWERS[0]) < n + 1:
         size = max(n + 1, 1 << 16)
@@ -114,7 +114,7 @@ def _piece_hashes(a: np.ndarray) -> np.ndarray:
     word = ~_IS_SPACE[a]
     edge = np.diff(np.concatenate(([False], word, [False])).astype(np.int8))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    p, inv = _powers(len(a))
+    p, inv = powers(len(a))
     with np.errstate(over="ignore"):
         c = np.concatenate(([np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * p[:len(a)], dtype=np.uint64)))
         return mix((c[end] - c[start]) * inv[start] + (end - start).astype(np.uint64))
