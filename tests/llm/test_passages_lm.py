@@ -90,6 +90,38 @@ def test_runs_of_one_word(make_docs):
     assert set().union(*({r.a, r.b} for r in got)) == set(range(40))
 
 
+def test_good_parts_of_a_rejected_chain(make_docs):
+    rng = random.Random(7)
+    first, second, third = words(rng, 55), words(rng, 55), words(rng, 80)
+    rows, want = [], {}
+    for k, apart in enumerate((30, 40, 50, 60)):    # two exact passages, that many different words between them
+        p, q = words(rng, 55), words(rng, 55)
+        for i in (10 * k, 10 * k + 1):
+            rows.append((i, " ".join(words(rng, 20) + p + words(rng, apart) + q + words(rng, 20)), "s"))
+        want[10 * k, 10 * k + 1] = {(20, 75), (75 + apart, 130 + apart)}
+    # a passage on another diagonal, below a longer sparse chain
+    line = [words(rng, 8) for _ in range(20)]
+    sparse = lambda: [w for x in line for w in x + words(rng, 8)]
+    one, two = sparse(), sparse()
+    rows += [(100, " ".join(one[:112] + third + one[112:]), "s"), (101, " ".join(third + two), "s")]
+    got = substring.passages(make_docs(rows)).collect()
+    for (i, j), spans in want.items():
+        mine = [r for r in got if {r.a, r.b} == {i, j}]
+        assert len(mine) == 2
+        for (lo, hi), r in zip(sorted(spans), sorted(mine, key=lambda r: r.a_start)):
+            assert abs(r.a_start - lo) <= 1 and abs(r.a_end - hi) <= 1 and r.identity >= 0.98
+    assert any({r.a, r.b} == {100, 101} and r.n_words >= 78 for r in got)
+    # parts that are good together stay one passage
+    a = np.arange(400, dtype=np.uint32)
+    b = a.copy()
+    b[:100] += 10_000
+    b[100:400:60] += 10_000
+    chain = [(5, 5)] + [(x, x) for x in range(102, 394, 6) if (b[x:x + 5] == a[x:x + 5]).all()]
+    b[5:10] = a[5:10]
+    (part,) = substring.good_parts(a, b, chain, 50, 0.9)
+    assert part[0] >= 95 and part[1] == 400
+
+
 def test_align_counts_equal_words():
     a = word_hashes(b"p q r a b c d e X f g h i j k l m s t").astype(np.uint32)
     b = word_hashes(b"v w a b c d e f g h i j Y k l m z z").astype(np.uint32)
