@@ -90,6 +90,34 @@ def test_runs_of_one_word(make_docs):
     assert set().union(*({r.a, r.b} for r in got)) == set(range(40))
 
 
+def test_edited_passages_are_found(make_docs):
+    """60 words in two texts, one in ten replaced: identity 0.9."""
+    rng = random.Random(8)
+    rows, n = [], 60
+    for i in range(n):
+        p = words(rng, 60)
+        q = list(p)
+        for j in rng.sample(range(60), 6):
+            q[j] = "edited"
+        rows += [(2 * i, " ".join(words(rng, 60) + p + words(rng, 60)), "s"),
+                 (2 * i + 1, " ".join(words(rng, 40) + q + words(rng, 60)), "s")]
+    got = {frozenset((r.a, r.b)) for r in substring.passages(make_docs(rows)).collect()}
+    assert got <= {frozenset((2 * i, 2 * i + 1)) for i in range(n)}
+    assert len(got) >= n - 1
+
+
+def test_edited_passages_whose_seeds_are_common_elsewhere(make_docs):
+    rng = random.Random(9)
+    passage = words(rng, 64)
+    edited = [w if j % 16 != 15 else "edited" for j, w in enumerate(passage)]     # never 22 equal words beside a seed
+    rows = [(i, " ".join(words(rng, 30) + p + words(rng, 30)), "s") for i, p in ((1, passage), (2, edited))]
+    for i in range(10, 250):        # every seed stands in many other texts, alone
+        at = rng.randrange(0, 64 - 5)
+        rows.append((i, " ".join(words(rng, 30) + passage[at:at + 5] + words(rng, 30)), "s"))
+    got = substring.passages(make_docs(rows)).collect()
+    assert [{r.a, r.b} for r in got] == [{1, 2}]
+
+
 def test_good_parts_of_a_rejected_chain(make_docs):
     rng = random.Random(7)
     first, second, third = words(rng, 55), words(rng, 55), words(rng, 80)
