@@ -203,3 +203,35 @@ def test_scores(spark, make_docs):
         flat, at, _ = lm.windows([vocab.encode(r.text.encode())])
         assert abs(lm.step(weights, flat, at, False).sum() - by[r.doc_id].logprob) < 1e-2
     assert lm.pseudo_likelihood(make_docs([])).count() == 0
+
+
+def test_rare_words_have_probabilities_of_their_own(make_docs):
+    rng = random.Random(10)
+    common = [f"c{i}" for i in range(lm.WORDS)]
+    rows = [(i, " ".join(rng.choices(common, k=300) + ["twice"] * (i == 0)), "s") for i in range(60)]
+    rows += [(100 + i, " ".join(common), "s") for i in range(3)]
+    rows += [(200, " ".join(f"Gibberish{i}" for i in range(500)), "s"), (201, "c1 twice c2", "s"), (201, "c1 twice c2", "s"),
+             (202, None, "s"), (203, "", "s")]
+    docs = make_docs(rows, clash=("_key", "rare", "h"))
+    got = lm.pseudo_likelihood(docs).collect()
+    assert len(got) == len(rows)
+    counts = lm.word_counts(docs)
+    vocab = lm.vocabulary(counts)
+    kept, seen = set(vocab.keys.tolist()), {}
+    for _, t, _ in rows:
+        for h in word_hashes((t or "").encode().lower()).tolist():
+            if h not in kept:
+                seen[h] = seen.get(h, 0) + 1
+    assert sum(seen.values()) == 503
+    bucket = lambda h: sum(n + 1 for x, n in seen.items() if x >> 56 == h >> 56) + 1
+    want = {i: sum(np.log(seen[h] / bucket(h)) for h in word_hashes((t or "").encode().lower()).tolist() if h in seen)
+            for i, t, _ in rows}
+    rare = {r.key: r.rare for r in lm.rare_words(docs, vocab, counts).collect()}
+    keys = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(text) k").collect()}
+    for i in want:
+        assert abs(rare.get(keys[i], 0.0) - want[i]) < 1e-6
+    by = {r.doc_id: r for r in got}
+    # every one of 500 different words is rarer than its bucket
+    assert want[200] < -500 and by[200].mean_logprob < want[200] / 500 and by[200].n_tokens == 500
+    assert (by[202].logprob, by[202].mean_logprob, by[203].logprob) == (0.0, None, 0.0)
+    assert [c for c in docs.columns if c != "text"] + ["n_tokens", "logprob", "mean_logprob"] == lm.pseudo_likelihood(docs).columns

@@ -10,11 +10,15 @@ Word counts cover all documents.  Training is data-parallel over all tokens:
 each task starts from the same weights, does one pass of AdaGrad steps over
 its own documents, and the weights are averaged by tokens in a shuffle; a
 first round over a sixteenth of the documents (by hash) gives the common
-start.  What reaches the driver is the vocabulary and one set of weights,
-both of fixed size.  The weights depend on how the input is split into tasks.
+start.  What reaches the driver is the vocabulary, one set of weights and the buckets'
+totals, all of fixed size.  The weights depend on how the input is split into tasks.
 
 A document's score is the sum of the conditional log-probabilities of its
-tokens.
+words.  The network gives a bucket's probability; a rare word's is that times
+its share of the bucket by the corpus-wide counts of all words, a distributed
+table that grows with the corpus and is joined by word.  Counts are smoothed
+(Witten-Bell): a word that the table does not have counts as one of as many
+unseen words as there are different ones in its bucket, and one more.
 
 Defined results: null and blank texts have no tokens, a sum of zero and a
 null mean; repeated rows are scored alike (and count as often in training);
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrake.llm.common import python_ready, text_bytes, word_hashes
+from webrake.llm.common import free_name, python_ready, reliable, text_bytes, word_hashes
 
 CLASSES, MEMBERS, SIDE, DIM = 32, 64, 2, 16
 VOCAB = CLASSES * MEMBERS
@@ -182,8 +186,8 @@ def _feeds(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, limit: int = 1
         yield held
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    """The ``WORDS`` most frequent words of all documents, counted in Spark."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``h, n``: every different word of all documents and how often it occurs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, sums = np.empty(0, np.uint64), np.empty(0, np.int64)
         parts, size = [], 0
@@ -209,10 +213,13 @@ def vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
         keys, sums = merge()
         yield out()
 
-    rows = python_ready(docs).select(F.col(text_col).cast("string").alias("t")) \
-        .mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")) \
-        .orderBy(F.desc("n"), "h").limit(WORDS).collect()
-    return Vocabulary([r.h for r in rows])
+    return python_ready(docs).select(F.col(text_col).cast("string").alias("t")) \
+        .mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The ``WORDS`` most frequent words of ``counts``."""
+    return Vocabulary([r.h for r in counts.orderBy(F.desc("n"), "h").limit(WORDS).collect()])
 
 
 def _round(texts: DataFrame, vocab, weights: dict[str, np.ndarray], rate: float) -> dict[str, np.ndarray]:
@@ -239,8 +246,9 @@ def _round(texts: DataFrame, vocab, weights: dict[str, np.ndarray], rate: float)
     return unpack(a[:, 1:] / a[:, :1])
 
 
-def train(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    vocab = vocabulary(docs, text_col)
+def train(docs: DataFrame, text_col: str = "text", rate: float = 0.05,
+          counts: DataFrame | None = None) -> tuple[Vocabulary, dict[str, np.ndarray]]:
+    vocab = vocabulary(word_counts(docs, text_col) if counts is None else counts)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)            # fixed size
     texts = python_ready(docs).select(F.col(text_col).cast("string").alias("t"))
     weights = _round(texts.where(F.pmod(F.xxhash64("t"), F.lit(16)) == 0), shared, start_weights(), 2 * rate)
@@ -277,7 +285,43 @@ def score(docs: DataFrame, vocab: Vocabulary, weights: dict[str, np.ndarray], te
     return docs.mapInArrow(run, f"{schema}, n_tokens bigint, logprob double, mean_logprob double")
 
 
+def rare_words(docs: DataFrame, vocab: Vocabulary, counts: DataFrame, text_col: str = "text") -> DataFrame:
+    """``key`` (hash of a text), ``rare``: sum of the log-probabilities, given
+    their buckets, of the text's words beyond the vocabulary."""
+    frequent = docs.sparkSession.createDataFrame([(h,) for h in vocab.keys.view(np.int64).tolist()], "h bigint")
+    bucket = F.shiftrightunsigned("h", 56).cast("int")
+    known = counts.join(F.broadcast(frequent), "h", "left_anti").withColumn("bucket", bucket)     # fixed size
+    totals = {r.bucket: r.total for r in known.groupBy("bucket").agg((F.sum("n") + F.count("*") + 1).alias("total")).collect()}
+    total = F.get(F.array(*[F.lit(float(totals.get(i, 1))) for i in range(256)]), bucket)
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [], [], []
+            for key, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                h = word_hashes((t or b"").lower())
+                h, n = np.unique(h[shared.value.encode(t) >= WORDS], return_counts=True)
+                for part, x in zip(found, (np.full(len(h), key, np.int64), h.view(np.int64), n.astype(np.int64))):
+                    part.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in found], ["key", "h", "n"])
+
+    texts = python_ready(docs).select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("t")) \
+        .where(F.col("t").isNotNull())
+    pairs = texts.mapInArrow(run, "key bigint, h bigint, n bigint")
+    logp = F.log(F.coalesce("seen", F.lit(1)) / total)
+    sums = pairs.join(known.select("h", F.col("n").alias("seen")), "h", "left") \
+        .groupBy("key").agg(F.sum(F.col("n") * logp).alias("s"))
+    copies = texts.groupBy("key").agg(F.count("*").alias("c"))
+    return sums.join(copies, "key").select("key", (F.col("s") / F.col("c")).alias("rare"))
+
+
 def pseudo_likelihood(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Train on all documents and score every one of them."""
-    vocab, weights = train(docs, text_col)
-    return score(docs, vocab, weights, text_col)
+    """Train on all documents and score every word of every one of them."""
+    counts = reliable(word_counts(docs, text_col))
+    vocab, weights = train(docs, text_col, counts=counts)
+    key, rare = free_name(docs, "_key"), free_name(docs, "_rare")
+    rares = rare_words(docs, vocab, counts, text_col).select(F.col("key").alias(key), F.col("rare").alias(rare))
+    scored = score(docs.withColumn(key, F.xxhash64(text_col)), vocab, weights, text_col).join(rares, key, "left")
+    total = F.col("logprob") + F.coalesce(rare, F.lit(0.0))
+    return scored.withColumn("logprob", total) \
+        .withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("logprob") / F.col("n_tokens"))).drop(key, rare)
