@@ -40,8 +40,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut boilerplate lines; ``n_chars`` follows the text."""
-    cut = line_dedup.drop_boilerplate(docs.select(*COLUMNS))
+    """Cut boilerplate lines, near copies being one page: which of them stays
+    is the next stage's to say.  ``n_chars`` follows the text."""
+    cut = line_dedup.drop_boilerplate(docs.select(*COLUMNS), near_copies=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

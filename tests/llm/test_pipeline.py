@@ -46,6 +46,21 @@ def test_near_dedup_keeps_one_of_a_repeated_id(spark, make_docs):
     assert sorted(r.doc_id for r in out.collect()) == [4, 9]
 
 
+def test_near_copies_keep_their_lines(spark, make_docs):
+    """200 near copies in one source of 500 pages; the menu goes, their text stays."""
+    prose = lambda page: [f"page {page} line {k} with words of its own {page * 31 + k}" for k in range(12)]
+    rows = []
+    for i in range(200):
+        lines = prose(-1)
+        lines[i % 12] = f"changed {i}"
+        rows.append((i, "\n".join(["Menu", *lines]), "s"))
+    rows += [(1000 + i, "\n".join(["Menu", *prose(i)]), "s") for i in range(300)]
+    got = {r.doc_id: r for r in pipeline.line_dedup_stage(spark, make_docs(rows), SF).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        assert got[i].text == text.removeprefix("Menu\n") and got[i].n_chars == len(got[i].text)
+
+
 def test_run(spark):
     assert [n for n, _ in pipeline.STAGES] == ["quality", "line_dedup", "near_dedup", "decontaminate", "mix"]
     rows = pipeline.run(spark, SF).collect()

@@ -5,6 +5,12 @@ lines beyond a ratio are boilerplate and dropped.  Exact copies of a page are
 one page (else a page copied often would make all of its own lines look like
 boilerplate), and hosts with few pages are left alone.
 
+With ``near_copies`` a group of near copies is one page, too.  Pages that
+would lose most of their text (by characters) are linked through the three
+longest lines that they would lose, so copies that differ in a line or two are
+one group whatever its size; lines are then counted by groups and by the other
+pages.  So stubs that differ in less than half of their text are one page.
+
 Lines are compared by a 64-bit hash of the trimmed line, so what is shuffled
 is ``(host, line hash, page hash)``, de-duplicated map-side first.  The
 drop list of a host is bounded: at most ``mean lines per page / ratio`` lines.
@@ -24,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrake.llm.common import free_name, reliable
+from webrake.llm.components import components
 
 #: Drop lists of at most so many lines in all (8 bytes each) are broadcast.
 BROADCAST_LINES = 1_000_000
@@ -39,26 +46,47 @@ def _host_key(host: str) -> Column:
 
 
 def boilerplate_lines(docs: DataFrame, ratio: float = 0.05, min_pages: int = 20,
-                      text_col: str = "text", host_col: str = "source") -> DataFrame:
+                      text_col: str = "text", host_col: str = "source", near_copies: bool = False) -> DataFrame:
     """``(host_key, line_key, n_pages, host_pages)`` of the lines whose share
-    of their host's pages exceeds ``ratio``, for hosts of ``min_pages`` or more."""
+    of their host's pages exceeds ``ratio``, for hosts of ``min_pages`` or more;
+    with ``near_copies`` a group of near copies is one page."""
     page = docs.select(_host_key(host_col).alias("host_key"),
                        F.xxhash64(text_col).alias("page"), F.col(text_col).alias("_t"))
     totals = page.groupBy("host_key", "page").count().groupBy("host_key").agg(F.count("*").alias("host_pages"))
     lines = page.where(F.col("_t").isNotNull()) \
         .select("host_key", "page", F.explode(F.split("_t", "\n")).alias("line")) \
         .where(F.trim("line", F.lit(_BLANK)) != "") \
-        .select("host_key", "page", _line_key(F.col("line")).alias("line_key")).distinct()
+        .select("host_key", "page", _line_key(F.col("line")).alias("line_key"),
+                *[F.length(F.trim("line", F.lit(_BLANK))).alias("size")] * near_copies).distinct()
     counts = lines.groupBy("host_key", "line_key").agg(F.count("*").alias("n_pages"))
-    return counts.join(totals, "host_key") \
-        .where((F.col("host_pages") >= min_pages) & (F.col("n_pages") > ratio * F.col("host_pages")))
+    often = (F.col("host_pages") >= min_pages) & (F.col("n_pages") > ratio * F.col("host_pages"))
+    found = counts.join(totals, "host_key").where(often)
+    if not near_copies:
+        return found
+    listed = reliable(found.select("host_key", "line_key", F.lit(True).alias("listed")))
+    longest = F.slice(F.sort_array(F.collect_list(F.when(F.col("listed"), F.struct("size", "line_key"))), asc=False), 1, 3)
+    emptied = reliable(lines.join(listed, ["host_key", "line_key"], "left").groupBy("host_key", "page")
+                       .agg(F.sum("size").alias("all"), F.sum(F.when(F.col("listed"), F.col("size"))).alias("lost"),
+                            longest.alias("longest")).where("2 * lost > all").select("host_key", "page", "longest"))
+    node = F.xxhash64("host_key", "page")
+    groups = components(emptied.select("host_key", node.alias("a"), F.explode("longest.line_key").alias("line_key"))
+                        .select("a", F.xxhash64("host_key", "line_key", F.lit("line")).alias("b")))
+    emptied = reliable(emptied.select("host_key", "page", node.alias("node")).join(groups, "node")
+                       .select("host_key", "page", "root"))
+    fewer = emptied.groupBy("host_key").agg((F.count("*") - F.countDistinct("root")).alias("fewer"))
+    totals = totals.join(fewer, "host_key", "left") \
+        .select("host_key", (F.col("host_pages") - F.coalesce("fewer", F.lit(0))).alias("host_pages"))
+    counts = lines.join(listed, ["host_key", "line_key"]).join(emptied, ["host_key", "page"], "left") \
+        .select("host_key", "line_key", F.coalesce("root", node).alias("unit")).distinct() \
+        .groupBy("host_key", "line_key").agg(F.count("*").alias("n_pages"))
+    return counts.join(totals, "host_key").where(often)
 
 
 def drop_boilerplate(docs: DataFrame, ratio: float = 0.05, min_pages: int = 20,
-                     text_col: str = "text", host_col: str = "source") -> DataFrame:
+                     text_col: str = "text", host_col: str = "source", near_copies: bool = False) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text_col`` and, added,
     ``n_lines`` and ``n_dropped``."""
-    lines = reliable(boilerplate_lines(docs, ratio, min_pages, text_col, host_col).select("host_key", "line_key"))
+    lines = reliable(boilerplate_lines(docs, ratio, min_pages, text_col, host_col, near_copies).select("host_key", "line_key"))
     n = lines.count()
     drops = lines.groupBy("host_key").agg(F.collect_list("line_key").alias("drops"))
     key, listed_as, kept_as = (free_name(docs, x) for x in ("_host_key", "_drops", "_kept"))
