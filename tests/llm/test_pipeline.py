@@ -70,4 +70,4 @@ def test_run(spark):
 
 def test_registered():
     names = set(E.queries())
-    assert {"pipeline", *(f"op{n}" for n in range(1, 11))} <= {n.split("_")[0] if n.startswith("op") else n for n in names}
+    assert {"pipeline", *(f"op{n}" for n in range(1, 14))} <= {n.split("_")[0] if n.startswith("op") else n for n in names}

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webrake.llm import (decontaminate, html_extract, line_dedup, lm, mixing, quality, simhash, substring,
-                         urltree, warc)
+from webrake.llm import (bpe, centroids, decontaminate, html_extract, infill, line_dedup, lm, mixing, quality,
+                         simhash, substring, urltree, warc)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,9 +83,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to tokens and decoded again."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = bpe.encode(_t(spark, sf_dir, "documents").select("doc_id", "text"), path, keep_text=False)
+    return bpe.decode(tokens, path).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                                           F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds from eight centroids."""
+    return centroids.cluster(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding")).drop("embedding")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fill-in-middle form and the text restored from it."""
+    made = infill.fill_in_middle(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = infill.restore(F.col("form"), F.col("output"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_html_extraction, op3_simhash, op4_substring_dedup,
                                    op5_lm_scoring, op6_url_filters, op7_line_dedup,
-                                   op8_warc, op9_quality, op10_mixing)}
+                                   op8_warc, op9_quality, op10_mixing, op11_bpe, op12_centroids,
+                                   op13_fill_in_middle)}
 
 _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), " \
          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -135,6 +158,55 @@ FROM p LEFT JOIN o ON p.payload_digest = o.payload_digest""",
 }
 
 
+
+
+def _cluster_sql(rounds: int = 10) -> str:
+    """Lloyd rounds as one statement: assignment ``a<r>`` to centroids ``c<r>``."""
+    parts = ["""
+WITH whole AS (SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id,
+                      list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+               WHERE len(embedding) = 64
+                 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = 64),
+x AS MATERIALIZED (SELECT row, unnest(range(64)) AS d, unnest(v) AS x FROM whole),
+start AS (SELECT row, row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c FROM whole
+          QUALIFY row_number() OVER (ORDER BY sha256('3:' || vec_id)) <= 8),
+c0 AS MATERIALIZED (SELECT c, d, x AS y FROM start JOIN x USING (row))"""]
+    for r in range(rounds + 1):
+        parts.append(f"""
+f{r} AS (SELECT row, c, sum((x - y) * (x - y)) AS far FROM x JOIN c{r} USING (d) GROUP BY row, c),
+a{r} AS MATERIALIZED (SELECT row, c, far FROM f{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY far, c) = 1)""")
+        if r < rounds:
+            parts.append(f"""
+m{r} AS (SELECT c, d, sum(x) AS s, count(*) AS n FROM a{r} JOIN x USING (row) GROUP BY c, d),
+c{r + 1} AS MATERIALIZED (SELECT k.c, k.d, CAST(CASE WHEN n IS NULL THEN y ELSE (s - ((s % n) + n) % n) // n END AS BIGINT) AS y
+                          FROM c{r} k LEFT JOIN m{r} m ON k.c = m.c AND k.d = m.d)""")
+    return ",".join(parts) + f""",
+names AS (SELECT c, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(far AS BIGINT) AS distance,
+       CAST(sum(far) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(far) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN whole USING (row) JOIN names USING (c)"""
+
+
+SQL["op12_centroids"] = _cluster_sql()
+SQL["op13_fill_in_middle"] = """
+WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS unit,
+                  sha256('1:' || doc_id) AS h FROM documents),
+r AS (SELECT *, CAST(len(unit) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+             CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM u),
+k AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+                  THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+p AS (SELECT *, array_to_string(unit[:a], '') AS pre, array_to_string(unit[a + 1:b], '') AS mid,
+             array_to_string(unit[b + 1:], '') AS suf FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p"""
+
+
 def register() -> dict:
     """All queries of the subpackage, by name."""
     return dict(QUERIES)
