@@ -305,7 +305,7 @@ def p_report_quarantine(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- P6
-_AD_SPEC = {"ads": ("div", "ad", True)}
+_AD_SPEC = {"ads": "div.ad"}
 _AD_RE = r'(?is)<div\s[^>]*class="(?:[^"]*\s)?ad(?:\s[^"]*)?"[^>]*>(.*?)</div\s*>'
 
 

@@ -14,11 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webrake.functions import html as H
 from webrake.functions import records as RC
 from webrake.functions import text as T
 from webrake.functions import urls as U
+from webrake.operators import dom
 from webrake.operators import joins as J
+from webrake.operators.dom import Field
 
 
 # ---------------------------------------------------------------- P5
@@ -65,8 +66,29 @@ def screened_report(profiles: DataFrame, allow: Sequence[str], deny: Sequence[st
 
 
 # ---------------------------------------------------------------- P6
-# Field spec of a profile page (tag, class, repeated).
-PROFILE_SPEC = {"articles": ("a", "gsc_a_at", True), "tags": ("a", "gsc_prf_inta gs_ibl", True)}
+# The selectors of a profile page's fields.
+PROFILE_FIELDS = {
+    "name": Field("div#gsc_prf_in"),
+    "brief": Field("div#gsc_prf_w"),
+    "cited_stats": Field("table#gsc_rsb_st"),
+    "homepage": Field("a.gsc_prf_ila", "href"),
+    "articles": Field("a.gsc_a_at", many=True),
+    "tags": Field("a.gsc_prf_inta.gs_ibl", many=True),
+    "co_author_names": Field("ul.gsc_rsb_a li a", many=True),
+    "co_author_urls": Field("ul.gsc_rsb_a li a", "href", many=True),
+}
+REFRESHED = ("articles", "tags")
+
+
+def parse_profiles(pages: DataFrame, keys: Sequence[str] = ("uid",), html: str = "html",
+                   dealt: bool = False) -> DataFrame:
+    """Profile records from stored profile pages: every field of
+    ``PROFILE_FIELDS`` and ``co_authors`` as ``array<struct<name, url>>``
+    (scalar fields default to '', lists to empty)."""
+    found = dom.extract_fields(pages, list(keys), PROFILE_FIELDS, html, dealt).drop(html)
+    pairs = F.arrays_zip(F.col("co_author_names").alias("name"), F.col("co_author_urls").alias("url"))
+    return found.withColumn("co_authors", F.transform(pairs, lambda p: F.struct(
+        p["name"].alias("name"), p["url"].alias("url")))).drop("co_author_names", "co_author_urls")
 
 
 def first_names(co_authors_json: str) -> Column:
@@ -79,20 +101,20 @@ def first_names(co_authors_json: str) -> Column:
         F.try_variant_get(v, "$.url", "string").alias("url")))
 
 
-def refresh_profiles(profiles: DataFrame, pages: DataFrame, spec=None,
-                     co_authors_json: str | None = "co_authors_json") -> DataFrame:
+def refresh_profiles(profiles: DataFrame, pages: DataFrame, spec: dict[str, Field | str] | None = None,
+                     co_authors_json: str | None = "co_authors_json", dealt: bool = False) -> DataFrame:
     """Re-extract list fields from each profile's stored HTML (joined on
-    ``uid``) and normalise the co-authors: ``co_authors`` holds one
-    ``{name, url}`` per element of the stored JSON list."""
-    spec = spec or PROFILE_SPEC
-    fields = H.extract_fields("html", spec)
-    ext = pages.select("uid", fields.alias("__f"))
-    out = profiles.join(ext, "uid", "left")
-    for name in spec:
-        out = out.withColumn(name, F.coalesce(F.col(f"__f.{name}"), F.array().cast("array<string>")))
+    ``uid``, the pages' key; ``spec``: selectors) and normalise the co-authors:
+    ``co_authors`` holds one ``{name, url}`` per element of the stored JSON list."""
+    spec = spec or {name: PROFILE_FIELDS[name] for name in REFRESHED}
+    found = dom.extract_fields(pages.select("uid", "html"), ["uid"], spec, dealt=dealt).drop("html")
+    out = profiles.drop(*spec).join(found, "uid", "left")
+    for name, f in spec.items():
+        if isinstance(f, str) or f.many:
+            out = out.withColumn(name, F.coalesce(F.col(name), F.array().cast("array<string>")))
     if co_authors_json and co_authors_json in profiles.columns:
         out = out.withColumn("co_authors", first_names(co_authors_json))
-    return out.drop("__f")
+    return out
 
 
 # ---------------------------------------------------------------- P10
