@@ -7,7 +7,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webrake.catalog import query, table
+from webrake.functions import urls as U
 from webrake.session import scratch_path
+from webrake.sources import pagestore as PS
 from webrake.sources import readers as RD
 from webrake.sources import sinks as SK
 
@@ -136,11 +138,33 @@ def q_sink_versioned(spark, sf_dir):
 @query("sink_page_store", f"""
 SELECT page_id, url, html, split_part(split_part(split_part(url, '#', 1), '?', 1), '/', 3) AS entity_key FROM pages""")
 def q_sink_page_store(spark, sf_dir):
-    """Pages written as parquet partitioned by entity (the scalable page
-    store) and read back with partition discovery."""
-    from webrake.functions.urls import url_netloc
-    p = table(spark, sf_dir, "pages").withColumn("entity_key", url_netloc("url"))
+    """Pages written to a page store bucketed by (entity, page), in two
+    writes, and read back."""
+    p = table(spark, sf_dir, "pages").withColumn("entity_key", U.url_netloc("url"))
     path = scratch_path(spark, "page-store")
-    SK.write_page_store(p, path)
-    back = spark.read.parquet(path)
-    return back.select("page_id", "url", "html", F.col("entity_key").cast("string").alias("entity_key"))
+    PS.write_store(p.where("page_id % 2 = 0"), path, ["entity_key", "page_id"])
+    PS.write_store(p.where("page_id % 2 <> 0 or page_id is null"), path, append=True)
+    return PS.open_store(spark, path).select("page_id", "url", "html", "entity_key")
+
+
+@query("src_json_quarantine", """
+SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 0 THEN 'empty' WHEN s_suppkey % 11 = 0 THEN 'shape'
+                       WHEN s_suppkey % 7 = 0 THEN 'syntax' WHEN s_suppkey % 5 = 0 THEN 'type' END AS reason,
+       CASE WHEN s_suppkey % 13 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 THEN s_name END AS s_name,
+       CASE WHEN s_suppkey % 13 <> 0 AND s_suppkey % 11 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 THEN s_acctbal END AS s_acctbal
+FROM supplier""")
+def q_src_json_quarantine(spark, sf_dir):
+    """JSON documents of which some are empty, cut short, no object or of
+    another type: records and quarantine together are all files."""
+    k = F.col("s_suppkey")
+    doc = F.to_json(F.struct("s_name", "s_acctbal"))
+    text = F.when(k % 13 == 0, F.lit("  ")).when(k % 11 == 0, F.concat(F.lit("["), doc, F.lit("]"))) \
+        .when(k % 7 == 0, F.substring(doc, F.lit(1), F.length(doc) - 3)) \
+        .when(k % 5 == 0, F.lit('{"s_name": "x", "s_acctbal": "none"}')).otherwise(doc)
+    path = scratch_path(spark, "docs-bad")
+    table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("value")).write.partitionBy("s_suppkey").text(path)
+    good, bad, counts = RD.split_json_docs(spark, path, "s_name STRING, s_acctbal DOUBLE")
+    assert counts["good"] + counts["bad"] == counts["files"]
+    key = F.regexp_extract("file_path", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey")
+    return good.select(key, F.lit(None).cast("string").alias("reason"), "s_name", "s_acctbal") \
+        .unionByName(bad.select(key, "reason"), allowMissingColumns=True)

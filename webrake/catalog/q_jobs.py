@@ -15,6 +15,7 @@ from webrake.plans import fetch
 from webrake.plans import profiles as PF
 from webrake.plans import records as PR
 from webrake.session import scratch_path
+from webrake.sources import pagestore as PS
 
 # Stand-in parameters (pages play search hits): score keywords, deny-lists.
 HIT_RULES = [("of the", 10), ("que", 7), ("der", 5), ("los", -5)]
@@ -48,6 +49,26 @@ def p_fetch_plan(spark, sf_dir):
                             deny_any=DENY_ANY, deny_pairs=DENY_PAIRS)
 
 
+_STORED = "contains(h.url, '/en/')"
+
+
+@query("p_fetch_resume", f"""
+WITH plan AS ({_fetch_plan_sql()}), h AS (SELECT url FROM pages)
+SELECT plan.* FROM plan WHERE NOT EXISTS (
+  SELECT 1 FROM h WHERE {_STORED} AND {S.url_part('h.url', 2)} = plan.entity_key AND {S.url_key('h.url')} = plan.url_key)""")
+def p_fetch_resume(spark, sf_dir):
+    """The fetch plan less the pages that a page store holds (here: the
+    English ones); the store's side is read in its buckets, without exchange."""
+    pages = table(spark, sf_dir, "pages")
+    stored = pages.where(F.col("url").contains("/en/")) \
+        .select(U.url_netloc("url").alias("entity_key"), U.url_key("url").alias("url_key"), "html")
+    path = scratch_path(spark, "store")
+    PS.write_store(stored, path)
+    plan = fetch.fetch_plan(fetch.hits_from_pages(pages), kind="group", k=3, rules=HIT_RULES,
+                            deny_any=DENY_ANY, deny_pairs=DENY_PAIRS)
+    return PS.not_stored(plan, PS.open_store(spark, path))
+
+
 # ---------------------------------------------------------------- shared stand-ins
 
 A_RE = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a\s*>'
@@ -491,6 +512,21 @@ def ingest_new(spark, sf_dir):
     return read_target(spark, target).select("user_id", "event_id", "event_type", "value")
 
 
+@query("ingest_bounded", "SELECT DISTINCT user_id FROM events WHERE ts IS NOT NULL")
+def ingest_bounded(spark, sf_dir):
+    """Two arrivals of events through the bounded-state stream; the delay
+    covers all of them, so a user comes once."""
+    from webrake.streaming.ingest import ingest_bounded as run
+    e = table(spark, sf_dir, "events").select("event_id", "ts", "user_id")
+    landing, target, ckpt = (scratch_path(spark, n) for n in ("landing", "target", "ingest-ckpt"))
+    cut = F.col("ts") < F.lit(SPLIT_TS).cast("timestamp_ntz")
+    for name, part in (("a", e.where(cut)), ("b", e.where(~cut | F.col("ts").isNull()))):
+        part.write.parquet(f"{landing}/{name}")
+        run(spark, f"{landing}/*", "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT", target, ckpt, ["user_id"], "ts",
+            delay="3650 days")
+    return spark.read.parquet(target).select("user_id")
+
+
 # ---------------------------------------------------------------- T30 on documents
 DOC_TEMPLATE = "Extract the records in this $LANG document from $SOURCE as JSON lines."
 

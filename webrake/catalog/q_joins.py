@@ -11,6 +11,8 @@ from webrake.functions import html as H
 from webrake.functions import urls as U
 from webrake.functions.common import tokens
 from webrake.operators import joins as J
+from webrake.session import scratch_path
+from webrake.sources import keystore as KS
 from webrake.operators import rank as R
 
 
@@ -117,3 +119,16 @@ def q_missing_report(spark, sf_dir):
     from webrake.plans.fetch import hits_from_pages
     h = hits_from_pages(table(spark, sf_dir, "pages"))
     return J.missing_report(h, ["entity_key"], "snippet")
+
+
+@query("anti_stored", """
+SELECT o_orderkey, o_custkey FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_linenumber > 2)""")
+def q_anti_stored(spark, sf_dir):
+    """R5 against a keyed table: only the hash buckets that the orders touch
+    are read, and of those the key columns."""
+    stored = table(spark, sf_dir, "lineitem").where("l_linenumber > 2") \
+        .select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber"))
+    path = scratch_path(spark, "processed")
+    KS.write_keyed(stored, path, ["o_orderkey"])
+    return KS.anti_stored(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), path, ["o_orderkey"])

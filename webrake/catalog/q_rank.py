@@ -168,3 +168,14 @@ def q_slice_offset(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     return R.slice_rows(o, [F.col("o_orderpriority").asc_nulls_last(), F.col("o_orderkey")],
                         offset=100, limit=0)
+
+
+@query("slice_far", """
+SELECT o_orderkey, o_orderpriority FROM orders
+ORDER BY o_orderpriority NULLS LAST, o_orderkey LIMIT 11000 OFFSET 1500""")
+def q_slice_far(spark, sf_dir):
+    """W7 with an end beyond a small top-k: rows are taken by their positions
+    in a range-partitioned sort."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return R.slice_rows(o, [F.col("o_orderpriority").asc_nulls_last(), F.col("o_orderkey")],
+                        offset=1500, limit=12500)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from webrake.session import delete_path, scratch_path
+from webrake.sources.keystore import anti_stored
 
 
 def build_edges(links: DataFrame, src: str, dst: str, symmetric: bool = False) -> DataFrame:
@@ -50,13 +51,14 @@ def _written(df: DataFrame, path: str) -> tuple[DataFrame, int]:
 
 
 def bfs_levels(seeds: DataFrame, edges: DataFrame, depth: int = 1,
-               node_col: str = "node", stored: DataFrame | None = None,
+               node_col: str = "node", stored: DataFrame | str | None = None,
                stored_edges: bool = False) -> DataFrame:
     """Every node within ``depth`` hops of a seed, once, with its shortest
     distance ``lvl`` (seeds are level 0).
 
     ``stored`` (a ``node`` table) lists nodes processed in an earlier run:
-    they are not emitted again but are still expanded (resume).
+    they are not emitted again but are still expanded (resume).  A path names
+    a keyed table of them, of which only the buckets that were reached are read.
 
     Building the result runs one job per level (and one for the edges unless
     ``stored_edges``): each level is a table under the session's checkpoint
@@ -84,7 +86,10 @@ def bfs_levels(seeds: DataFrame, edges: DataFrame, depth: int = 1,
         frontier = nxt.select("node")
     if own:
         delete_path(spark, f"{base}-edges")
-    if stored is not None:
+    if isinstance(stored, str):
+        visited = anti_stored(visited.withColumnRenamed("node", node_col), stored, [node_col]) \
+            .withColumnRenamed(node_col, "node")
+    elif stored is not None:
         visited = visited.join(stored.select(F.col(node_col).alias("node")), "node", "left_anti")
     return visited.withColumnRenamed("node", node_col)
 

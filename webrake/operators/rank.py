@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webrake.functions.common import ColumnOrName, as_col
+from webrake.session import checkpoint_dir
 
 _KEY = "__k"
 _BEST = "__best"
@@ -86,22 +87,48 @@ def sort_nulls_last(df: DataFrame, col: ColumnOrName, ord_col: ColumnOrName) ->
     return df.orderBy(as_col(col).asc_nulls_last(), as_col(ord_col).asc())
 
 
+#: Ends up to this many rows are taken by a bounded top-k.
+SMALL_SLICE = 10_000
+
+
+def with_positions(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """``df`` in ``order`` with each row's position (from 0).
+
+    A range-partitioned sort numbers the rows of every partition; the counts
+    per partition (one row each) are summed up, and a row's position is its
+    partition's start plus its own number.  No task holds more than a range.
+    The sorted rows are checkpointed, since a second sort could cut the ranges
+    or break ties otherwise."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    rows = df.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    part, own = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    counts = sorted(rows.groupBy(part.alias("p")).count().collect())       # one row per partition
+    starts, so_far = [], 0
+    for p, n in counts:
+        starts.append((p, so_far))
+        so_far += n
+    table = spark.createDataFrame(starts, "__p long, __start long")
+    placed = rows.join(F.broadcast(table), part == F.col("__p"))
+    return placed.select(*df.columns, (F.col("__start") + own).alias(name))
+
+
 def slice_rows(df: DataFrame, order: Sequence[Column], offset: int = 0,
                limit: int = 0) -> DataFrame:
     """Rows with ``offset <= i < limit`` in ``order``; ``limit`` is an
     absolute end and 0 means no end.
 
-    With a limit this is a bounded top-k (``TakeOrderedAndProject``, at
-    most ``limit`` rows reach one task).  Without one, Spark would run
-    ``OFFSET`` in a single partition, so the first ``offset`` rows are taken
-    with a bounded top-k and subtracted as a multiset (``exceptAll``: a row
-    that occurs n times and is m times in the head stays n - m times); the
-    rest stays distributed and is range-sorted."""
-    if limit > 0:
+    A small end is a bounded top-k (at most ``SMALL_SLICE`` rows reach one
+    task).  Otherwise rows get their positions in a range-partitioned sort
+    (:func:`with_positions`): neither the rows skipped nor those taken meet
+    in one task, and ties are cut where the sort put them."""
+    if 0 < limit <= SMALL_SLICE:
         return df.orderBy(*order).limit(limit).offset(offset)
-    if offset <= 0:
+    if offset <= 0 and limit <= 0:
         return df.orderBy(*order)
-    return df.exceptAll(df.orderBy(*order).limit(offset)).orderBy(*order)
+    placed = with_positions(df, order, "__position")
+    keep = F.col("__position") >= offset
+    return placed.where(keep & (F.col("__position") < limit) if limit > 0 else keep).drop("__position")
 
 
 def page_cap(df: DataFrame, page_no: ColumnOrName, page_limit: int = 3) -> DataFrame:

@@ -24,6 +24,7 @@ from webrake.functions import html as H
 from webrake.functions import text as T
 from webrake.functions import urls as U
 from webrake.operators import rank as R
+from webrake.sources.keystore import anti_stored
 
 HIT_COLUMNS = ["entity_key", "pos", "url", "title", "snippet"]
 
@@ -98,13 +99,14 @@ def fetch_plan(hits: DataFrame, kind: str = "group", k: int = 3,
                rules: Sequence[tuple[str, int]] | None = None,
                deny_any: Sequence[str] | None = None,
                deny_pairs: Sequence[tuple[str, ...]] | None = None,
-               done: DataFrame | None = None,
+               done: DataFrame | str | None = None,
                seeds: DataFrame | None = None,
                include_query: bool = False) -> DataFrame:
     """Ordered fetch list: ``entity_key, rank, pos, url, score, url_key``.
 
     ``done`` (entity_key, url_key) lists pages already stored: they are not
-    planned again (resume).  ``seeds`` (entity_key, url) are appended after
+    planned again (resume); a path names a keyed table of them, of which only
+    the buckets that the plan touches are read.  ``seeds`` (entity_key, url) are appended after
     the top-k (may duplicate a hit, as the crawl does), ranked k+1.
     """
     if kind == "faculty":
@@ -137,9 +139,11 @@ def fetch_plan(hits: DataFrame, kind: str = "group", k: int = 3,
     return _resume(deduped, done)
 
 
-def _resume(plan: DataFrame, done: DataFrame | None) -> DataFrame:
+def _resume(plan: DataFrame, done: DataFrame | str | None) -> DataFrame:
     if done is None:
         return plan
+    if isinstance(done, str):
+        return anti_stored(plan, done, ["entity_key", "url_key"])
     return plan.join(done.select("entity_key", "url_key"), ["entity_key", "url_key"], "left_anti")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 CORRUPT = "_corrupt_record"
@@ -57,6 +57,57 @@ def read_json_docs(spark: SparkSession, path: str | Sequence[str], schema: str,
     return df
 
 
+#: Why a document is in quarantine.
+DOC_REASONS = ("empty", "encoding", "syntax", "shape", "type")
+
+
+def split_json_docs(spark: SparkSession, path: str | Sequence[str], schema: str,
+                    to: str | None = None) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """One JSON document per file, the broken ones set aside with a reason.
+
+    Returns ``good`` (the fields of ``schema``), ``bad`` (``reason`` and the
+    ``content``), both with file path, name and size, and counts of ``files``,
+    ``good`` and ``bad``.  A document is bad when it is blank, not UTF-8, no
+    JSON, no object, or holds a field that is not of its type; a missing field
+    is null.  Files without a byte are skipped, as by all of Spark's readers.  The bytes are read and parsed once: the rows go to ``to`` (default:
+    below the checkpoint folder) and are counted while they are written."""
+    from webrake.session import scratch_path
+    raw = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path))
+    rows = raw.select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"),
+                      F.col("length").alias("file_size"), F.col("content").cast("string").alias("content"))
+    rows = rows.withColumn("__v", F.try_parse_json("content"))
+    is_object = F.startswith(F.schema_of_variant("__v"), F.lit("OBJECT"))
+    rows = rows.withColumn("__doc", F.try_variant_get("__v", "$", f"struct<{_nested(schema)}>"))
+    fine = [F.try_variant_get("__v", f"$.{n}", "variant").isNull() | F.is_variant_null(F.try_variant_get("__v", f"$.{n}", "variant"))
+            | F.try_variant_get("__v", f"$.{n}", t).isNotNull() for n, t in _fields(schema)]
+    typed = fine[0]
+    for one in fine[1:]:
+        typed = typed & one
+    reason = F.when(F.trim("content", F.lit(" \t\r\n")) == "", "empty").when(~F.is_valid_utf8("content"), "encoding") \
+        .when(F.col("__v").isNull(), "syntax").when(~F.coalesce(is_object, F.lit(False)), "shape").when(~typed, "type")
+    rows = rows.withColumn("reason", reason)
+    seen = Observation()
+    to = to or scratch_path(spark, "documents")
+    kept = rows.select("file_path", "file_name", "file_size", "reason",
+                       F.when(F.col("reason").isNotNull(), F.make_valid_utf8("content")).alias("content"),
+                       F.when(F.col("reason").isNull(), F.col("__doc")).alias("__doc"))
+    kept.observe(seen, F.count(F.lit(1)).alias("files"), F.count("reason").alias("bad")).write.parquet(to)
+    back = spark.read.schema(kept.schema).parquet(to)
+    counts = {"files": seen.get["files"], "bad": seen.get["bad"], "good": seen.get["files"] - seen.get["bad"]}
+    files = ["file_path", "file_name", "file_size"]
+    return (back.where(F.col("reason").isNull()).select("__doc.*", *files),
+            back.where(F.col("reason").isNotNull()).select(*files, "reason", "content"), counts)
+
+
+def _fields(schema: str) -> list[tuple[str, str]]:
+    from pyspark.sql.types import StructType
+    return [(f.name, f.dataType.simpleString()) for f in StructType.fromDDL(schema).fields]
+
+
+def _nested(schema: str) -> str:
+    return ", ".join(f"`{n}`: {t}" for n, t in _fields(schema))
+
+
 def expand_globs(spark: SparkSession, patterns: Sequence[str],
                  raise_invalid: bool = False) -> list[str]:
     """Expand ``*`` patterns with the cluster file system's glob (driver-side
