@@ -1,8 +1,10 @@
 """Decontamination, line dedup, mixing and quality against brute force."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,14 +60,44 @@ def test_contamination_of_empty_tables(spark, make_docs):
     assert (row.n_words, row.hits, row["items"]) == (2, [], [])
 
 
-def slow_lines(rows, ratio, least):
+def slow_lines(rows, ratio):
+    """The rule of ``line_dedup`` in plain Python, with groups by union-find."""
     strip = lambda x: x.strip(" \t\n\x0b\x0c\r")
-    pages = {}
+
+    def often(n, total):
+        p, z = n / total, 1.96
+        low = (p + z * z / (2 * total) - z * math.sqrt(p * (1 - p) / total + z * z / (4 * total * total))) / (1 + z * z / total)
+        return n >= 2 and low > ratio
+
+    hosts = {}
     for _, t, s in rows:
-        pages.setdefault(s, set()).add(t)
-    bad = {s: {x for x in {strip(y) for t in ts if t is not None for y in t.split("\n")} if x
-               and sum(t is not None and x in map(strip, t.split("\n")) for t in ts) > ratio * len(ts)}
-           if len(ts) >= least else set() for s, ts in pages.items()}
+        hosts.setdefault(s, {})[t] = {strip(x) for x in (t or "").split("\n")} - {""}
+    bad = {}
+    for s, pages in hosts.items():
+        held = Counter(x for ls in pages.values() for x in ls)
+        listed = {x for x, n in held.items() if often(n, len(pages))}
+        emptied = {t: sorted(ls & listed, key=len, reverse=True) for t, ls in pages.items()
+                   if 2 * sum(map(len, ls & listed)) > sum(map(len, ls))}
+        root = {t: t for t in emptied}
+
+        def find(t, root=root):
+            while root[t] != t:
+                t = root[t]
+            return t
+        by_line = {}
+        for t, ls in emptied.items():
+            for x in ls:
+                if len(x) >= len(ls[min(2, len(ls) - 1)]):
+                    root[find(t)] = find(by_line.setdefault(x, t))
+        unit = {t: (t,) for t in pages}
+        for r in {find(t) for t in emptied}:
+            group = [t for t in emptied if find(t) == r]
+            k = Counter(x for t in group for x in emptied[t])
+            m, fixed = len(group), sum(len(x) * n for x, n in k.items() if n == len(group))
+            if not (m >= 5 and 2 * m * m >= sum(k.values()) and fixed >= 0.8 * sum(len(x) * n for x, n in k.items())):
+                unit.update((t, r) for t in group)
+        total = len(set(unit.values()))
+        bad[s] = {x for x in listed if often(len({unit[t] for t, ls in pages.items() if x in ls}), total)}
     return [(i, None if t is None else "\n".join(x for x in t.split("\n") if strip(x) not in bad[s])) for i, t, s in rows]
 
 
@@ -78,14 +110,53 @@ def test_line_dedup_brute_force(make_docs):
             lines.insert(0, rng.choice(["MENU", " MENU\t", "", "  "]))
         rows.append((i, "\n".join(lines), rng.choice(["big", "big", "big", "small", None]) if i > 15 else "tiny"))
     rows += [(500 + i, "copied page\nwhole", "big") for i in range(90)] + [(700, None, "big"), (701, "", "big")]
-    out = line_dedup.drop_boilerplate(make_docs(rows, clash=("n_lines", "_host_key", "line_key")), 0.2, 10)
+    rows += [(702, "MENU\n" + "a very long text " * 40000, "big")]
+    out = line_dedup.drop_boilerplate(make_docs(rows, clash=("n_lines", "_host_key", "line_key")), 0.2)
     got = sorted((r.doc_id, r.text) for r in out.collect())
-    assert got == sorted(slow_lines(rows, 0.2, 10))
+    assert got == sorted(slow_lines(rows, 0.2))
     dropped = {r.doc_id: r.n_dropped for r in out.collect()}
-    assert dropped[700] == 0 and sum(dropped.values()) > 50 and dropped[500] == 0
+    assert dropped[700] == 0 and sum(dropped.values()) > 50 and dropped[500] == 0 and dropped[702] == 1
     assert line_dedup.drop_boilerplate(make_docs([])).count() == 0
 
 
+def test_line_dedup_hosts_of_all_sizes(make_docs):
+    """Hosts of 1 to 40 pages of menus, near copies and own lines in any mixture."""
+    rng, rows = random.Random(16), []
+    for host in range(60):
+        menu = [f"menu {host} entry {k}" for k in range(rng.choice([0, 1, 3, 8]))]
+        base = [f"host {host} prose line {k} " + "w" * rng.randrange(9) for k in range(rng.choice([2, 5, 9]))]
+        for page in range(rng.choice([1, 2, 3, 5, 9, 14, 19, 20, 40])):
+            kind = rng.random()
+            own = [f"own {host} {page} {k} " + "v" * rng.randrange(30) for k in range(rng.randrange(5))]
+            near = [x if rng.random() > 0.15 else f"{x} edited {page}" for x in base] if kind < 0.4 else []
+            rows.append((len(rows), "\n".join((menu if kind < 0.9 else []) + near + own), f"h{host}"))
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(make_docs(rows)).collect()}
+    want = dict(slow_lines(rows, 0.05))
+    assert got == want
+    assert sum(want[i] != t for i, t, _ in rows) > 100 and sum(want[i] == t for i, t, _ in rows) > 100
+
+
+@pytest.mark.parametrize("lines", [10, 50])
+def test_menu_longer_than_the_article_goes(make_docs, lines):
+    menu = [f"entry {k} of the menu" for k in range(lines)]
+    rows = [(i, "\n".join([*menu, f"own line of page {i}"]), "s") for i in range(100)]
+    got = line_dedup.drop_boilerplate(make_docs(rows)).collect()
+    assert all(r.text == f"own line of page {r.doc_id}" and r.n_dropped == lines for r in got)
+
+
+@pytest.mark.parametrize("copies,others", [(200, 0), (200, 300), (2, 0), (4, 0), (7, 12)])
+def test_near_copies_keep_their_lines(make_docs, copies, others):
+    """Near copies, each edited in a place of its own, alone on their host or not."""
+    rows = []
+    for i in range(copies):
+        lines = [f"line {k} of the copied prose, with words {k * k}" for k in range(12)]
+        lines[(5 * i) % 12] = f"changed {i}"
+        rows.append((i, "\n".join(lines), "s"))
+    rows += [(1000 + i, "\n".join(f"page {i} line {k}" for k in range(9)), "s") for i in range(others)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(make_docs(rows)).collect()}
+    assert got == {i: t for i, t, _ in rows}
+
+
 def slow_targets(sizes, weights=(3, 1, 2), share=1.5, most=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     w = {s: weights[i % len(weights)] for i, s in enumerate(names)}

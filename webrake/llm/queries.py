@@ -114,6 +114,16 @@ _WORDS = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcde
          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _often(n: str, total: str, ratio: float = 0.05) -> str:
+    """Two pages or more, and the Wilson interval above the ratio."""
+    z, n, total = line_dedup.Z, f"CAST({n} AS DOUBLE)", f"CAST({total} AS DOUBLE)"
+    share, zz = f"({n} / {total})", z * z
+    low = f"({share} + {zz} / (2 * {total}) - {z} * sqrt({share} * (1 - {share}) / {total} + {zz} / (4 * {total} * {total})))"
+    return f"{n} >= 2 AND {low} / (1 + {zz} / {total}) > {ratio}"
+
+
 #: What SQL can express; the others are compared with brute force in tests/llm.
 SQL: dict[str, str] = {
     "op1_decontamination": f"""
@@ -133,11 +143,33 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIG
        coalesce(n.n, 0) > 0 AS contaminated
 FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN its ON d.doc_id = its.doc_id""",
     "op7_line_dedup": f"""
-WITH pages AS (SELECT DISTINCT source, text FROM documents),
+WITH RECURSIVE pages AS (SELECT row_number() OVER () AS page, * FROM (SELECT DISTINCT source, text FROM documents)),
 total AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
-line AS (SELECT DISTINCT source, text, trim(unnest(string_split(text, chr(10))), {_BLANK}) AS line FROM pages WHERE text IS NOT NULL),
-bad AS (SELECT l.source, line FROM line l JOIN total t ON l.source IS NOT DISTINCT FROM t.source WHERE line <> ''
-        GROUP BY l.source, line, pages HAVING pages >= 20 AND count(*) > 0.05 * pages),
+line AS (SELECT DISTINCT source, page, trim(unnest(string_split(text, chr(10))), {_BLANK}) AS line FROM pages WHERE text IS NOT NULL),
+held AS (SELECT source, page, line, length(line) AS size FROM line WHERE line <> ''),
+listed AS (SELECT h.source, line FROM held h JOIN total t ON h.source IS NOT DISTINCT FROM t.source
+           GROUP BY h.source, line, pages HAVING {_often('count(*)', 'pages')}),
+common AS (SELECT h.* FROM held h SEMI JOIN listed l ON h.source IS NOT DISTINCT FROM l.source AND h.line = l.line),
+emptied AS (SELECT a.page FROM (SELECT page, sum(size) AS n FROM held GROUP BY page) a
+            JOIN (SELECT page, sum(size) AS n FROM common GROUP BY page) c USING (page) WHERE 2 * c.n > a.n),
+lost AS (SELECT * FROM common SEMI JOIN emptied USING (page)),
+link AS (SELECT source, page, line FROM lost QUALIFY size >= coalesce(
+           nth_value(size, 3) OVER (PARTITION BY page ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING),
+           min(size) OVER (PARTITION BY page))),
+hub AS MATERIALIZED (SELECT page, min(page) OVER (PARTITION BY source, line) AS hub FROM link),
+edge AS MATERIALIZED (SELECT page AS a, hub AS b FROM hub UNION SELECT hub, page FROM hub),
+reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+grp AS MATERIALIZED (SELECT a AS page, min(b) AS root FROM reach GROUP BY a),
+m AS (SELECT root, count(*) AS m FROM grp GROUP BY root),
+shape AS (SELECT root, m, sum(k) AS common, sum(size * k) AS chars, sum(CASE WHEN k = m THEN size * k ELSE 0 END) AS fixed
+          FROM (SELECT root, line, any_value(size) AS size, count(*) AS k FROM lost JOIN grp USING (page) GROUP BY root, line)
+          JOIN m USING (root) GROUP BY root, m),
+near AS (SELECT page, root FROM grp SEMI JOIN (SELECT root FROM shape WHERE NOT (m >= {line_dedup.TEMPLATE_PAGES}
+         AND 2 * m * m >= common AND fixed >= {line_dedup.TEMPLATE_SHARE} * chars)) s USING (root)),
+unit AS (SELECT source, page, coalesce(root, page) AS unit FROM pages LEFT JOIN near USING (page)),
+units AS (SELECT source, count(DISTINCT unit) AS pages FROM unit GROUP BY source),
+bad AS (SELECT c.source, line FROM common c JOIN unit u USING (page) JOIN units t ON c.source IS NOT DISTINCT FROM t.source
+        GROUP BY c.source, line, pages HAVING {_often('count(DISTINCT unit)', 'pages')}),
 one AS (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line,
                unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL),
 kept AS (SELECT one.doc_id, count(*) AS n, string_agg(one.line, chr(10) ORDER BY i) AS text FROM one LEFT JOIN bad
