@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from webrake.catalog import query, table
 from webrake.functions import urls as U
 from webrake.session import scratch_path
+from webrake.sources import commits as CM
 from webrake.sources import pagestore as PS
 from webrake.sources import readers as RD
 from webrake.sources import sinks as SK
@@ -168,3 +169,18 @@ def q_src_json_quarantine(spark, sf_dir):
     key = F.regexp_extract("file_path", r"s_suppkey=(\d+)", 1).cast("long").alias("s_suppkey")
     return good.select(key, F.lit(None).cast("string").alias("reason"), "s_name", "s_acctbal") \
         .unionByName(bad.select(key, "reason"), allowMissingColumns=True)
+
+
+@query("sink_committed", "SELECT event_id, user_id FROM events")
+def q_sink_committed(spark, sf_dir):
+    """S6 through a commit log: two appends, one of them repeated after a
+    failure, a part that was never committed, and a compaction."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id")
+    path = scratch_path(spark, "committed")
+    even, odd = e.where("event_id % 2 = 0"), e.where("event_id % 2 <> 0 or event_id is null")
+    CM.commit(even, path, "a")
+    CM.commit(even, path, "a")
+    odd.write.parquet(f"{path}/part=lost")
+    CM.commit(odd, path, "b")
+    CM.compact(spark, path, "ab")
+    return CM.read_committed(spark, path)

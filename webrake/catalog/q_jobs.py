@@ -12,6 +12,7 @@ from webrake.functions import urls as U
 from webrake.functions.common import lines, tokens
 from webrake.plans import extract as X
 from webrake.plans import fetch
+from webrake.plans import fileset as FS
 from webrake.plans import profiles as PF
 from webrake.plans import records as PR
 from webrake.session import scratch_path
@@ -527,6 +528,24 @@ def ingest_bounded(spark, sf_dir):
     return spark.read.parquet(target).select("user_id")
 
 
+# ---------------------------------------------------------------- P9 over files
+@query("p_clean_files", f"""
+SELECT page_id, page_id || '.html' AS file_name, {S.drop_attrs(S.drop_blocks('html'))} AS html FROM pages""")
+def p_clean_files(spark, sf_dir):
+    """Pages as stored files, cleaned in two runs (the second finds the files
+    that came since) and a third that has nothing to do."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    src, dst = scratch_path(spark, "html-files"), scratch_path(spark, "cleaned")
+    runs = []
+    for k in range(2):
+        pages.where(F.col("page_id") % 2 == k).write.partitionBy("page_id").option("lineSep", "\n").text(f"{src}/{k}")
+        runs.append(FS.clean_files(spark, src, dst, glob="*.txt"))
+    assert FS.clean_files(spark, src, dst, glob="*.txt") == 0 and min(runs) >= 0
+    page = F.regexp_extract("file_path", r"page_id=(\d+)", 1)
+    return FS.cleaned_files(spark, dst).select(page.cast("long").alias("page_id"), F.concat(page, F.lit(".html")).alias("file_name"),
+                                               F.regexp_replace("content", r"\n\z", "").alias("html"))
+
+
 # ---------------------------------------------------------------- T30 on documents
 DOC_TEMPLATE = "Extract the records in this $LANG document from $SOURCE as JSON lines."
 
