@@ -11,6 +11,7 @@ from webrake.functions import html as H
 from webrake.functions import text as T
 from webrake.functions.common import tokens
 from webrake.operators import lexicon as L
+from webrake.operators import patterns as PT
 
 LEX_ANY = ["red", "gear"]
 LEX_LAST = ["ring", "bolt"]
@@ -225,3 +226,21 @@ def q_lexicon_table_join(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lex = table(spark, sf_dir, "part").select(F.explode(tokens("p_name")).alias("word"))
     return L.any_token_in_table(d, "doc_id", "text", lex, out_col="hit").select("doc_id", "hit")
+
+
+@query("screen_table", """
+WITH words AS (SELECT unnest(string_split(text, ' ')) AS word, false AS accept, item_id AS pos FROM benchmark
+               UNION ALL SELECT unnest(string_split(p_name, ' ')), true, p_partkey FROM part),
+rule AS (SELECT word, accept, min(pos) AS pos FROM words WHERE word IS NOT NULL AND length(word) > 4 GROUP BY word, accept),
+hit AS (SELECT doc_id, word, accept, row_number() OVER (PARTITION BY doc_id ORDER BY accept DESC, pos, word) AS rn
+        FROM documents JOIN rule ON contains(text, word))
+SELECT d.doc_id, coalesce(h.accept, true) AS accept, h.word AS rule
+FROM documents d LEFT JOIN (SELECT * FROM hit WHERE rn = 1) h ON d.doc_id = h.doc_id""")
+def q_screen_table(spark, sf_dir):
+    """T15 with lists from tables: all longer words of the part names accept,
+    those of the benchmark reject, in the order of their ids."""
+    split = lambda t, c, p, ok: table(spark, sf_dir, t).select(
+        F.explode(F.split(c, " ")).alias("word"), F.lit(ok).alias("accept"), F.col(p).cast("long").alias("pos"))
+    rules = split("benchmark", "text", "item_id", False).unionByName(split("part", "p_name", "p_partkey", True))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return PT.screen_table(docs, "doc_id", "text", rules.where(F.length("word") > 4))

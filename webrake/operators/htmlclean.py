@@ -53,6 +53,7 @@ class _Cleaner(HTMLParser):
         self.drop_at: int | None = None      # depth of the open dropped element
         self.href: list[str | None] = []
         self.list_depth = 0
+        self.cells = 0                        # cells of the open table row
 
     # -- markdown helpers
     def _md_break(self, n=2):
@@ -92,9 +93,13 @@ class _Cleaner(HTMLParser):
         elif tag == "a":
             self.href.append(dict(attrs).get("href"))
             self.md.append("[")
+        elif tag in ("td", "th"):
+            self.md.append(" | " if self.cells else "")
+            self.cells += 1
         elif tag == "br":
             self._md_break(1)
         elif tag in BLOCK:
+            self.cells = 0 if tag == "tr" else self.cells
             self._md_break()
 
     def handle_startendtag(self, tag, attrs):

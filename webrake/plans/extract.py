@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from webrake.functions import html as H
 from webrake.functions import records as RC
 from webrake.operators import htmlclean as HC
+from webrake.operators import joins as J
 from webrake.operators import quarantine as Q
+from webrake.sources.keystore import anti_stored
 
 # How page text is framed for the model, and the line that
 # stands before the page of a student.
@@ -52,11 +54,18 @@ def build_requests(df: DataFrame, key_cols: list[str], system: Column, text: Col
 
 
 def extract_requests(pages: DataFrame, key_cols: list[str], template: str,
-                     native: bool = True, preface: Column | None = None, **values: Column) -> DataFrame:
-    """Clean each page, convert it to text and build its request.  ``native``
+                     native: bool = True, preface: Column | None = None, answered: DataFrame | str | None = None,
+                     **values: Column) -> DataFrame:
+    """Clean each page, convert it to text and build its request.  Pages whose
+    answer is stored already (``answered``: their keys, or the path of a keyed
+    table) are left out before any text is touched.  ``native``
     uses the codegen'd regular-expression cleaner; otherwise the parser
     pass (``mapInPandas``) produces markdown.  ``preface`` is a line before
     the page, see :func:`student_preface`."""
+    if isinstance(answered, str):
+        pages = anti_stored(pages, answered, key_cols)
+    elif answered is not None:
+        pages = J.anti_processed(pages, answered, key_cols, null_safe=True)
     if native:
         text = H.html_text_native("html")
         src = pages

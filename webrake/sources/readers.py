@@ -133,10 +133,12 @@ def expand_globs(spark: SparkSession, patterns: Sequence[str],
     return list(out)
 
 
-def read_targets(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
-    """Target table with a header row (CSV) or a parquet table."""
+def read_targets(spark: SparkSession, path: str, schema: str, fmt: str = "csv", multiline: bool = True) -> DataFrame:
+    """Target table with a header row (CSV) or a parquet table.  A CSV
+    file whose cells may hold line breaks is read by one task; say
+    ``multiline=False`` where none does, and the file is split."""
     if fmt == "csv":
-        return spark.read.options(**csv_options()).schema(schema).csv(path)
+        return spark.read.options(**csv_options(multiline)).schema(schema).csv(path)
     return spark.read.schema(schema).format(fmt).load(path)
 
 
@@ -158,8 +160,8 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def csv_options() -> dict[str, str | bool]:
-    """CSV in which a cell may hold quotes, line breaks and edge blanks:
-    used by the target reader and by ``sinks.write_tables``."""
-    return {"header": True, "quote": '"', "escape": '"', "lineSep": "\n", "multiLine": True,
+def csv_options(multiline: bool = True) -> dict[str, str | bool]:
+    """CSV in which a cell may hold quotes and edge blanks, and with
+    ``multiline`` line breaks (such a file is one task)."""
+    return {"header": True, "quote": '"', "escape": '"', "lineSep": "\n", "multiLine": multiline,
             "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
