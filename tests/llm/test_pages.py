@@ -1,6 +1,7 @@
 """HTML extraction, URL filters and WARC archives."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -136,6 +137,80 @@ def test_template_purity_rejects_bad_branches(spark):
     assert t == {("u", "*", "p"), ("about",)}
 
 
+def slow_tree(paths, z=1.96, weight=4.0):
+    """{(host, path): (template, purity)} by recursion over plain dicts;
+    ``paths``: {(host, path): (labelled, blocked)}."""
+    out = {}
+    general = lambda x: "*" if re.search("[0-9]", x) else x
+    total = lambda group: tuple(sum(x) for x in zip(*(v for _, _, v in group)))
+
+    def grow(host, node, group, level, purity):
+        going = []
+        for path, seg, v in group:
+            if len(group) == 1 or len(seg) <= level:
+                out[host, path] = (node + tuple(map(general, seg[level:])), purity)
+            else:
+                going.append((path, seg, v))
+        if not going:
+            return
+        kids = {}
+        for x in going:
+            kids.setdefault(general(x[1][level]), []).append(x)
+        if len(kids) >= 20 and len(kids) > 0.5 * len(going):
+            kids = {"*": going}
+        nl, nb = total(going)
+        own = {}
+        for name, xs in kids.items():
+            l, b = total(xs)
+            p1, p2, p = (b + 1) / (l + 2), (nb - b + 1) / (nl - l + 2), (nb + 1) / (nl + 2)
+            own[name] = l > 0 and abs(p1 - p2) / (p * (1 - p) * (1 / (l + 2) + 1 / (nl - l + 2))) ** 0.5 > z
+        rest = [n for n in kids if not own[n]]
+        branches = {n: kids[n] for n in kids if own[n] or len(rest) == 1 or not nl}
+        if len(rest) > 1 and nl:
+            branches["~"] = [x for n in rest for x in kids[n]]
+        for name, xs in branches.items():
+            l, b = total(xs)
+            grow(host, (*node, name), xs, level + 1, purity if l == nl else (b + weight * purity) / (l + weight))
+
+    for host in {h for h, _ in paths}:
+        group = [(p, [x for x in p.split("/") if x], v) for (h, p), v in paths.items() if h == host]
+        l, b = total(group)
+        grow(host, (), group, 0, (b + weight * 0.25) / (l + weight))
+    return out
+
+
+def test_template_tree_brute_force(spark):
+    """Random trees of any depth, labels that follow some branches, a wide node."""
+    rng, paths = random.Random(21), {}
+    for host in ("a", "b", "hot"):
+        for _ in range(500 if host == "hot" else 100):
+            seg = [rng.choice(["blog", "news", "shop"])]
+            while rng.random() < 0.6 and len(seg) < 8:
+                seg.append(rng.choice(["spam", "ok", "x", "y", f"p{rng.randrange(9)}", f"n{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}"]))
+            bad = "spam" in seg and seg[0] != "shop"
+            label = rng.random() < 0.4
+            paths[host, "/" + "/".join(seg) + rng.choice(["", "/", "//"])] = (int(label), int(label and rng.random() < (0.95 if bad else 0.05)))
+    paths["none", ""] = paths["none", "/"] = paths["none", "/" + "deep/" * 60] = paths["none", "/" + "deep/" * 30] = (0, 0)
+    df = spark.createDataFrame([(h, p, *v) for (h, p), v in paths.items()], "host string, path string, n_label long, n_block long")
+    rows = urltree.template_tree(df).collect()
+    want = slow_tree(paths)
+    assert len(rows) == len(want)
+    for r in rows:
+        template, purity = want[r.host, r.path]
+        assert tuple(r.template) == template and abs(r.purity - purity) < 1e-9, (r.host, r.path)
+    assert {"~", "*", "spam"} <= {x for t, _ in want.values() for x in t}
+
+
+def test_siblings_are_told_apart_at_any_depth(spark):
+    """Blocked and allowed pages two levels down, unlabelled ones in both."""
+    for top in ("/blog", "/a/b/c/d/e/f/g/h"):
+        rules = [urltree.Rule("block", f"h.net{top}/spam/1"), urltree.Rule("allow", f"h.net{top}/news/1")]
+        urls = [f"http://h.net{top}/{b}/{d}{i:02d}" for b in ("spam", "news") for d in (1, 2) for i in range(15)]
+        got = urltree.url_filter(spark.createDataFrame([(u,) for u in urls], "url string"), rules).collect()
+        assert {r.verdict for r in got if "/spam/" in r.url} == {"block"}
+        assert {r.verdict for r in got if "/news/" in r.url} == {"allow"}
+
+
 def test_warc_round_trip(spark, tmp_path):
     body = "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n</p>" + "x" * 100
     big = "y" * 5_000_000
