@@ -84,6 +84,8 @@ def matching_rule(rules: Sequence[Rule], host: str = "host", path: str = "path")
 MANY, SHARE = 20, 0.5
 #: The test's z, the weight of a parent's purity, and the purity of nothing known.
 Z, WEIGHT, UNKNOWN = 1.96, 4.0, 0.25
+#: Parts into which a host's paths are dealt where they meet the host's row.
+SALTS = 32
 
 
 def _general(segment: Column) -> Column:
@@ -131,8 +133,11 @@ def template_tree(paths: DataFrame) -> DataFrame:
     rest = F.transform(F.array_remove(F.split("path", "/"), ""), _general)
     root = paths.groupBy("host").agg(F.sum("n_label").alias("l"), F.sum("n_block").alias("b")) \
         .select("host", _purity(F.col("b"), F.col("l"), F.lit(UNKNOWN)).alias("purity"))
-    t = paths.select("host", "path", "n_label", "n_block", rest.alias("rest"), F.array().cast("array<string>").alias("node")) \
-        .join(root, "host")
+    # a host with a third of all paths meets its one row in SALTS places
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALTS))
+    root = root.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    t = paths.select("host", "path", "n_label", "n_block", rest.alias("rest"), F.array().cast("array<string>").alias("node"),
+                     salt.alias("salt")).join(root, ["host", "salt"]).drop("salt")
     done = []
     while True:
         # a table per level, read back with its real size: the sizes that Spark estimates for joins multiply
