@@ -135,7 +135,7 @@ def template_tree(paths: DataFrame) -> DataFrame:
         .select("host", _purity(F.col("b"), F.col("l"), F.lit(UNKNOWN)).alias("purity"))
     # a host with a third of all paths meets its one row in SALTS places
     salt = F.pmod(F.xxhash64("path"), F.lit(SALTS))
-    root = root.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    root = root.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     t = paths.select("host", "path", "n_label", "n_block", rest.alias("rest"), F.array().cast("array<string>").alias("node"),
                      salt.alias("salt")).join(root, ["host", "salt"]).drop("salt")
     done = []
