@@ -529,9 +529,9 @@ def ingest_bounded(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- P9 over files
-@query("p_clean_files", f"""
+@query("sink_clean_files", f"""
 SELECT page_id, page_id || '.html' AS file_name, {S.drop_attrs(S.drop_blocks('html'))} AS html FROM pages""")
-def p_clean_files(spark, sf_dir):
+def sink_clean_files(spark, sf_dir):
     """Pages as stored files, cleaned in two runs (the second finds the files
     that came since) and a third that has nothing to do."""
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
