@@ -96,22 +96,21 @@ def attribute(start_tag: Column, attr: str) -> Column:
 
 
 # ---------------------------------------------------------------- node table
-def tokens(html: Column) -> Column:
-    """A page as an array of tags, each with the text behind it; the first one
-    stands for the page itself.  Comments, scripts and styles are left out."""
+def tokens(html: Column, tags_only: bool = False) -> Column:
+    """A page as an array of tags, each with the text behind it (or without);
+    the first one stands for the page itself.  Comments, scripts and styles
+    are left out."""
     plain = F.regexp_replace(F.coalesce(html, F.lit("")), _SKIPPED, "")
     plain = F.regexp_replace(plain, r"<(?!/?[A-Za-z])", "&lt;")
-    return F.regexp_extract_all(F.concat(F.lit(_ROOT), plain), F.lit(rf"(?is)</?[A-Za-z]{_TAG}[^<]*+"), 0)
+    return F.regexp_extract_all(F.concat(F.lit(_ROOT), plain), F.lit(rf"(?is)(</?[A-Za-z]{_TAG})[^<]*+"), int(tags_only))
 
 
 def _cut(pages: DataFrame, keys: Sequence[str], html: str, dealt: bool) -> DataFrame:
     rows = pages.select(*keys, F.col(html).alias("__html"))
     rows = rows if dealt else rows.repartition(*keys)
-    cut = rows.select(*keys, tokens(F.col("__html")).alias("__t"))
-    cut = cut.select(*keys, F.size("__t").alias("__n"), F.posexplode("__t").alias("pre", "__token"))
-    tag = F.regexp_extract("__token", rf"(?s)^<{_TAG}", 0)
-    return cut.withColumn("__tag", tag).withColumn("tag", F.lower(F.regexp_extract("__tag", r"^</?([A-Za-z][^\s/>]*)", 1))) \
-        .drop("__token")
+    cut = rows.select(*keys, tokens(F.col("__html"), tags_only=True).alias("__t"))
+    cut = cut.select(*keys, F.size("__t").alias("__n"), F.posexplode("__t").alias("pre", "__tag"))
+    return cut.withColumn("tag", F.lower(F.regexp_extract("__tag", r"^</?([A-Za-z][^\s/>]*)", 1)))
 
 
 def _nest(cut: DataFrame, keys: Sequence[str]) -> DataFrame:
