@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,32 @@ def test_contamination_brute_force(spark, make_docs, block):
         assert rows[i, t] == (n, hit, hashlib.sha256(names.encode()).hexdigest(), k, hit > 0), (i, t)
 
 
+def test_windows_with_codes_beyond_64_bits():
+    rng = random.Random(2)
+    item = b" ".join(b"w%d" % rng.randrange(60) for _ in range(400))
+    block = decontaminate.Windows([("i", item)], 10, 3)
+    block.base = (1 << 40) + 1          # as of a vocabulary that 64 bits cannot hold three words of
+    block.codes = {3: np.unique(np.array([c for w in block.windows for c in block._tokens(w)], dtype=np.int64))}
+    words = [b"x", *item.split()[37:60], b"y", *item.split()[5:14], b"z"]
+    counts = {}
+    for k, _, token in block.places(block.ids(words)):
+        for t in token.tolist():
+            counts[k, t] = counts.get((k, t), 0) + 1
+    block.rank(counts)
+    spans, items = block.hits(words)
+    assert decontaminate._merged(spans) == [(1, 24)] and items == {"i"}
+
+
+def test_contamination_of_an_item_of_millions_of_words(spark, make_docs):
+    n = 2_200_000
+    item = " ".join(f"{i:x}" for i in range(n))
+    part = " ".join(f"{i:x}" for i in range(1_500_000, 1_500_030))
+    got = {r.doc_id: r for r in decontaminate.digest(decontaminate.contamination(
+        make_docs([(1, f"zz {part} zz", "s"), (2, part[:40], "s")]),
+        spark.createDataFrame([(7, item)], "item_id int, text string"))).collect()}
+    assert (got[1].n_hit, got[1]["items"], got[2].n_hit) == (30, ["7"], 0)
+
+
 def test_contamination_of_empty_tables(spark, make_docs):
     none = spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.contamination(make_docs([]), none).count() == 0

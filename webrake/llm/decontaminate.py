@@ -12,12 +12,15 @@ many words as it has (length bound); then its words are compared.
 The benchmark side is handled in blocks of at most ``BLOCK_BYTES`` of item
 text, each broadcast to one pass over the documents, so what is broadcast is
 bounded however large the benchmark is.  Documents are never shuffled.
+A block has no bound on its different words: one item may be of any length.
 
 Defined results: null and wordless texts have no words and no hits; wordless
 items have no window; a repeated item id counts once, with the windows of all
 its rows; a null item id is written as the empty string; repeated documents
-each get their row; empty tables give no rows or no hits; extra columns of
-the documents are kept.
+each get their row; of equally rare shingles the one with the smaller code
+counts; very long texts are cut into words whole, in one task; empty tables
+give no rows or no hits; extra columns of the documents are kept, but for
+their own ``n_words``, ``hits`` and ``items``, which the results replace.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from webrake.llm.common import python_ready, reliable, text_bytes
 
-#: Item text per block; below two million different words by its size.
+#: Item text per block; an item beyond it is a block alone.
 BLOCK_BYTES = 4 << 20
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in _KEEP else 0x20 for c in range(256))
@@ -55,7 +58,9 @@ class Windows:
                 owners[tuple(ids[i:i + window])].add(item)
         self.windows = sorted(owners)
         self.items = [sorted(owners[w]) for w in self.windows]
-        self.base = len(self.vocab) + 1
+        # codes are modulo 2**64: of very many words two shingles may share one,
+        # which costs a comparison, as every match is compared word by word
+        self.base = len(self.vocab) + 1 | 1
         self.shingle = shingle
         # windows shorter than a shingle are one token as long as themselves
         self.sizes = sorted({min(shingle, len(w)) for w in self.windows})
@@ -70,7 +75,7 @@ class Windows:
             code = 0
             for x in ids[i:i + k]:
                 code = code * self.base + x + 1
-            out.append(code)
+            out.append((code + (1 << 63)) % (1 << 64) - (1 << 63))
         return out
 
     def places(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
