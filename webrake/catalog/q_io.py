@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from webrake.catalog import query, table
 from webrake.functions import urls as U
+from webrake.functions import variants as VR
+from webrake.operators.variants import field_kinds, typed_records
 from webrake.session import scratch_path
 from webrake.sources import commits as CM
 from webrake.sources import pagestore as PS
@@ -184,3 +186,62 @@ def q_sink_committed(spark, sf_dir):
     CM.commit(odd, path, "b")
     CM.compact(spark, path, "ab")
     return CM.read_committed(spark, path)
+
+
+_DIRTY_KINDS = """
+SELECT s_suppkey, s_name, s_acctbal, s_suppkey % 17 = 0 AS cut, s_suppkey % 19 = 0 AS listed,
+       CASE WHEN s_suppkey % 6 = 0 THEN 'list' WHEN s_suppkey % 6 = 1 THEN 'string' WHEN s_suppkey % 6 = 2 THEN 'missing'
+            WHEN s_suppkey % 6 = 3 THEN 'null' WHEN s_suppkey % 6 = 4 THEN 'number' ELSE 'object' END AS kind
+FROM supplier"""
+
+
+def _dirty_suppliers(spark, sf_dir):
+    """JSON lines in which ``name`` and ``balance`` come in several types,
+    some lines cut short and some that are lists."""
+    k = F.col("s_suppkey")
+    text, balance = F.concat(F.lit('"'), "s_name", F.lit('"')), F.col("s_acctbal").cast("decimal(12,2)").cast("string")
+    name = F.when(k % 6 == 0, F.concat(F.lit(', "name": [null, " ", '), text, F.lit(', "x"]'))) \
+        .when(k % 6 == 1, F.concat(F.lit(', "name": '), text)).when(k % 6 == 2, F.lit("")) \
+        .when(k % 6 == 3, F.lit(', "name": null')).when(k % 6 == 4, F.lit(', "name": 45')) \
+        .otherwise(F.concat(F.lit(', "name": {"full":'), text, F.lit("}")))
+    money = F.when(k % 4 == 0, F.concat(F.lit('"'), balance, F.lit('"'))).when(k % 4 == 1, F.lit('"n/a"')).otherwise(balance)
+    line = F.concat(F.lit('{"key": '), k.cast("string"), name, F.lit(', "balance": '), money, F.lit("}"))
+    line = F.when(k % 17 == 0, F.substring(line, F.lit(1), F.length(line) - 4)) \
+        .when(k % 19 == 0, F.concat(F.lit("["), k.cast("string"), F.lit("]"))).otherwise(line)
+    path = scratch_path(spark, "dirty")
+    table(spark, sf_dir, "supplier").select(line.alias("value")).write.text(path)
+    return RD.read_variant_jsonl(spark, path)
+
+
+@query("src_variant", f"""
+WITH d AS ({_DIRTY_KINDS})
+SELECT s_suppkey AS key, CASE kind WHEN 'list' THEN s_name WHEN 'string' THEN s_name WHEN 'number' THEN '45'
+                                   WHEN 'object' THEN '{{"full":"' || s_name || '"}}' END AS name,
+       CASE kind WHEN 'list' THEN s_name || '|x' WHEN 'string' THEN s_name WHEN 'number' THEN '45'
+                 WHEN 'object' THEN '{{"full":"' || s_name || '"}}' ELSE '' END AS names,
+       CASE WHEN s_suppkey % 4 <> 1 THEN CAST(CAST(s_acctbal AS DECIMAL(12,2)) AS DOUBLE) END AS balance,
+       concat_ws(',', CASE WHEN kind IN ('list', 'number', 'object') THEN 'name:' || kind END,
+                 CASE s_suppkey % 4 WHEN 0 THEN 'balance:string' WHEN 1 THEN 'balance:string:lost' END) AS repairs
+FROM d WHERE NOT cut AND NOT listed""")
+def q_src_variant(spark, sf_dir):
+    """Fields that hold a string, a list, a number, an object or nothing,
+    read without a schema and repaired by their actual type."""
+    good, _ = _dirty_suppliers(spark, sf_dir)
+    both = good.select("record", VR.as_strings(VR.field("record", "name")).alias("names"))
+    typed = typed_records(both, "record", {"key": "number", "name": "string", "balance": "number"})
+    note = F.transform("repairs", lambda r: F.concat(r["field"], F.lit(":"), r["kind"], F.when(r["lost"], ":lost").otherwise("")))
+    return typed.select(F.col("key").cast("long").alias("key"), "name", F.array_join("names", "|").alias("names"), "balance",
+                        F.array_join(note, ",").alias("repairs"))
+
+
+@query("src_variant_kinds", f"""
+WITH d AS ({_DIRTY_KINDS}), ok AS (SELECT * FROM d WHERE NOT cut AND NOT listed)
+SELECT 'name' AS field, kind, count(*) AS n FROM ok WHERE kind <> 'missing' GROUP BY ALL
+UNION ALL SELECT 'key', 'number', count(*) FROM ok HAVING count(*) > 0
+UNION ALL SELECT 'balance', CASE WHEN s_suppkey % 4 < 2 THEN 'string' ELSE 'number' END, count(*) FROM ok GROUP BY ALL
+UNION ALL SELECT 'quarantine', CASE WHEN cut THEN 'syntax' ELSE 'shape' END, count(*) FROM d WHERE cut OR listed GROUP BY ALL""")
+def q_src_variant_kinds(spark, sf_dir):
+    """How often each field comes in each kind, and the lines set aside."""
+    good, bad = _dirty_suppliers(spark, sf_dir)
+    aside = bad.groupBy(F.lit("quarantine").alias("field"), F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    return field_kinds(good, "record").unionByName(aside)

@@ -357,6 +357,42 @@ def p_refresh(spark, sf_dir):
                        F.array_join("co_authors.name", "|").alias("co_authors"))
 
 
+@query("p_refresh_stored", f"""
+WITH p AS (SELECT page_id AS uid, {S.url_part('url', 2)} AS host,
+                  list_transform(regexp_extract_all(html, {S.q(_AD_RE)}, 1), lambda x: {S.strip_tags('x')}) AS ads
+           FROM pages WHERE page_id % 11 <> 0)
+SELECT uid, CASE uid % 5 WHEN 0 THEN 'n' || CAST(uid AS VARCHAR) WHEN 1 THEN 'm' || CAST(uid AS VARCHAR)
+                         WHEN 2 THEN CAST(uid AS VARCHAR) END AS name,
+       CASE uid % 4 WHEN 0 THEN 'a|b' WHEN 1 THEN 'a' ELSE '' END AS tags,
+       CASE WHEN uid % 3 = 2 THEN 0 WHEN uid % 3 = 1 THEN 1 ELSE 2 END AS n_co_authors,
+       CASE uid % 3 WHEN 2 THEN '' WHEN 1 THEN host ELSE host || '|c' END AS co_authors,
+       array_to_string(ads, '|') AS ads FROM p""")
+def p_refresh_stored(spark, sf_dir):
+    """Profiles stored as JSON lines with union-typed fields (name: list, text,
+    number, null or missing; tags: list, text or null; co-authors: list, one
+    object or null), every eleventh line cut short, refreshed from stored HTML."""
+    pages = table(spark, sf_dir, "pages")
+    uid, host = F.col("page_id").cast("string"), U.url_netloc("url")
+    k = F.col("page_id") % 5
+    name = F.when(k == 0, F.concat(F.lit(', "name": ["", "n'), uid, F.lit('"]'))) \
+        .when(k == 1, F.concat(F.lit(', "name": " m'), uid, F.lit('"'))) \
+        .when(k == 2, F.concat(F.lit(', "name": '), uid)).when(k == 3, ', "name": null').otherwise("")
+    k = F.col("page_id") % 4
+    tags = F.when(k == 0, ', "tags": ["a", null, "b"]').when(k == 1, ', "tags": "a"').otherwise(', "tags": null')
+    k = F.col("page_id") % 3
+    mate = F.concat(F.lit('{"name": ["'), host, F.lit('", "x"], "url": "u"}'))
+    co = F.when(k == 0, F.concat(F.lit("["), mate, F.lit(', {"name": "c"}]'))).when(k == 1, mate).otherwise("null")
+    line = F.concat(F.lit('{"uid": '), uid, name, tags, F.lit(', "co_authors": '), co, F.lit("}"))
+    line = F.when(F.col("page_id") % 11 == 0, F.substring(line, F.lit(1), F.length(line) - 3)).otherwise(line)
+    path = scratch_path(spark, "stored-profiles")
+    pages.select(line.alias("value")).write.text(path)
+    profiles, _ = PF.stored_profiles(spark, path, {"uid": "number", "name": "string", "tags": "strings"})
+    fresh = PF.refresh_profiles(profiles.withColumn("uid", F.col("uid").cast("long")),
+                                pages.select(F.col("page_id").cast("long").alias("uid"), "html"), _AD_SPEC)
+    return fresh.select("uid", "name", F.array_join("tags", "|").alias("tags"), F.size("co_authors").alias("n_co_authors"),
+                        F.array_join("co_authors.name", "|").alias("co_authors"), F.array_join("ads", "|").alias("ads"))
+
+
 # ---------------------------------------------------------------- P8
 REQ_TEMPLATE = "Extract the people listed on this page of $HOST. Answer in JSON lines."
 

@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from webrake.functions import records as RC
 from webrake.functions import text as T
 from webrake.functions import urls as U
+from webrake.functions import variants as VR
 from webrake.operators import dom
 from webrake.operators import joins as J
 from webrake.operators.dom import Field
+from webrake.operators.variants import typed_records
+from webrake.sources import readers as RD
 
 
 # ---------------------------------------------------------------- P5
@@ -101,6 +104,19 @@ def first_names(co_authors_json: str) -> Column:
         F.try_variant_get(v, "$.url", "string").alias("url")))
 
 
+def stored_profiles(spark, path, spec: dict[str, str], co_authors: str = "co_authors") -> tuple[DataFrame, DataFrame]:
+    """(profiles, quarantine) from stored JSON lines whose fields come in
+    several types: ``spec`` (name -> 'string', 'strings', 'number') repaired by
+    actual type with ``repairs``, and the co-authors as ``co_authors_json`` for
+    :func:`refresh_profiles` (one object counts as a list of one)."""
+    records, bad = RD.read_variant_jsonl(spark, path)
+    x = VR.field("record", co_authors)
+    text = F.to_json(x)
+    records = records.withColumn("co_authors_json", F.when(VR.kind(x) == "list", text)
+                                 .when(VR.kind(x) == "object", F.concat(F.lit("["), text, F.lit("]"))))
+    return typed_records(records, "record", spec), bad
+
+
 def refresh_profiles(profiles: DataFrame, pages: DataFrame, spec: dict[str, Field | str] | None = None,
                      co_authors_json: str | None = "co_authors_json", dealt: bool = False) -> DataFrame:
     """Re-extract list fields from each profile's stored HTML (joined on

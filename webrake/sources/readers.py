@@ -44,6 +44,29 @@ def split_corrupt(df: DataFrame, path: str | None = None) -> tuple[DataFrame, Da
     return good, bad
 
 
+def read_variant_jsonl(spark: SparkSession, path: str | Sequence[str], name: str = "record",
+                       to: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, quarantine): JSON lines whose fields come in several types,
+    each object one VARIANT in column ``name`` (no schema, nothing lost).
+    Quarantine: the text of the lines that are no JSON (``reason`` 'syntax')
+    or no object ('shape').  Lines are parsed once, by the reader, and written
+    to ``to`` (default: below the checkpoint folder), from where both are read.
+    Blank lines are skipped; text behind a line's first value is ignored, as
+    by all of Spark's JSON readers."""
+    from webrake.functions.variants import kind
+    from webrake.session import scratch_path
+    raw = spark.read.schema(f"{name} VARIANT, {CORRUPT} STRING").option("singleVariantColumn", name) \
+        .option("columnNameOfCorruptRecord", CORRUPT).json(path if isinstance(path, str) else list(path))
+    is_object = kind(name) == "object"
+    rows = raw.select(F.when(is_object, F.col(name)).alias(name),
+                      F.when(F.col(name).isNull(), "syntax").when(~is_object, "shape").alias("reason"),
+                      F.when(F.col(name).isNull(), F.col(CORRUPT)).when(~is_object, F.to_json(name)).alias("line"))
+    to = to or scratch_path(spark, "variants")
+    rows.write.parquet(to)
+    back = spark.read.schema(rows.schema).parquet(to)
+    return back.where(F.col("reason").isNull()).select(name), back.where(F.col("reason").isNotNull()).select("reason", "line")
+
+
 def read_json_docs(spark: SparkSession, path: str | Sequence[str], schema: str,
                    with_file: bool = True) -> DataFrame:
     """One JSON document per file (multi-line), with file path, name and
