@@ -34,7 +34,7 @@ def strings(x):
 def number(x):
     try:
         return None if kind(x) in ("boolean", "object", "null") else float(string(x).replace(",", ""))
-    except (TypeError, ValueError):
+    except (AttributeError, ValueError):
         return None
 
 
