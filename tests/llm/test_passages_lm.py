@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from webrake.llm import lm, substring
 from webrake.llm.common import word_hashes
@@ -161,10 +162,18 @@ def test_align_counts_equal_words():
 
 def test_gradient():
     rng = np.random.default_rng(4)
+    size = lm.LEAST_VOCAB
     w = {k: v.astype(np.float64) + rng.normal(0, 0.1, v.shape) for k, v in lm.start_weights().items()}
-    flat, at, _ = lm.windows([rng.integers(0, lm.VOCAB, 30).astype(np.int32), rng.integers(0, 9, 5).astype(np.int32)])
+    flat, at = lm.windows(rng.integers(0, size, 35), np.array([30, 0, 5]), size)
+    assert len(at) == 35 and (np.delete(flat, at) == size).all() and list(np.delete(np.arange(len(flat)), at)) == [
+        0, 1, 32, 33, 34, 35, 41, 42]
     _, grad = lm.step(w, flat, at, True)
+    dense = np.zeros_like(w["emb"])
+    for j, (rows, g) in enumerate(grad["emb"]):
+        dense[j][rows] = g
+    grad["emb"] = dense
     loss = lambda: -lm.step(w, flat, at, False).mean()
+    assert set(grad) == set(w)
     for name in w:
         order = np.argsort(-np.abs(grad[name]).ravel())[:3]
         for i in order:
@@ -177,37 +186,70 @@ def test_gradient():
             w[name][spot] = old
             assert abs((up - down) / 2e-5 - grad[name][spot]) < 1e-6
     assert abs(sum(np.exp(lm.step(w, np.where(np.arange(len(flat)) == at[3], t, flat), at[3:4], False)[0])
-                   for t in range(lm.VOCAB)) - 1) < 1e-6      # a distribution over all tokens
+                   for t in range(size)) - 1) < 1e-6      # a distribution over all tokens
+
+
+def test_vocabulary_grows():
+    assert [lm.vocabulary_size(n) for n in (0, 1, 4_000_000, 4_300_000, 10 ** 10)] == [2048, 2048, 2048, 4096, 1 << 17]
+    rng = np.random.default_rng(1)
+    for size in (2048, 8192):
+        v = lm.Vocabulary(rng.integers(-2 ** 62, 2 ** 62, lm.words_of(size)).tolist(), size)
+        assert (v.ids_of(v.keys) == v.ids).all()
+        other = v.ids_of(rng.integers(0, 2 ** 63, 10_000).astype(np.uint64) * np.uint64(2))
+        assert lm.words_of(size) <= other.min() and other.max() == size - 1 and lm.words_of(size) == size * 7 // 8
+        assert lm.unpack(lm.pack(lm.start_weights(size)), size)["mem"].tolist() == lm.start_weights(size)["mem"].tolist()
 
 
 def test_scores(spark, make_docs):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    vocab, weights = lm.train(docs)
-    held = [r for r in docs.where("doc_id < 60").collect() if r.text and 50 < len(r.text.split()) < 2000]
+    rows = [(r.doc_id, r.text, "s") for r in docs.collect()]
     rng = random.Random(5)
-    rows = []
-    for r in held:
-        w = r.text.split()
+    held = [r for r in rows if r[1] and 50 < len(r[1].split()) < 2000]
+    for i, t, _ in held[:40]:
+        w = t.split()
         rng.shuffle(w)
-        rows += [(r.doc_id, r.text, "s"), (1000 + r.doc_id, " ".join(w), "s")]
+        rows.append((10_000 + i, " ".join(w), "s"))
     rows += [(5000, None, "s"), (5001, " ", "s"), (5002, "the " * 100_000, "s"), (5002, "the " * 100_000, "s")]
-    got = lm.score(make_docs(rows, clash=("logprob",)), vocab, weights).collect()
+    rows += [(6000 + i, held[0][1], "s") for i in range(30)]
+    made = make_docs(rows, clash=("logprob", "key", "n"))
+    got = lm.pseudo_likelihood(made, shard=8_000).collect()
     by = {r.doc_id: r for r in got}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and "key" in got[0] and "n" in got[0]
     assert (by[5000].n_tokens, by[5000].logprob, by[5000].mean_logprob) == (0, 0.0, None) == (
         by[5001].n_tokens, by[5001].logprob, by[5001].mean_logprob)
     assert by[5002].n_tokens == 100_000
-    better = sum(by[r.doc_id].mean_logprob > -np.log(lm.VOCAB) for r in held)
-    assert better >= 0.95 * len(held)
-    for r in held[:5]:      # the sum over a document alone
-        flat, at, _ = lm.windows([vocab.encode(r.text.encode())])
-        assert abs(lm.step(weights, flat, at, False).sum() - by[r.doc_id].logprob) < 1e-2
+    assert {(r.n_tokens, r.logprob) for i, r in by.items() if 6000 <= i < 6030} == {(by[held[0][0]].n_tokens, by[held[0][0]].logprob)}
+    # the sum over a document alone, by the network and the counts
+    counts = lm.word_counts(made)
+    vocab = lm.vocabulary(counts)
+    dealt = lm.shards(made, vocab, counts.agg(F.sum("n")).first()[0], shard=8_000)
+    assert dealt.count() > 3
+    weights = lm.train(dealt, vocab.size)
+    rare = {r.key: r.rare for r in lm.rare_words(made, vocab, counts).collect()}
+    keys = {r.doc_id: r.k for r in made.selectExpr("doc_id", "xxhash64(text) k").collect()}
+    for i, t, _ in held[:8]:
+        ids = vocab.encode(t.encode())
+        flat, at = lm.windows(ids, np.array([len(ids)]), vocab.size)
+        logp = lm.step(weights, flat, at, False)
+        assert abs(logp.sum() + (rare[keys[i]] or 0) - by[i].logprob) < 1e-2
+    # likelier than an equal share for every token
+    some = [vocab.encode(t.encode()) for _, t, _ in held]
+    flat, at = lm.windows(np.concatenate(some), np.array(list(map(len, some))), vocab.size)
+    assert lm.step(weights, flat, at, False).mean() > -np.log(vocab.size)
     assert lm.pseudo_likelihood(make_docs([])).count() == 0
 
 
+def test_scores_do_not_depend_on_the_split(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    one, many = ({(r.doc_id, r.n_tokens): r.mean_logprob for r in
+                  lm.pseudo_likelihood(d, shard=5_000).collect()} for d in (docs.coalesce(1), docs.repartition(16)))
+    assert one.keys() == many.keys()
+    assert all(a == many[k] or abs(a - many[k]) < 1e-6 for k, a in one.items())
+
+
 def test_rare_words_have_probabilities_of_their_own(make_docs):
     rng = random.Random(10)
-    common = [f"c{i}" for i in range(lm.WORDS)]
+    common = [f"c{i}" for i in range(lm.words_of(lm.LEAST_VOCAB))]
     rows = [(i, " ".join(rng.choices(common, k=300) + ["twice"] * (i == 0)), "s") for i in range(60)]
     rows += [(100 + i, " ".join(common), "s") for i in range(3)]
     rows += [(200, " ".join(f"Gibberish{i}" for i in range(500)), "s"), (201, "c1 twice c2", "s"), (201, "c1 twice c2", "s"),
@@ -229,7 +271,7 @@ def test_rare_words_have_probabilities_of_their_own(make_docs):
     rare = {r.key: r.rare for r in lm.rare_words(docs, vocab, counts).collect()}
     keys = {r.doc_id: r.k for r in docs.selectExpr("doc_id", "xxhash64(text) k").collect()}
     for i in want:
-        assert abs(rare.get(keys[i], 0.0) - want[i]) < 1e-6
+        assert abs((rare.get(keys[i]) or 0.0) - want[i]) < 1e-6
     by = {r.doc_id: r for r in got}
     # every one of 500 different words is rarer than its bucket
     assert want[200] < -500 and by[200].mean_logprob < want[200] / 500 and by[200].n_tokens == 500

@@ -1,17 +1,23 @@
 """Masked pseudo-likelihood scores from a bidirectional window network.
 
 Every token is predicted from the ``SIDE`` tokens on either side.  Words are
-tokens: the ``WORDS`` most frequent of the corpus, and hash buckets for the
-rest.  The network is numpy: one embedding per offset, summed, tanh, and a
-two-level softmax (class, then member), so one prediction costs the square
-root of the vocabulary.
-
-Word counts cover all documents.  Training is data-parallel over all tokens:
-each task starts from the same weights, does one pass of AdaGrad steps over
-its own documents, and the weights are averaged by tokens in a shuffle; a
-first round over a sixteenth of the documents (by hash) gives the common
-start.  What reaches the driver is the vocabulary, one set of weights and the buckets'
-totals, all of fixed size.  The weights depend on how the input is split into tasks.
+tokens: the most frequent of the corpus, and hash buckets for the rest.  The
+network is numpy: one embedding per offset, summed, tanh, and a two-level
+softmax (class, then member), so one prediction costs the square root of the
+vocabulary.  The vocabulary grows with the corpus: the power of two from the
+square root of the number of different words on, 2,048 at least; an eighth of
+it are buckets.
+
+Word counts cover all documents.  Training is data-parallel over the tokens of
+all different texts: texts are dealt by their hash into shards of about
+``SHARD`` tokens, each one row of a written table with its texts in the order
+of their hashes.  In a round every shard starts from the same weights and does
+one pass of AdaGrad steps; the weights are averaged by tokens.  A first round
+over a sixteenth of the shards gives the common start of ``ROUNDS`` rounds over all.
+Shards follow from the texts alone, so weights and scores are the same however
+the input is split into tasks (but for rounding).  What reaches the driver is the
+vocabulary, one set of weights and the buckets' totals: they grow as the square
+root of the number of different words.
 
 A document's score is the sum of the conditional log-probabilities of its
 words.  The network gives a bucket's probability; a rare word's is that times
@@ -21,8 +27,12 @@ table that grows with the corpus and is joined by word.  Counts are smoothed
 unseen words as there are different ones in its bucket, and one more.
 
 Defined results: null and blank texts have no tokens, a sum of zero and a
-null mean; repeated rows are scored alike (and count as often in training);
-an empty table gives an empty result; extra columns are kept.
+null mean; repeated rows are scored alike (they count as often in the word
+counts, and once in training); words of equal frequency enter the vocabulary
+by their hash; a very long text is encoded whole, lies in one shard and makes
+it longer; an empty table gives an empty result; extra columns are kept, but
+for the text and the documents' own ``n_tokens``, ``logprob``,
+``mean_logprob``, which the results replace.
 """
 
 from __future__ import annotations
@@ -35,122 +45,159 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webrake.llm.common import free_name, python_ready, reliable, text_bytes, word_hashes
+from webrake.session import scratch_path
 
-CLASSES, MEMBERS, SIDE, DIM = 32, 64, 2, 16
-VOCAB = CLASSES * MEMBERS
-WORDS = VOCAB - 256              # frequent words; the other 256 ids are hash buckets
+SIDE, DIM = 2, 16
+LEAST_VOCAB = 2048
 BATCH = 16_384
-_PAD = VOCAB
-SHAPES = {"emb": (2 * SIDE, VOCAB + 1, DIM), "cls": (CLASSES, DIM), "mem": (CLASSES, MEMBERS, DIM),
-          "bias": (CLASSES + VOCAB + DIM,)}
+SHARD = 1 << 21                  # tokens of a shard
+ROUNDS = 1
 _WIDTH = 16                      # weights per row of the averaging shuffle
 
 
 class Vocabulary:
-    """Sorted hashes of the frequent words and their ids (rank by frequency)."""
+    """Sorted hashes of the frequent words and their ids (rank by frequency);
+    ids from ``words`` to ``size`` are hash buckets."""
 
-    def __init__(self, hashes: list[int]):
+    def __init__(self, hashes: list[int], size: int = LEAST_VOCAB):
+        self.size, self.words = size, words_of(size)
         h = np.array(hashes, dtype=np.int64).view(np.uint64)
         order = np.argsort(h)
         self.keys, self.ids = h[order], order.astype(np.int32)
 
-    def encode(self, text: bytes | None) -> np.ndarray:
-        h = word_hashes((text or b"").lower())
-        other = (WORDS + (h >> np.uint64(56)).astype(np.int32)).astype(np.int32)
+    def bucket(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - bucket_bits(self.size))).astype(np.int32)
+
+    def ids_of(self, h: np.ndarray) -> np.ndarray:
+        other = self.words + self.bucket(h)
         if not len(self.keys) or not len(h):
-            return other
+            return other.astype(np.int32)
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.ids[at], other)
+        return np.where(self.keys[at] == h, self.ids[at], other).astype(np.int32)
+
+    def encode(self, text: bytes | None) -> np.ndarray:
+        return self.ids_of(word_hashes((text or b"").lower()))
+
+
+def bucket_bits(size: int) -> int:
+    return size.bit_length() - 4
+
+
+def words_of(size: int) -> int:
+    """Frequent words of a vocabulary of ``size`` ids."""
+    return size - (1 << bucket_bits(size))
 
 
-def start_weights(seed: int = 7) -> dict[str, np.ndarray]:
+def vocabulary_size(different: int) -> int:
+    """A power of two, the square root of the number of different words at least."""
+    return max(LEAST_VOCAB, 1 << int(np.ceil(np.log2(max(different, 1)) / 2)))
+
+
+def shapes(size: int) -> dict[str, tuple[int, ...]]:
+    classes = 1 << ((size.bit_length() - 1) // 2)
+    return {"emb": (2 * SIDE, size + 1, DIM), "cls": (classes, DIM), "mem": (classes, size // classes, DIM),
+            "bias_cls": (classes,), "bias_mem": (classes, size // classes), "bias": (DIM,)}
+
+
+def start_weights(size: int = LEAST_VOCAB, seed: int = 7) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
-    return {k: (np.zeros(s, np.float32) if k == "bias" else rng.normal(0, 0.1, s).astype(np.float32))
-            for k, s in SHAPES.items()}
+    return {k: (np.zeros(s, np.float32) if k.startswith("bias") else rng.normal(0, 0.1, s).astype(np.float32))
+            for k, s in shapes(size).items()}
 
 
 def pack(w: dict[str, np.ndarray]) -> np.ndarray:
-    flat = np.concatenate([w[k].ravel() for k in SHAPES])
-    return np.concatenate([flat, np.zeros(-len(flat) % _WIDTH, np.float32)]).reshape(-1, _WIDTH)
+    flat = np.concatenate([v.ravel() for v in w.values()])
+    return np.concatenate([flat, np.zeros(-len(flat) % _WIDTH, flat.dtype)]).reshape(-1, _WIDTH)
 
 
-def unpack(rows: np.ndarray) -> dict[str, np.ndarray]:
+def unpack(rows: np.ndarray, size: int) -> dict[str, np.ndarray]:
     flat, out, at = rows.ravel().astype(np.float32), {}, 0
-    for k, s in SHAPES.items():
+    for k, s in shapes(size).items():
         n = int(np.prod(s))
         out[k] = flat[at:at + n].reshape(s).copy()
         at += n
     return out
 
 
-def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(padded tokens, places of the tokens, document of each token)."""
-    pad = np.full(SIDE, _PAD, dtype=np.int32)
-    parts = [pad]
-    for d in docs:
-        parts += [d, pad]
-    flat = np.concatenate(parts)
-    sizes = np.array([len(d) for d in docs], dtype=np.int64)
-    doc = np.repeat(np.arange(len(docs)), sizes)
-    return flat, np.flatnonzero(flat != _PAD), doc
+def windows(ids: np.ndarray, sizes: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """(padded tokens, places of the tokens) of documents one after the other."""
+    shift = SIDE * (np.repeat(np.arange(len(sizes)), sizes) + 1)
+    at = np.arange(len(ids)) + shift
+    flat = np.full(len(ids) + SIDE * (len(sizes) + 1), pad, dtype=np.int32)
+    flat[at] = ids
+    return flat, at
 
 
 def _soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Softmax and log normaliser per row (in place)."""
-    top = z.max(axis=1, keepdims=True)
-    np.exp(z - top, out=z)
-    s = z.sum(axis=1, keepdims=True)
-    z /= s
-    return z, (np.log(s) + top)[:, 0]
+    """Exponentials per column (in place), not yet divided by their sums; their
+    sums; the log normalisers."""
+    top = z.max(axis=0)
+    z -= top
+    np.exp(z, out=z)
+    s = z.sum(axis=0)
+    return s, np.log(s) + top
 
 
 def step(w: dict[str, np.ndarray], flat: np.ndarray, at: np.ndarray, learn: bool):
     """Log-probabilities of the tokens at ``at``; with ``learn`` also the mean
-    gradient of the negative log-likelihood."""
-    offsets = [o for o in range(-SIDE, SIDE + 1) if o]
-    cb, mb, hb = w["bias"][:CLASSES], w["bias"][CLASSES:CLASSES + VOCAB].reshape(CLASSES, MEMBERS), w["bias"][-DIM:]
-    ctx = [flat[at + o] for o in offsets]
-    h = np.tanh(sum(w["emb"][j][c] for j, c in enumerate(ctx)) + hb)
+    gradient of the negative log-likelihood, that of ``emb`` as (rows, values)
+    per offset."""
+    classes, members, _ = w["mem"].shape
+    order = np.argsort((flat[at] // members).astype(np.uint16), kind="stable")      # tokens of a class side by side
+    at = at[order]
     y = flat[at]
-    cls, mem = y // MEMBERS, y % MEMBERS
-    order = np.argsort(cls, kind="stable")
-    edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    rows = np.arange(len(y))
-    z = h @ w["cls"].T + cb
-    logp = z[rows, cls].copy()
-    pc, norm = _soft(z)
+    cls, mem, cols = y // members, y % members, np.arange(len(y))
+    edges = np.searchsorted(cls, np.arange(classes + 1))
+    ctx = [flat[at + o] for o in range(-SIDE, SIDE + 1) if o]
+    x = w["emb"][0][ctx[0]]
+    for j, c in enumerate(ctx[1:], 1):
+        x += w["emb"][j][c]
+    x += w["bias"]
+    h = np.tanh(x, out=x)
+    ht = np.ascontiguousarray(h.T)
+    z = w["cls"] @ ht
+    z += w["bias_cls"][:, None]
+    logp = z[cls, cols]
+    s, norm = _soft(z)
     logp -= norm
-    grad = {k: np.zeros_like(v) for k, v in w.items()} if learn else None
-    dh = np.zeros_like(h) if learn else None
-    for c in range(CLASSES):
-        idx = order[edges[c]:edges[c + 1]]
-        if not len(idx):
+    grad = {"mem": np.zeros_like(w["mem"]), "bias_mem": np.zeros_like(w["bias_mem"])} if learn else None
+    dh = np.empty_like(ht) if learn else None
+    for c in range(classes):
+        lo, hi = edges[c], edges[c + 1]
+        if lo == hi:
             continue
-        hc = h[idx]
-        zc = hc @ w["mem"][c].T + mb[c]
-        r, m = np.arange(len(idx)), mem[idx]
-        logp[idx] += zc[r, m]
-        pm, norm = _soft(zc)
-        logp[idx] -= norm
+        zc = w["mem"][c] @ ht[:, lo:hi]
+        zc += w["bias_mem"][c][:, None]
+        m, r = mem[lo:hi], cols[:hi - lo]
+        logp[lo:hi] += zc[m, r]
+        sc, norm = _soft(zc)
+        logp[lo:hi] -= norm
         if learn:
-            pm[r, m] -= 1
-            grad["mem"][c] = pm.T @ hc
-            grad["bias"][CLASSES + c * MEMBERS:CLASSES + (c + 1) * MEMBERS] = pm.sum(axis=0)
-            dh[idx] = pm @ w["mem"][c]
+            zc /= sc
+            zc[m, r] -= 1
+            grad["mem"][c] = zc @ h[lo:hi]
+            grad["bias_mem"][c] = zc.sum(axis=1)
+            dh[:, lo:hi] = w["mem"][c].T @ zc
+    out = np.empty_like(logp)
+    out[order] = logp
     if not learn:
-        return logp
-    pc[rows, cls] -= 1
-    grad["cls"] = pc.T @ h
-    grad["bias"][:CLASSES] = pc.sum(axis=0)
-    dh = (dh + pc @ w["cls"]) * (1 - h * h)
-    grad["bias"][-DIM:] = dh.sum(axis=0)
-    cols = np.ascontiguousarray(dh.T)
-    for j, c in enumerate(ctx):
-        for d in range(DIM):
-            grad["emb"][j][:, d] = np.bincount(c, weights=cols[d], minlength=VOCAB + 1)
+        return out
+    z /= s
+    z[cls, cols] -= 1
+    grad["cls"], grad["bias_cls"] = z @ h, z.sum(axis=1)
+    dh += w["cls"].T @ z
+    dh *= 1 - ht * ht
+    grad["bias"] = dh.sum(axis=1)
     for g in grad.values():
         g /= len(y)
-    return logp, grad
+    back = np.ascontiguousarray(dh.T) / h.dtype.type(len(y))
+    grad["emb"] = []
+    short = np.uint16 if w["emb"].shape[1] <= 1 << 16 else np.int32      # 16 bits are sorted by radix
+    for c in ctx:
+        by = np.argsort(c.astype(short), kind="stable")
+        starts = np.flatnonzero(np.diff(c[by], prepend=-1))
+        grad["emb"].append((c[by[starts]], np.add.reduceat(back[by], starts, axis=0)))
+    return out, grad
 
 
 class Trainer:
@@ -160,32 +207,21 @@ class Trainer:
         self.w, self.rate, self.tokens = w, rate, 0
         self.sq = {k: np.full_like(v, 1e-8) for k, v in w.items()}
 
-    def feed(self, docs: list[np.ndarray]) -> None:
-        flat, at, _ = windows(docs)
+    def feed(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        flat, at = windows(ids, sizes, self.w["emb"].shape[1] - 1)
         for i in range(0, len(at), BATCH):
             part = at[i:i + BATCH]
             _, grad = step(self.w, flat, part, True)
+            for j, (rows, g) in enumerate(grad.pop("emb")):
+                sq = self.sq["emb"][j][rows] + g * g
+                self.sq["emb"][j][rows] = sq
+                self.w["emb"][j][rows] -= self.rate * g / np.sqrt(sq)
             for k, g in grad.items():
                 self.sq[k] += g * g
                 self.w[k] -= self.rate * g / np.sqrt(self.sq[k])
             self.tokens += len(part)
 
 
-def _feeds(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, limit: int = 1 << 18) -> Iterator[list[np.ndarray]]:
-    """Encoded documents in groups of about ``limit`` tokens."""
-    held, size = [], 0
-    for batch in batches:
-        for t in text_bytes(batch.column(0)):
-            ids = vocab.encode(t)
-            held.append(ids)
-            size += len(ids)
-            if size >= limit:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``h, n``: every different word of all documents and how often it occurs."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,110 +254,177 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The ``WORDS`` most frequent words of ``counts``."""
-    return Vocabulary([r.h for r in counts.orderBy(F.desc("n"), "h").limit(WORDS).collect()])
+    """The most frequent words of ``counts``, as many as its different words ask for."""
+    size = vocabulary_size(counts.count())
+    top = counts.orderBy(F.desc("n"), "h").limit(words_of(size)).select("h").toArrow()
+    return Vocabulary(top["h"].to_pylist(), size)
+
+
+def shards(docs: DataFrame, vocab: Vocabulary, tokens: int, text_col: str = "text", shard: int = SHARD) -> DataFrame:
+    """The encoded texts as a written table: a row per shard with the hashes of
+    its different texts, their lengths and their ids one after the other.
+
+    A text repeated within a task is handed on once, so copies are combined
+    before they are shuffled."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(vocab)
+    kind = np.uint16 if vocab.size <= 1 << 16 else np.uint32
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            keys, ids = [], []
+            for key, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    ids.append(shared.value.encode(t).astype(kind).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["key", "ids"])
+            if len(seen) > 1 << 20:     # bounded: later copies are met again in the shard
+                seen.clear()
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, keys, parts = None, [], []
+
+        def row() -> pa.RecordBatch:
+            sizes = np.array([len(p) // kind().itemsize for p in parts], dtype=np.int64)
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([np.array(keys, np.int64).tobytes()]),
+                                               pa.array([sizes.tobytes()]), pa.array([b"".join(parts)])],
+                                              ["shard", "keys", "sizes", "ids"])
+
+        for batch in batches:
+            for s, key, ids in zip(*[c.to_pylist() for c in batch.columns]):
+                if s != now:
+                    if parts:
+                        yield row()
+                    now, keys, parts = s, [], []
+                if not keys or keys[-1] != key:
+                    keys.append(key)
+                    parts.append(ids)
+        if parts:
+            yield row()
+
+    n = max(1, -(-tokens // shard))
+    texts = python_ready(docs).select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("t")) \
+        .where(F.col("t").isNotNull())
+    dealt = texts.mapInArrow(encode, "key bigint, ids binary").where(F.octet_length("ids") > 0) \
+        .select(F.pmod("key", F.lit(n)).alias("shard"), "key", "ids") \
+        .repartition(-(-n // 2), "shard").sortWithinPartitions("shard", "key")
+    path = scratch_path(spark, "lm-shards")
+    dealt.mapInArrow(deal, "shard bigint, keys binary, sizes binary, ids binary").write.parquet(path)
+    return spark.read.schema("shard bigint, keys binary, sizes binary, ids binary").parquet(path)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, sizes, ids) of every shard."""
+    kind = np.uint16 if size <= 1 << 16 else np.uint32
+    for batch in batches:
+        for i in range(batch.num_rows):
+            keys, sizes, ids = (batch.column(c)[i].as_py() for c in ("keys", "sizes", "ids"))
+            yield np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(ids, kind).astype(np.int32)
 
 
-def _round(texts: DataFrame, vocab, weights: dict[str, np.ndarray], rate: float) -> dict[str, np.ndarray]:
-    """One pass of all tasks from common weights, averaged by tokens."""
-    shared = texts.sparkSession.sparkContext.broadcast(pack(weights))   # fixed size
+def _round(dealt: DataFrame, size: int, weights: dict[str, np.ndarray], rate: float) -> dict[str, np.ndarray]:
+    """One pass over every shard from common weights, averaged by tokens."""
+    shared = dealt.sparkSession.sparkContext.broadcast(pack(weights))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = Trainer(unpack(shared.value), rate)
-        for docs in _feeds(batches, vocab.value):
-            trainer.feed(docs)
-        if trainer.tokens:
-            rows = pack(trainer.w).astype(np.float64) * trainer.tokens
+        total, tokens = 0, 0
+        for _, sizes, ids in _texts(batches, size):
+            trainer = Trainer(unpack(shared.value, size), rate)
+            trainer.feed(ids, sizes)
+            total = total + pack(trainer.w).astype(np.float64) * trainer.tokens
+            tokens += trainer.tokens
+        if tokens:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), float(trainer.tokens))),
-                 *[pa.array(np.ascontiguousarray(rows[:, j])) for j in range(_WIDTH)]], names)
+                [pa.array(np.arange(len(total), dtype=np.int32)), pa.array(np.full(len(total), float(tokens))),
+                 *[pa.array(np.ascontiguousarray(total[:, j])) for j in range(_WIDTH)]], names)
 
     names = ["i", "n", *[f"w{j}" for j in range(_WIDTH)]]
-    summed = texts.mapInArrow(run, ", ".join(["i int", *[f"{c} double" for c in names[1:]]])) \
-        .groupBy("i").agg(*[F.sum(c).alias(c) for c in names[1:]])
-    got = sorted(summed.collect(), key=lambda r: r.i)
-    if not got:
+    summed = dealt.mapInArrow(run, ", ".join(["i int", *[f"{c} double" for c in names[1:]]])) \
+        .groupBy("i").agg(*[F.sum(c).alias(c) for c in names[1:]]).toArrow()
+    if not summed.num_rows:
         return weights
-    a = np.array([r[1:] for r in got])
-    return unpack(a[:, 1:] / a[:, :1])
+    order = np.argsort(summed["i"].to_numpy())
+    a = np.stack([summed[c].to_numpy()[order] for c in names[1:]], axis=1)
+    return unpack(a[:, 1:] / a[:, :1], size)
 
 
-def train(docs: DataFrame, text_col: str = "text", rate: float = 0.05,
-          counts: DataFrame | None = None) -> tuple[Vocabulary, dict[str, np.ndarray]]:
-    vocab = vocabulary(word_counts(docs, text_col) if counts is None else counts)
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)            # fixed size
-    texts = python_ready(docs).select(F.col(text_col).cast("string").alias("t"))
-    weights = _round(texts.where(F.pmod(F.xxhash64("t"), F.lit(16)) == 0), shared, start_weights(), 2 * rate)
-    return vocab, _round(texts, shared, weights, rate)
+def train(dealt: DataFrame, size: int, rate: float = 0.05, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Weights for a vocabulary of ``size`` ids from the table of :func:`shards`."""
+    weights = _round(dealt.where(F.pmod("shard", F.lit(16)) == 0), size, start_weights(size), 2 * rate)
+    for _ in range(rounds):
+        weights = _round(dealt, size, weights, rate)
+    return weights
 
 
-def score(docs: DataFrame, vocab: Vocabulary, weights: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """``docs`` with ``n_tokens``, ``logprob`` (sum) and ``mean_logprob``."""
-    docs = python_ready(docs).drop("n_tokens", "logprob", "mean_logprob")
-    at = docs.columns.index(text_col)
-    rest = [c for c in docs.columns if c != text_col]
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, weights))
+def scores(dealt: DataFrame, size: int, weights: dict[str, np.ndarray]) -> DataFrame:
+    """``key, n_tokens, logprob`` of every different text by the network."""
+    shared = dealt.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, w = shared.value
-        for batch in batches:
-            sums, sizes = [], []
-            texts = pa.RecordBatch.from_arrays([batch.column(at).cast(pa.string())], ["t"])
-            for docs_ in _feeds(iter([texts]), voc):
-                flat, places, doc = windows(docs_)
-                total = np.zeros(len(docs_))
-                for i in range(0, len(places), 4 * BATCH):
-                    part = slice(i, i + 4 * BATCH)
-                    total += np.bincount(doc[part], weights=step(w, flat, places[part], False), minlength=len(docs_))
-                sums += total.tolist()
-                sizes += [len(d) for d in docs_]
-            cols = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()),
-                 pa.array([s / n if n else None for s, n in zip(sums, sizes)], pa.float64())],
-                [*rest, "n_tokens", "logprob", "mean_logprob"])
+        for keys, sizes, ids in _texts(batches, size):
+            flat, at = windows(ids, sizes, size)
+            logp = np.concatenate([step(shared.value, flat, at[i:i + BATCH], False).astype(np.float64)
+                                   for i in range(0, len(at), BATCH)])
+            sums = np.add.reduceat(logp, np.cumsum(sizes) - sizes)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes), pa.array(sums)], ["key", "n_tokens", "logprob"])
 
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    return docs.mapInArrow(run, f"{schema}, n_tokens bigint, logprob double, mean_logprob double")
+    return dealt.mapInArrow(run, "key bigint, n_tokens bigint, logprob double")
 
 
 def rare_words(docs: DataFrame, vocab: Vocabulary, counts: DataFrame, text_col: str = "text") -> DataFrame:
     """``key`` (hash of a text), ``rare``: sum of the log-probabilities, given
     their buckets, of the text's words beyond the vocabulary."""
     frequent = docs.sparkSession.createDataFrame([(h,) for h in vocab.keys.view(np.int64).tolist()], "h bigint")
-    bucket = F.shiftrightunsigned("h", 56).cast("int")
-    known = counts.join(F.broadcast(frequent), "h", "left_anti").withColumn("bucket", bucket)     # fixed size
+    bits = bucket_bits(vocab.size)
+    bucket = F.shiftrightunsigned("h", 64 - bits).cast("int")
+    known = counts.join(frequent, "h", "left_anti").withColumn("bucket", bucket)
     totals = {r.bucket: r.total for r in known.groupBy("bucket").agg((F.sum("n") + F.count("*") + 1).alias("total")).collect()}
-    total = F.get(F.array(*[F.lit(float(totals.get(i, 1))) for i in range(256)]), bucket)
+    total = F.get(F.lit([float(totals.get(i, 1)) for i in range(1 << bits)]), bucket)
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             found = [], [], []
+            if len(seen) > 1 << 20:
+                seen.clear()
             for key, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+                if key in seen:
+                    continue
+                seen.add(key)
                 h = word_hashes((t or b"").lower())
-                h, n = np.unique(h[shared.value.encode(t) >= WORDS], return_counts=True)
-                for part, x in zip(found, (np.full(len(h), key, np.int64), h.view(np.int64), n.astype(np.int64))):
-                    part.append(x)
+                h, n = np.unique(h[shared.value.ids_of(h) >= shared.value.words], return_counts=True)
+                for part, x, own in zip(found, (np.full(len(h), key, np.int64), h.view(np.int64), n.astype(np.int64)),
+                                        (key, key, 0)):
+                    part += [x, np.array([own], np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in found], ["key", "h", "n"])
 
     texts = python_ready(docs).select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("t")) \
         .where(F.col("t").isNotNull())
     pairs = texts.mapInArrow(run, "key bigint, h bigint, n bigint")
     logp = F.log(F.coalesce("seen", F.lit(1)) / total)
-    sums = pairs.join(known.select("h", F.col("n").alias("seen")), "h", "left") \
-        .groupBy("key").agg(F.sum(F.col("n") * logp).alias("s"))
-    copies = texts.groupBy("key").agg(F.count("*").alias("c"))
-    return sums.join(copies, "key").select("key", (F.col("s") / F.col("c")).alias("rare"))
+    # a text met in several tasks gives its words, and its own row of n = 0, as often
+    return pairs.join(known.select("h", F.col("n").alias("seen")), "h", "left") \
+        .groupBy("key").agg((F.sum(F.col("n") * logp) / F.count_if(F.col("n") == 0)).alias("rare"))
 
 
-def pseudo_likelihood(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Train on all documents and score every word of every one of them."""
+def pseudo_likelihood(docs: DataFrame, text_col: str = "text", shard: int = SHARD) -> DataFrame:
+    """Train on all documents and score every word of every one of them:
+    ``docs`` without the text, with ``n_tokens``, ``logprob``, ``mean_logprob``."""
     counts = reliable(word_counts(docs, text_col))
-    vocab, weights = train(docs, text_col, counts=counts)
+    tokens = counts.agg(F.sum("n")).first()[0] or 0
+    vocab = vocabulary(counts)
+    dealt = shards(docs, vocab, tokens, text_col, shard)
+    weights = train(dealt, vocab.size)
+    docs = docs.drop("n_tokens", "logprob", "mean_logprob")
     key, rare = free_name(docs, "_key"), free_name(docs, "_rare")
     rares = rare_words(docs, vocab, counts, text_col).select(F.col("key").alias(key), F.col("rare").alias(rare))
-    scored = score(docs.withColumn(key, F.xxhash64(text_col)), vocab, weights, text_col).join(rares, key, "left")
-    total = F.col("logprob") + F.coalesce(rare, F.lit(0.0))
-    return scored.withColumn("logprob", total) \
-        .withColumn("mean_logprob", F.when(F.col("n_tokens") > 0, F.col("logprob") / F.col("n_tokens"))).drop(key, rare)
+    known = scores(dealt, vocab.size, weights).withColumnRenamed("key", key).join(rares, key, "left")
+    rows = docs.withColumn(key, F.xxhash64(text_col)).drop(text_col).join(known, key, "left")
+    n = F.coalesce("n_tokens", F.lit(0).cast("long"))
+    total = F.coalesce(F.col("logprob") + F.coalesce(rare, F.lit(0.0)), F.lit(0.0))
+    kept = [c for c in docs.columns if c != text_col]
+    return rows.select(*[F.col(f"`{c}`") for c in kept], n.alias("n_tokens"), total.alias("logprob"),
+                       F.when(n > 0, total / n).alias("mean_logprob"))
