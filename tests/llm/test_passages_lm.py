@@ -221,8 +221,11 @@ def test_scores(spark, make_docs):
     assert {(r.n_tokens, r.logprob) for i, r in by.items() if 6000 <= i < 6030} == {(by[held[0][0]].n_tokens, by[held[0][0]].logprob)}
     # the sum over a document alone, by the network and the counts
     counts = lm.word_counts(made)
-    vocab = lm.vocabulary(counts)
-    dealt = lm.shards(made, vocab, counts.agg(F.sum("n")).first()[0], shard=8_000)
+    vocab, tokens = lm.vocabulary(counts)
+    assert tokens == counts.agg(F.sum("n")).first()[0]
+    assert set(vocab.keys.view(np.int64).tolist()) == {
+        r.h for r in sorted(counts.collect(), key=lambda r: (-r.n, r.h))[:vocab.words]}
+    dealt = lm.shards(made, vocab, tokens, shard=8_000)
     assert dealt.count() > 3
     weights = lm.train(dealt, vocab.size)
     rare = {r.key: r.rare for r in lm.rare_words(made, vocab, counts).collect()}
@@ -258,7 +261,7 @@ def test_rare_words_have_probabilities_of_their_own(make_docs):
     got = lm.pseudo_likelihood(docs).collect()
     assert len(got) == len(rows)
     counts = lm.word_counts(docs)
-    vocab = lm.vocabulary(counts)
+    vocab, _ = lm.vocabulary(counts)
     kept, seen = set(vocab.keys.tolist()), {}
     for _, t, _ in rows:
         for h in word_hashes((t or "").encode().lower()).tolist():

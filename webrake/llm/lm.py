@@ -253,11 +253,20 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The most frequent words of ``counts``, as many as its different words ask for."""
-    size = vocabulary_size(counts.count())
-    top = counts.orderBy(F.desc("n"), "h").limit(words_of(size)).select("h").toArrow()
-    return Vocabulary(top["h"].to_pylist(), size)
+def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
+    """The most frequent words of ``counts``, as many as its different words
+    ask for, and the number of all words.  Only words as frequent as the last
+    of them, to a power of two, are sorted."""
+    bins = {r.bits: r for r in counts.groupBy(F.length(F.bin("n")).alias("bits"))
+            .agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect()}      # 64 rows at most
+    size = vocabulary_size(sum(r.words for r in bins.values()))
+    bits, above = 65, 0
+    while bits > 1 and above < words_of(size):
+        bits -= 1
+        above += bins[bits].words if bits in bins else 0
+    often = counts.where(F.col("n") >= (1 << bits - 1))
+    top = often.orderBy(F.desc("n"), "h").limit(words_of(size)).select("h").toArrow()
+    return Vocabulary(top["h"].to_pylist(), size), sum(r.tokens for r in bins.values())
 
 
 def shards(docs: DataFrame, vocab: Vocabulary, tokens: int, text_col: str = "text", shard: int = SHARD) -> DataFrame:
@@ -414,8 +423,7 @@ def pseudo_likelihood(docs: DataFrame, text_col: str = "text", shard: int = SHAR
     """Train on all documents and score every word of every one of them:
     ``docs`` without the text, with ``n_tokens``, ``logprob``, ``mean_logprob``."""
     counts = reliable(word_counts(docs, text_col))
-    tokens = counts.agg(F.sum("n")).first()[0] or 0
-    vocab = vocabulary(counts)
+    vocab, tokens = vocabulary(counts)
     dealt = shards(docs, vocab, tokens, text_col, shard)
     weights = train(dealt, vocab.size)
     docs = docs.drop("n_tokens", "logprob", "mean_logprob")
