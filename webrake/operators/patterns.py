@@ -5,8 +5,9 @@ pattern is filed under its rarest q-gram (the one that fewest patterns hold);
 a text meets a pattern only if it holds that q-gram, and only then is
 ``contains`` tested.  Patterns shorter than q are filed under themselves.
 
-The index is broadcast when its measured size allows, and texts are not
-shuffled.  A larger one is joined by q-gram on (key, q-gram) pairs, and the
+Texts are dealt by their key, as many tasks as their bytes ask for: cutting grams
+takes far longer than reading them, and a scan may be one task.  The index is
+broadcast when its measured size allows.  A larger one is joined by q-gram on (key, q-gram) pairs, and the
 texts come back for the candidates alone.
 """
 
@@ -16,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webrake.functions.common import as_col
-from webrake.session import checkpoint_dir
+from webrake.session import checkpoint_dir, text_tasks
 
-#: Length of the grams, and how many patterns (about 100 bytes each) are broadcast.
-Q = 3
+#: Length of the grams (of 3 most texts hold nearly all, and each costs a search), and how many patterns (about 100 bytes each) are broadcast.
+Q = 5
 BROADCAST_PATTERNS = 200_000
+#: Text of one task.
+TASK_BYTES = 4 << 20
 
 
 def grams(text: Column, size: int) -> Column:
@@ -53,15 +56,16 @@ def screen_table(df: DataFrame, key: str, text: str, rules: DataFrame,
     body = F.coalesce(as_col(text), F.lit(""))
     if not n:
         return df.select(key, F.lit(True).alias("accept"), F.lit(None).cast("string").alias("rule"))
-    every = F.array_distinct(F.concat(*[grams(body, k) for k in sizes]))
+    # outer: of a plain explode Spark infers a filter, which would cut the grams before the texts are dealt
+    every = F.array_distinct(F.concat(*[grams(F.col("__text"), k) for k in sizes]))
+    texts = df.select(F.col(key).alias("__key"), body.alias("__text")) \
+        .repartition(text_tasks(df, text, TASK_BYTES), "__key")
     if n <= broadcast_patterns:
-        texts = df.select(F.col(key).alias("__key"), body.alias("__text"), every.alias("__grams"))
-        met = texts.select("__key", "__text", F.explode("__grams").alias("gram")).join(F.broadcast(index), "gram")
+        met = texts.select("__key", "__text", every.alias("__grams")) \
+            .select("__key", "__text", F.explode_outer("__grams").alias("gram")).join(F.broadcast(index), "gram")
     else:
-        pairs = df.select(F.col(key).alias("__key"), F.explode(every).alias("gram"))
-        met = pairs.join(index, "gram").drop("gram")
-        texts = df.select(F.col(key).alias("__id"), body.alias("__text"))
-        met = met.join(texts, F.col("__key").eqNullSafe(F.col("__id")))
+        met = texts.select("__key", F.explode_outer(every).alias("gram")).join(index, "gram").drop("gram")
+        met = met.join(texts.withColumnRenamed("__key", "__id"), F.col("__key").eqNullSafe(F.col("__id")))
     first = met.where(F.contains(F.col("__text"), F.col("word"))).groupBy("__key").agg(F.min("rank").alias("__first"))
     out = df.select(key).join(first, F.col(key).eqNullSafe(F.col("__key")), "left")
     return out.select(key, (F.col("__first").isNull() | ~F.col("__first.deny")).alias("accept"),
