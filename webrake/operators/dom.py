@@ -35,12 +35,16 @@ from pyspark.sql import functions as F
 
 from webrake.functions import html as H
 from webrake.functions.common import as_col
+from webrake.session import text_tasks
 
 # Elements without content, and those whose end tag may be left
 # out before another of the kind.
 VOID = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
 IMPLIED_END = ["p", "li", "dt", "dd", "tr", "td", "th", "option"]
 
+#: HTML of the pages that one task nests (its node rows take some 40 times that).
+TASK_BYTES = 4 << 20
+
 _TAG = rf"(?:{H.INNER}>|[^>]*+>)"
 _ROOT = "<page-root>"
 _SKIPPED = "(?is)<!--.*?-->|<[!?][^>]*+>|" + "|".join(H.block_pattern(t) for t in ("script", "style"))
@@ -105,9 +109,16 @@ def tokens(html: Column, tags_only: bool = False) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(_ROOT), plain), F.lit(rf"(?is)(</?[A-Za-z]{_TAG})[^<]*+"), int(tags_only))
 
 
+def _deal(pages: DataFrame, keys: Sequence[str], html: str) -> DataFrame:
+    """``pages`` dealt by their key, ``TASK_BYTES`` of HTML to a task.  The HTML
+    is measured first: adaptive coalescing goes by compressed bytes, of which a
+    task's node rows are a large multiple."""
+    return pages.repartition(text_tasks(pages, html, TASK_BYTES), *keys)
+
+
 def _cut(pages: DataFrame, keys: Sequence[str], html: str, dealt: bool) -> DataFrame:
     rows = pages.select(*keys, F.col(html).alias("__html"))
-    rows = rows if dealt else rows.repartition(*keys)
+    rows = rows if dealt else _deal(rows, keys, "__html")
     cut = rows.select(*keys, tokens(F.col("__html"), tags_only=True).alias("__t"))
     cut = cut.select(*keys, F.size("__t").alias("__n"), F.posexplode("__t").alias("pre", "__tag"))
     return cut.withColumn("tag", F.lower(F.regexp_extract("__tag", r"^</?([A-Za-z][^\s/>]*)", 1)))
@@ -206,7 +217,7 @@ def extract_fields(pages: DataFrame, keys: Sequence[str], fields: Mapping[str, F
     """``pages`` with one column per field: a string, or an array with
     ``many``, in page order.  A plain string is a selector of many texts."""
     spec = {n: Field(f, many=True) if isinstance(f, str) else f for n, f in fields.items()}
-    rows = pages if dealt else pages.repartition(*keys)
+    rows = pages if dealt else _deal(pages, keys, html)
     t = _select(_cut(rows, keys, html, True), keys, spec, None)
     parts = [_value(i, f, F.col("__toks")) for i, f in enumerate(spec.values())]
     any_hit = reduce(lambda a, b: a | b, [F.col(f"f{i}") for i in range(len(spec))])
@@ -220,7 +231,7 @@ def extract_records(pages: DataFrame, keys: Sequence[str], block: str, fields: M
                     dealt: bool = False) -> DataFrame:
     """One row per element that ``block`` selects (outermost ones): the key,
     ``block_no`` in page order and the fields, looked for inside the block."""
-    rows = pages if dealt else pages.repartition(*keys)
+    rows = pages if dealt else _deal(pages, keys, html)
     t = _select(_cut(rows, keys, html, True), keys, fields, block)
     parts = [_value(i, f, F.col("__toks")) for i, f in enumerate(fields.values())]
     aggs = [a.alias(f"a{i}") for i, (a, _) in enumerate(parts)]
