@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webrake.catalog import query, table
+from webrake.catalog import query, supplied_parts, table
 from webrake.catalog import sqlfrag as S
 from webrake.functions import text as T
 from webrake.functions import urls as U
@@ -29,7 +29,7 @@ def q_dedupe_first(spark, sf_dir):
 def _members(spark, sf_dir):
     """Group members: each supplier's distinct parts, name = part name,
     title = part type; list order = (supplier, part)."""
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    li = supplied_parts(spark, sf_dir)
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     return li.join(p, li.l_partkey == p.p_partkey).select(
         F.col("l_suppkey").alias("s_suppkey"), "p_partkey",
