@@ -119,6 +119,64 @@ def test_edited_passages_whose_seeds_are_common_elsewhere(make_docs):
     assert [{r.a, r.b} for r in got] == [{1, 2}]
 
 
+def test_exact_runs_whose_parts_are_common_elsewhere(make_docs):
+    """50 equal words in two texts each; many others hold 49 of them, and nulls without an id hold all."""
+    rng = random.Random(10)
+    rows, want = [], set()
+    for k in range(12):
+        passage = words(rng, 50)
+        want.add(frozenset((1000 * k, 1000 * k + 1)))
+        rows += [(1000 * k + i, " ".join(words(rng, 20) + passage + words(rng, 20)), "s") for i in (0, 1)]
+        for i in range(10, 60):
+            part = passage[:49] if i % 2 else passage[1:]
+            rows.append((1000 * k + i, " ".join(words(rng, 20) + [f"b{i}"] + part + [f"c{i}"] + words(rng, 20)), "s"))
+        rows += [(None, " ".join(words(rng, 20) + passage + words(rng, 20)), "s") for _ in range(4)]
+    got = substring.passages(make_docs(rows)).collect()
+    assert {frozenset((r.a, r.b)) for r in got} == want
+
+
+def test_exact_run_in_a_diluted_stretch(make_docs):
+    """50 equal words, then 3 equal after every 2 different: 0.75 on the whole."""
+    rng = random.Random(11)
+    passage, tail = words(rng, 50), [words(rng, 3) for _ in range(16)]
+    rows = [(i, " ".join(words(rng, 20) + passage + [w for x in tail for w in words(rng, 2) + x] + words(rng, 20)), "s")
+            for i in (1, 2)]
+    got = substring.passages(make_docs(rows)).collect()
+    assert [{r.a, r.b} for r in got] == [{1, 2}]
+    assert got[0].a_start <= 21 and got[0].a_end >= 69 and got[0].identity >= 0.8
+
+
+def test_every_exact_run_has_an_anchor():
+    """Any 50 equal words have a seed and a hash of all 50 in common, also where few words repeat."""
+    rng = random.Random(12)
+    for trial in range(300):
+        alphabet = words(rng, rng.choice((2, 2, 3, 5, 100)))
+        passage, w = [], rng.choice((1, 4, 20))
+        while len(passage) < 50:
+            passage += [rng.choice(alphabet)] * rng.randrange(1, w + 1)
+        if rng.random() < 0.2:
+            passage = alphabet[:2] * 25
+        passage = passage[:50]
+        if len(set(passage)) == 1:                  # runs of one word have an anchor of their own
+            continue
+        found, texts = [], []
+        for _ in range(2):
+            beside = [[rng.choice(alphabet + ["x", "y"]) for _ in range(rng.randrange(0, 30))] for _ in range(2)]
+            texts.append(word_hashes(" ".join(beside[0] + passage + beside[1]).encode()))
+            h, lo = texts[-1], len(beside[0])
+            at, code = substring.seeds_of(h)
+            runs = substring.places(h, at, code)[2:]
+            keys = [(c, j, int(runs[j // 4][i]) >> 16 * (j % 4) & 0xFFFF) for i, (p, c) in enumerate(zip(at.tolist(), code.tolist()))
+                    for j in range(substring.WINDOW) if p - substring.beside_of(50) - j == lo]
+            found.append(set(keys))
+        assert found[0] & found[1] and all(k[2] for k in found[0] & found[1])
+        # many texts at once are each taken by itself
+        sizes = np.array([len(t) for t in texts])
+        at, code = substring.seeds_of(np.concatenate(texts), sizes=sizes)
+        alone = [substring.seeds_of(t)[0] for t in texts]
+        assert at.tolist() == alone[0].tolist() + (alone[1] + sizes[0]).tolist()
+
+
 def test_good_parts_of_a_rejected_chain(make_docs):
     rng = random.Random(7)
     first, second, third = words(rng, 55), words(rng, 55), words(rng, 80)
