@@ -28,6 +28,32 @@ def test_fenwick_chain_is_the_heaviest():
             assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(c, c[1:]))
 
 
+def test_matches_in_order_need_no_tree(monkeypatch):
+    """Matches in order in both texts are chained as by the tree, yet without it."""
+    rng = random.Random(13)
+    groups = []
+    for _ in range(300):
+        x = y = 0
+        groups.append([])
+        for _ in range(rng.randrange(2, 30)):
+            x, y = (v + rng.choice((1, 5, 8, 20, 40, 69, 70)) for v in (x, y))
+            groups[-1].append((x, y))
+        g = groups[-1]
+        assert substring._in_order(g, 5, 64) == substring._by_tree(g, 5, 64)
+    monkeypatch.setattr(substring, "Fenwick", None)
+    for g in groups:
+        assert sum(map(len, substring.chains(g, 5, 64, 1))) == len(g)
+
+
+def test_anchors_meet_once(make_docs):
+    """A place that two texts share is one match, not one from either side."""
+    passage = words(random.Random(14), 200)
+    docs = make_docs([(1, " ".join(["x"] + passage), "s"), (2, " ".join(passage + ["y"]), "s")])
+    _, seeds = substring._seed_rows(docs, "doc_id", "text", substring.K, substring.WINDOW, substring.GAP, 50)
+    got = [(r.x, r.y) for r in substring._matches(substring._shared(seeds)).collect()]
+    assert len(got) == len(set(got)) > 20 and len({x - y for x, y in got}) == 1
+
+
 def test_winnowing_guarantee_and_blocks():
     rng = np.random.default_rng(2)
     run = rng.integers(1, 1 << 60, substring.WINDOW + substring.K - 1).astype(np.uint64)

@@ -277,3 +277,16 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     monkeypatch.setattr(common, "PIECE", 64)
     assert (word_hashes(text) == whole).all() and len(whole) == len(text.split())
     assert len(set(whole.tolist())) == len(set(text.split()))
+
+
+def test_hashes_of_many_texts_at_once(monkeypatch):
+    from webrake.llm import common
+    rng = random.Random(5)
+    for _ in range(300):
+        texts = [bytes(rng.choice(b"ab\xff\x00 \t\n\x0b\x0c\r\x1f!") for _ in range(rng.choice((0, 1, 5, 40, 200))))
+                 for _ in range(rng.randrange(0, 6))]
+        monkeypatch.setattr(common, "PIECE", rng.choice((4, 16, 64, 1 << 16)))
+        hashes, sizes = common.text_hashes(texts)
+        alone = [word_hashes(t) for t in texts]
+        assert sizes.tolist() == [len(re.findall(rb"[^\x20\x09-\x0D]+", t)) for t in texts] == [len(h) for h in alone]
+        assert hashes.tolist() == [x for h in alone for x in h.tolist()]
