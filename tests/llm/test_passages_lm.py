@@ -1,8 +1,11 @@
 """Substring dedup and LM scoring."""
 
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from webrake.llm import lm, substring
@@ -364,3 +367,51 @@ def test_rare_words_have_probabilities_of_their_own(make_docs):
     assert want[200] < -500 and by[200].mean_logprob < want[200] / 500 and by[200].n_tokens == 500
     assert (by[202].logprob, by[202].mean_logprob, by[203].logprob) == (0.0, None, 0.0)
     assert [c for c in docs.columns if c != "text"] + ["n_tokens", "logprob", "mean_logprob"] == lm.pseudo_likelihood(docs).columns
+
+
+def peak_mb(job):
+    tracemalloc.start()
+    try:
+        job()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_training_takes_no_more_memory_for_a_larger_shard():
+    """Windows are built a batch at a time: 11 MB here, 28 MB when they were
+    built for the whole shard."""
+    rng = np.random.default_rng(3)
+    sizes = np.array([0, 300_000, *[100] * 7_000, 1, 0, 0, 49_999])
+    ids = rng.integers(0, lm.LEAST_VOCAB, sizes.sum()).astype(np.uint16)
+    trainer = lm.Trainer(lm.start_weights(), 0.1)
+    assert peak_mb(lambda: trainer.feed(ids, sizes)) < 20 and trainer.tokens == len(ids)
+
+
+def test_batches_of_windows_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    for batch in (1, 2, 7, 64):
+        monkeypatch.setattr(lm, "BATCH", batch)
+        for _ in range(20):
+            sizes = rng.integers(0, 12, rng.integers(1, 20))
+            ids = rng.integers(0, 50, sizes.sum())
+            flat, at = lm.windows(ids, sizes, 99)
+            around = lambda f, a: [f[a + o].tolist() for o in range(-lm.SIDE, lm.SIDE + 1)]
+            parts = [around(f, a) for f, a in lm.window_batches(ids, sizes, 99)]
+            assert [sum((p[o] for p in parts), []) for o in range(2 * lm.SIDE + 1)] == around(flat, at)
+            assert all(len(p[0]) == batch for p in parts[:-1])
+
+
+def test_words_are_counted_in_bounded_memory():
+    """Whatever the session's Arrow batch holds; handed on early, sums are the same."""
+    texts = [" ".join(f"W{i * j % 30_011}" for j in range(300)) for i in range(3_000)] + [None, "", " \n"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["t"])
+    want = Counter(w for t in texts for w in word_hashes((t or "").lower().encode()).view(np.int64).tolist())
+    for least, most in ((1 << 18, 1 << 19), (1_000, 5_000)):
+        got = Counter()
+        for b in lm.counted(iter([batch, batch.slice(0, 0)]), least, most):
+            for h, n in zip(*(c.to_pylist() for c in b.columns)):
+                got[h] += n
+        assert got == want
+    assert peak_mb(lambda: [None for _ in lm.counted(iter([batch]))]) < 16
+    assert list(lm.counted(iter([]))) == []

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webrake.llm.common import free_name, python_ready, reliable, text_bytes, word_hashes
+from webrake.llm.common import batches_of, free_name, python_ready, reliable, text_bytes, text_hashes, word_hashes
 from webrake.session import scratch_path
 
 SIDE, DIM = 2, 16
@@ -53,6 +53,8 @@ BATCH = 16_384
 SHARD = 1 << 21                  # tokens of a shard
 ROUNDS = 1
 _WIDTH = 16                      # weights per row of the averaging shuffle
+_PART = 1 << 20                  # bytes of text worked on at once: a worker keeps what its largest step took
+_SEEN = 1 << 18                  # texts a task remembers to leave out copies
 
 
 class Vocabulary:
@@ -128,6 +130,19 @@ def windows(ids: np.ndarray, sizes: np.ndarray, pad: int) -> tuple[np.ndarray, n
     return flat, at
 
 
+def window_batches(ids: np.ndarray, sizes: np.ndarray, pad: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`windows` of ``BATCH`` tokens at a time, whatever documents they
+    lie in, so that the memory does not grow with a shard or a long text."""
+    ends = np.cumsum(sizes)
+    for i in range(0, len(ids), BATCH):
+        j = min(i + BATCH, len(ids))
+        docs = slice(np.searchsorted(ends, i, side="right"), np.searchsorted(ends, j) + 1)
+        first, last = ends[docs] - sizes[docs], ends[docs]
+        lo, hi = max(first[0], i - SIDE), min(last[-1], j + SIDE)
+        flat, at = windows(ids[lo:hi], np.minimum(last, hi) - np.maximum(first, lo), pad)
+        yield flat, at[i - lo:j - lo]
+
+
 def _soft(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials per column (in place), not yet divided by their sums; their
     sums; the log normalisers."""
@@ -208,10 +223,8 @@ class Trainer:
         self.sq = {k: np.full_like(v, 1e-8) for k, v in w.items()}
 
     def feed(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        flat, at = windows(ids, sizes, self.w["emb"].shape[1] - 1)
-        for i in range(0, len(at), BATCH):
-            part = at[i:i + BATCH]
-            _, grad = step(self.w, flat, part, True)
+        for flat, at in window_batches(ids, sizes, self.w["emb"].shape[1] - 1):
+            _, grad = step(self.w, flat, at, True)
             for j, (rows, g) in enumerate(grad.pop("emb")):
                 sq = self.sq["emb"][j][rows] + g * g
                 self.sq["emb"][j][rows] = sq
@@ -219,38 +232,52 @@ class Trainer:
             for k, g in grad.items():
                 self.sq[k] += g * g
                 self.w[k] -= self.rate * g / np.sqrt(self.sq[k])
-            self.tokens += len(part)
-
-
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``h, n``: every different word of all documents and how often it occurs."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sums = np.empty(0, np.uint64), np.empty(0, np.int64)
-        parts, size = [], 0
+            self.tokens += len(at)
 
-        def merge() -> tuple[np.ndarray, np.ndarray]:
-            u, inv = np.unique(np.concatenate([keys, *parts]), return_inverse=True)
-            weight = np.concatenate([sums, np.ones(sum(map(len, parts)), np.int64)])
-            return u, np.bincount(inv, weights=weight, minlength=len(u)).astype(np.int64)
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], ["h", "n"])
+def hashed(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The rows in parts of about ``_PART`` bytes of text, with the hashes of
+    their words one behind the other and the number of words of each."""
+    for batch in batches:
+        for part in batches_of(batch, text, _PART):
+            yield part, *text_hashes([(t or b"").lower() for t in text_bytes(part[text])])
+
+
+def counted(batches: Iterator[pa.RecordBatch], least: int = 1 << 18, most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """``h, n`` of the words of the column ``t``: ``least`` words are counted at
+    once, and more than ``most`` different ones handed on."""
+    keys, sums = np.empty(0, np.uint64), np.empty(0, np.int64)
+    parts, size = [], 0
+
+    def merge() -> tuple[np.ndarray, np.ndarray]:
+        u, n = np.unique(np.concatenate([np.empty(0, np.uint64), *parts]), return_counts=True)
+        both, n = np.concatenate([keys, u]), np.concatenate([sums, n])
+        order = np.argsort(both, kind="stable")     # two sorted runs
+        both, n = both[order], n[order]
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])[:len(both)])
+        return both[first], np.add.reduceat(n, first) if len(first) else n
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i:i + (1 << 16)]) for x in (keys.view(np.int64), sums)], ["h", "n"])
+
+    for _, h, _ in hashed(batches, "t"):
+        parts.append(h)
+        size += len(h)
+        if size >= least:
+            keys, sums = merge()
+            parts, size = [], 0
+            if len(keys) > most:
+                yield from out()
+                keys, sums = np.empty(0, np.uint64), np.empty(0, np.int64)
+    keys, sums = merge()
+    yield from out()
 
-        for batch in batches:
-            for t in text_bytes(batch.column(0)):
-                parts.append(word_hashes((t or b"").lower()))
-                size += len(parts[-1])
-                if size >= 1 << 20:
-                    keys, sums = merge()
-                    parts, size = [], 0
-                    if len(keys) > 1 << 21:     # bounded: hand on what is counted so far
-                        yield out()
-                        keys, sums = np.empty(0, np.uint64), np.empty(0, np.int64)
-        keys, sums = merge()
-        yield out()
 
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``h, n``: every different word of all documents and how often it occurs."""
     return python_ready(docs).select(F.col(text_col).cast("string").alias("t")) \
-        .mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+        .mapInArrow(counted, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int]:
@@ -281,15 +308,16 @@ def shards(docs: DataFrame, vocab: Vocabulary, tokens: int, text_col: str = "tex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for part, h, sizes in hashed(batches, "t"):
+            words, ends = shared.value.ids_of(h).astype(kind), np.cumsum(sizes).tolist()
             keys, ids = [], []
-            for key, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            for key, lo, hi in zip(part["key"].to_pylist(), [0, *ends], ends):
                 if key not in seen:
                     seen.add(key)
                     keys.append(key)
-                    ids.append(shared.value.encode(t).astype(kind).tobytes())
+                    ids.append(words[lo:hi].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["key", "ids"])
-            if len(seen) > 1 << 20:     # bounded: later copies are met again in the shard
+            if len(seen) > _SEEN:       # bounded: later copies are met again in the shard
                 seen.clear()
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +358,7 @@ def _texts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.nd
     for batch in batches:
         for i in range(batch.num_rows):
             keys, sizes, ids = (batch.column(c)[i].as_py() for c in ("keys", "sizes", "ids"))
-            yield np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(ids, kind).astype(np.int32)
+            yield np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(ids, kind)
 
 
 def _round(dealt: DataFrame, size: int, weights: dict[str, np.ndarray], rate: float) -> dict[str, np.ndarray]:
@@ -373,9 +401,9 @@ def scores(dealt: DataFrame, size: int, weights: dict[str, np.ndarray]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, sizes, ids in _texts(batches, size):
-            flat, at = windows(ids, sizes, size)
-            logp = np.concatenate([step(shared.value, flat, at[i:i + BATCH], False).astype(np.float64)
-                                   for i in range(0, len(at), BATCH)])
+            logp = np.empty(len(ids))
+            for i, (flat, at) in enumerate(window_batches(ids, sizes, size)):
+                logp[i * BATCH:i * BATCH + len(at)] = step(shared.value, flat, at, False)
             sums = np.add.reduceat(logp, np.cumsum(sizes) - sizes)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sizes), pa.array(sums)], ["key", "n_tokens", "logprob"])
 
@@ -385,7 +413,8 @@ def scores(dealt: DataFrame, size: int, weights: dict[str, np.ndarray]) -> DataF
 def rare_words(docs: DataFrame, vocab: Vocabulary, counts: DataFrame, text_col: str = "text") -> DataFrame:
     """``key`` (hash of a text), ``rare``: sum of the log-probabilities, given
     their buckets, of the text's words beyond the vocabulary."""
-    frequent = docs.sparkSession.createDataFrame([(h,) for h in vocab.keys.view(np.int64).tolist()], "h bigint")
+    # an Arrow table needs no Python workers of its own; as bounded as the broadcast vocabulary
+    frequent = F.broadcast(docs.sparkSession.createDataFrame(pa.table({"h": vocab.keys.view(np.int64)})))
     bits = bucket_bits(vocab.size)
     bucket = F.shiftrightunsigned("h", 64 - bits).cast("int")
     known = counts.join(frequent, "h", "left_anti").withColumn("bucket", bucket)
@@ -395,19 +424,19 @@ def rare_words(docs: DataFrame, vocab: Vocabulary, counts: DataFrame, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for part, h, sizes in hashed(batches, "t"):
             found = [], [], []
-            if len(seen) > 1 << 20:
+            if len(seen) > _SEEN:
                 seen.clear()
-            for key, t in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+            beyond, ends = shared.value.ids_of(h) >= shared.value.words, np.cumsum(sizes).tolist()
+            for key, lo, hi in zip(part["key"].to_pylist(), [0, *ends], ends):
                 if key in seen:
                     continue
                 seen.add(key)
-                h = word_hashes((t or b"").lower())
-                h, n = np.unique(h[shared.value.ids_of(h) >= shared.value.words], return_counts=True)
-                for part, x, own in zip(found, (np.full(len(h), key, np.int64), h.view(np.int64), n.astype(np.int64)),
-                                        (key, key, 0)):
-                    part += [x, np.array([own], np.int64)]
+                u, n = np.unique(h[lo:hi][beyond[lo:hi]], return_counts=True)
+                for to, x, own in zip(found, (np.full(len(u), key, np.int64), u.view(np.int64), n.astype(np.int64)),
+                                      (key, key, 0)):
+                    to += [x, np.array([own], np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *x])) for x in found], ["key", "h", "n"])
 
     texts = python_ready(docs).select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("t")) \
