@@ -136,6 +136,51 @@ def test_edited_passages_are_found(make_docs):
     assert len(got) >= n - 1
 
 
+def test_passages_with_words_put_in_and_left_out(make_docs):
+    """60 words in two texts, a few replaced, put in or left out, down to the least identity of 0.8."""
+    rng = random.Random(15)
+    for edits, least in ((6, 60), (9, 59), (11, 54)):
+        rows, n = [], 60
+        for i in range(n):
+            p = words(rng, 60)
+            q = list(p)
+            for t, j in enumerate(sorted(rng.sample(range(60), edits), reverse=True)):
+                q[j:j + 1] = [[f"new{t}"], [q[j], f"new{t}"], []][rng.randrange(3)]
+            rows += [(2 * i, " ".join(words(rng, 60) + p + words(rng, 60)), "s"),
+                     (2 * i + 1, " ".join(words(rng, 40) + q + words(rng, 60)), "s")]
+        rows_found = substring.passages(make_docs(rows)).collect()
+        assert all(r.identity >= 0.8 and r.n_words >= 50 for r in rows_found)
+        got = {frozenset((r.a, r.b)) for r in rows_found}
+        assert got <= {frozenset((2 * i, 2 * i + 1)) for i in range(n)} and len(got) >= least
+
+
+def test_ends_go_on_over_gaps():
+    """What an end reaches are equal words in order; nothing is gained from words that differ."""
+    rng = random.Random(16)
+    a = [rng.randrange(1 << 30) for _ in range(60)]
+    b = a[:20] + a[22:40] + [1, 2] + a[40:]
+    assert substring._reach(a, b) == (60, 60, 58) and substring._reach(b, a) == (60, 60, 58)
+    assert substring._reach(a, a) == (60, 60, 60) and substring._reach([], a) == (0, 0, 0)
+    assert substring._reach(a[:20] + list(range(17)) + a[20:], a) == (20, 20, 20)     # too wide a gap
+    for _ in range(200):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(60))] for _ in range(2))
+        x, y, same = substring._reach(a, b)
+        assert same <= substring._lcs(a[:x], b[:y])
+    # a chain in the middle, an inserted word on either side
+    p = [rng.randrange(1 << 30) for _ in range(60)]
+    q = p[:20] + [1] + p[20:40] + [2] + p[40:]
+    assert substring.good_parts(p, q, [(25, 26), (32, 33)], 50, 0.8) == [(0, 60, 0, 62, 60)]
+
+
+def test_seeds_of_all_passes(make_docs):
+    rng = random.Random(17)
+    docs = make_docs([(i, " ".join(words(rng, 100)), "s") for i in range(20)])
+    args = docs, "doc_id", "text", substring.K, substring.WINDOW, substring.GAP, 50
+    whole, parts = (sorted(map(tuple, x)) for x in (
+        substring._seed_rows(*args)[1].collect(), [r for i in range(3) for r in substring._seed_rows(*args, i, 3)[1].collect()]))
+    assert whole == parts and len(whole) > 300
+
+
 def test_edited_passages_whose_seeds_are_common_elsewhere(make_docs):
     rng = random.Random(9)
     passage = words(rng, 64)
