@@ -1,7 +1,9 @@
 """Work is dealt over as many tasks as its rows, files or bytes ask for."""
 
+import gzip
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 import webrake.catalog as C
@@ -29,6 +31,73 @@ def test_keyed_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     assert back == {str(i): f'{{"a": {i}}}\n' for i in range(100) if i != 7}
 
 
+def test_local_files_are_those_of_the_text_writer(spark, tmp_path, monkeypatch):
+    """Same folders and contents as Spark's writer, for any key; no process per file."""
+    keys = ["plain", "a b", "x/y", "k=v", "50%", "[é]", "q?*:", "back\\\\slash", "'\"#^{", "tab\\t\x7f", "", None, "twice", "twice"]
+    rows = spark.createDataFrame([(k, None if i == 3 else f"text {i}\nmore") for i, k in enumerate(keys)], "`the key` string, t string")
+
+    def found(at):
+        out = {}
+        for folder, _, files in os.walk(at):
+            for f in files:
+                if f.startswith("part-"):
+                    out.setdefault(folder[len(str(at)):], []).extend(x for x in open(f"{folder}/{f}").read().split("\n") if x)
+        return {k: sorted(v) for k, v in out.items()}
+
+    SK.write_keyed_files(rows, f"{tmp_path}/now", "the key")
+    rows.repartition(2, "the key").write.partitionBy("the key").text(f"{tmp_path}/spark")
+    assert found(tmp_path / "now") == found(tmp_path / "spark") and len(found(tmp_path / "now")) == 12
+    assert os.path.exists(f"{tmp_path}/now/_SUCCESS")
+    with pytest.raises(FileExistsError):
+        SK.write_keyed_files(rows, f"{tmp_path}/now", "the key")
+    SK.write_keyed_files(rows, f"{tmp_path}/sep", "the key", lineSep="|")
+    assert found(tmp_path / "sep")["/the key=plain"] == ["more|", "text 0"] and os.path.exists(f"{tmp_path}/sep/the key=k%3Dv")
+    # where Hadoop has another file system than the local one, Spark writes
+    monkeypatch.setattr(SK, "_LOCAL_FS", ())
+    SK.write_keyed_files(rows, f"{tmp_path}/other", "the key")
+    assert found(tmp_path / "other") == found(tmp_path / "spark")
+    monkeypatch.undo()
+
+    def started():
+        return int(next(x for x in open("/proc/stat") if x.startswith("processes")).split()[1])
+
+    many = spark.range(3000).select(F.col("id").alias("k"), F.lit("x").alias("t"))
+    before = started()
+    SK.write_keyed_files(many, f"{tmp_path}/many", "k")
+    assert started() - before < 2000               # several a file before; tests beside this one may start some
+
+
+def test_page_files_are_those_of_the_text_reader(spark, tmp_path):
+    """Compressed files, odd names, empty files and folders that are none of the store's."""
+    for name, data in (("k=1/a.txt", b"one\n"), ("k=1/b.x", b"\xff"), ("k=1/empty.txt", b""), ("k=a b%/c.gz", gzip.compress(b"two")),
+                       ("k=2/d.txt", b"three"), ("k=1/_hidden", b"no"), ("k=1/.hidden", b"no")):
+        (tmp_path / "s" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "s" / name).write_bytes(data)
+    (tmp_path / "t" / "sub").mkdir(parents=True)
+    (tmp_path / "t" / "top.txt").write_bytes(b"top")
+    (tmp_path / "t" / "sub" / "deep.txt").write_bytes(b"no page")
+    shown = lambda df, c: sorted((r.p, bytes(r.h)) for r in df.select(F.col("file_path").alias("p"), F.col(c).cast("binary").alias("h")).collect())
+    for path, n in ((f"{tmp_path}/s", 4), (f"{tmp_path}/s/k=1", 2), (f"{tmp_path}/s/k=*", 4), (f"{tmp_path}/t", 1), (f"file:{tmp_path}/t/", 1)):
+        got = shown(RD.read_page_blobs(spark, path), "html")
+        assert got == shown(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), "value"), "value") and len(got) == n
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    for i in range(200):
+        (tmp_path / "s" / f"k={i}").mkdir(parents=True)
+        (tmp_path / "s" / f"k={i}" / "f.html").write_text(f"{i}")
+    monkeypatch.setattr(RD, "LISTINGS_PER_CORE", 1)
+    before, sc = spark.conf.get(RD.LISTING), spark.sparkContext
+    for i, read in enumerate((lambda: RD.read_page_blobs(spark, f"{tmp_path}/s"), lambda: FS.list_files(spark, f"{tmp_path}/s"))):
+        sc.setJobGroup(f"listing{i}", "")
+        assert read().count() == 200
+        jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(f"listing{i}")]
+        first = sc.statusTracker().getStageInfo(min(x for j in jobs for x in j.stageIds))
+        assert first.numTasks <= sc.defaultParallelism
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(RD.LISTING) == before
+
+
 def test_files_of_a_run_are_listed_once(spark, tmp_path, monkeypatch):
     for i in range(3):
         (tmp_path / f"{i}.html").write_text(f"<p style='x'>{i}</p>")
