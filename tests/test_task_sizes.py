@@ -107,6 +107,17 @@ def test_files_of_a_run_are_listed_once(spark, tmp_path, monkeypatch):
     assert FS.clean_files(spark, str(tmp_path), f"{tmp_path}/out") == 0 and len(made) == 2
 
 
+def test_small_files_share_a_task(spark, tmp_path):
+    n, before = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.openCostInBytes")
+    (tmp_path / "in").mkdir()
+    for i in range(80 * n):
+        (tmp_path / "in" / f"{i}.html").write_text(f"<p style='x'>{i}</p>")
+    assert FS.clean_files(spark, f"{tmp_path}/in", f"{tmp_path}/out") == 80 * n
+    parts = [f for _, _, files in os.walk(f"{tmp_path}/out") for f in files if f.endswith(".parquet")]
+    assert len(parts) <= n + 1 and spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert FS.cleaned_files(spark, f"{tmp_path}/out").count() == 80 * n
+
+
 def test_pages_of_a_task_go_by_their_bytes(spark, monkeypatch):
     monkeypatch.setattr(dom, "TASK_BYTES", 200)
     pages = spark.createDataFrame([(i, "<ul>" + "<li><a href='x'>y</a></li>" * 10 + "</ul>") for i in range(60)]
